@@ -171,6 +171,26 @@ def binary(parts: list[np.ndarray]) -> pa.Array:
     return pa.array([np.ascontiguousarray(p).tobytes() for p in parts], pa.binary())
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, for sessions started without it on their path."""
+    import importlib
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_tidemark_shipped", False):
+        return
+    root = Path(importlib.import_module("tidemark").__file__).parent
+    if root.is_dir():  # else the package itself runs from such an archive
+        target = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        sc.addPyFile(str(target))
+    sc._tidemark_shipped = True
+
+
 # -- lineage -------------------------------------------------------------------
 
 
