@@ -1,7 +1,7 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections.
 
-Leaves are short runs of words within a paragraph, cut where a word's hash says so, with
-the white space that follows; together they cover every byte.  A paragraph (up to a line
+Leaves are runs of at most eight words within a paragraph, cut where a word's hash says so,
+with the white space that follows; together they cover every byte.  A paragraph (up to a line
 break) hashes its leaves, a section (paragraphs up to a blank line, or to one whose hash
 says so) its paragraphs, and the root its sections.  Equal roots mean equal texts;
 walking two trees down their differing branches locates edits.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import textcore as X
 
-LEAF, SECTION = 8, 4
+LEAF, LONGEST, SECTION = 4, 8, 4
 
 
 class Trees:
@@ -48,6 +48,11 @@ class Trees:
         begin[breaks + 1] = True
         begin[off[:-1]] = True
         begin[n] = False
+        # a run of words without such a cut is cut after every LONGEST words
+        head = np.flatnonzero(begin[starts]) if len(starts) else starts
+        run = np.diff(np.r_[head, len(starts)])
+        more = (run - 1) // LONGEST
+        begin[starts[np.repeat(head, more) + LONGEST * (1 + X.ranges(np.zeros(len(more), np.int64), more))]] = True
         leaf = np.flatnonzero(begin)
         ends = np.r_[leaf[1:], n] if len(leaf) else leaf
         self.leaves = X.Spans(X.BYTE_CODES[data]).hash(leaf, ends)
