@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, langid, merkle, packing, pii, quality, secrets, substring, textcore
+from tidemark.llm import decontaminate, langid, merkle, packing, pii, ppm, quality, secrets, substring, textcore
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -30,6 +30,10 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"), by_file=True)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_document_fingerprints": op2_document_fingerprints,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_quality_classifier": op4_quality_classifier,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
