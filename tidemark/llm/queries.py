@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, langid, merkle, packing, pii, ppm, quality, secrets, substring, textcore
+from tidemark.llm import decontaminate, jaccard, langid, merkle, packing, pii, ppm, quality, secrets, substring, textcore
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -39,6 +39,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer()))
 
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_document_fingerprints": op2_document_fingerprints,
         "op3_lm_scoring": op3_lm_scoring,
         "op4_quality_classifier": op4_quality_classifier,
+        "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op8_secret_scan": op8_secret_scan,
