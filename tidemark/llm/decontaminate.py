@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.llm import textcore as X
 
@@ -147,6 +148,18 @@ def _blocks(benchmark: DataFrame, block_words: int, window: int) -> Iterator[Pat
     yield Patterns(texts, names, window)
 
 
+def _covered(patterns: Patterns, column: pa.Array):
+    """(lo, hi, first, covered, rows, items) of each chunk of a text column."""
+    for lo, hi, data, off in X.chunks(column):
+        starts, ends, first = X.words(data, off, X.ALNUM)
+        yield lo, hi, first, *patterns.search(X.word_hashes(data, starts, ends, True), first)
+
+
+def _sums(covered: np.ndarray, first: np.ndarray) -> np.ndarray:
+    total = np.r_[0, np.cumsum(covered)]
+    return total[first[1:]] - total[first[:-1]]
+
+
 _SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -169,9 +182,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                 words, hits = np.zeros(n, np.int64), np.zeros(n, np.int64)
                 items: list[list[str]] = [list(x or ()) for x in b.column(3).to_pylist()] if begun else [[] for _ in range(n)]
                 masks = b.column(2).to_pylist() if begun else [None] * n
-                for lo, hi, data, off in X.chunks(b.column(1)):
-                    starts, ends, first = X.words(data, off, X.ALNUM)
-                    covered, rows, found = patterns.search(X.word_hashes(data, starts, ends, True), first)
+                for lo, hi, first, covered, rows, found in _covered(patterns, b.column(1)):
                     for i, k in {(int(i), int(k)) for i, k in zip(rows, found, strict=True)}:
                         if patterns.names[k] is not None:
                             items[lo + i].append(patterns.names[k])
@@ -179,8 +190,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                         for i in range(lo, hi):
                             if masks[i]:
                                 covered[first[i - lo] : first[i - lo + 1]] |= np.unpackbits(np.frombuffer(masks[i], np.uint8), count=first[i - lo + 1] - first[i - lo]).astype(bool)
-                    total = np.r_[0, np.cumsum(covered)]
-                    words[lo:hi], hits[lo:hi] = np.diff(first), total[first[1:]] - total[first[:-1]]
+                    words[lo:hi], hits[lo:hi] = np.diff(first), _sums(covered, first)
                     if not last:
                         for i in np.flatnonzero(hits[lo:hi]):
                             masks[lo + i] = np.packbits(covered[first[i] : first[i + 1]]).tobytes()
@@ -198,3 +208,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         last = k == len(blocks) - 1
         out = out.mapInArrow(scan(held, last, k > 0), _SCHEMA if last else state)
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 1 << 20) -> DataFrame:
+    """The rows of `docs`, all columns, that are not contaminated."""
+    blocks = list(_blocks(benchmark, block_words, window))
+    at = docs.columns.index("text")
+    if len(blocks) > 1:
+        rows = docs.withColumn("_row", X.row_id())
+        judged = contamination(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark, window, block_words)
+        return rows.join(judged.where("contaminated").select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(*docs.columns)
+    held = docs.sparkSession.sparkContext.broadcast(blocks[0])
+
+    def run(batches):
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            for lo, hi, first, covered, _, _ in _covered(held.value, b.column(at)):
+                hits = _sums(covered, first)
+                keep[lo:hi] = (hits == 0) | (20 * hits < np.diff(first))
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
