@@ -35,19 +35,53 @@ def _tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    t = Tokenizer.from_file(path)
+    ends = np.zeros(t.get_vocab_size(), bool)
+    ends[[i for w, i in t.get_vocab().items() if w.endswith("</w>")]] = True
+    return t, ends
+
+
+#: Bytes: 0 white space, 1 ASCII letters and digits, 2 ASCII punctuation but the apostrophe, 3 the rest
+_KIND = np.full(256, 3, np.uint8)
+_KIND[0x21:0x7F] = 2
+_KIND[ord("'")] = 3
+_KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+#: Bytes of which a unit must consist to be a single word of the tokenizer
+_SINGLE = _KIND.copy()
+_SINGLE[0x30:0x3A] = 3
+
+
+def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first) of stretches that the tokenizer treats on their own.
+
+    It drops white space and never joins letters or digits with punctuation; only the
+    apostrophe (contractions) and what lies beyond ASCII stay with their neighbours.
+    """
+    kind = _KIND[data]
+    n = len(data)
+    before = np.zeros(n, np.uint8)
+    before[1:] = kind[:-1]
+    before[off[:-1][off[:-1] < n]] = 0
+    starts = np.flatnonzero((kind != 0) & ((before == 0) | (before + kind == 3) & (before != 3) & (kind != 3)))
+    after = np.zeros(n, np.uint8)
+    after[:-1] = kind[1:]
+    after[off[1:][off[1:] > 0] - 1] = 0
+    ends = np.flatnonzero((kind != 0) & ((after == 0) | (after + kind == 3) & (after != 3) & (kind != 3))) + 1
+    return starts, ends, np.searchsorted(starts, off)
 
 
 class Encoder:
-    """Ids of texts, word by word between ASCII spaces, each distinct word once.
+    """Ids of texts, unit by unit (see `units`), each distinct unit once.
 
-    White space separates words in this tokenizer whatever they are, so a text's ids
-    are those of its words in order.  Words are joined by a special token for a
-    call; a text that contains special tokens itself is encoded directly.
+    Units of one word each are encoded together and told apart by the marks of word
+    ends; others are joined by a special token.  A text that contains special tokens
+    itself is encoded directly.
     """
 
     def __init__(self, path: str, held: int = 1 << 20):
-        self.tokenizer, self.held = _tokenizer(path), held
+        self.tokenizer, self.ends = _tokenizer(path)
+        self.held = held
         self.mark = "<|endoftext|>"
         self.mark_id = self.tokenizer.token_to_id(self.mark)
         self.clear()
@@ -55,19 +89,34 @@ class Encoder:
     def clear(self) -> None:
         self.keys, self.begin, self.size, self.ids = np.zeros(0, X.U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        if len(self.keys) > self.held:
-            self.clear()
+    def _call(self, words: list[str], joint: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(joint.join(words), add_special_tokens=False).ids, np.uint32)
+
+    def _learn(self, keys: np.ndarray, words: list[str], single: np.ndarray) -> None:
         ids, sizes = [self.ids], []
+        order = np.argsort(~single, kind="stable")
+        plain = int(single.sum())
         for lo in range(0, len(words), 4096):
-            part = words[lo : lo + 4096]
-            got = np.array(self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, np.uint32)
-            cut = np.flatnonzero(got == self.mark_id)
-            assert len(cut) == len(part) - 1
-            sizes.append(np.diff(np.r_[-1, cut, len(got)]) - 1)
-            ids.append(got[got != self.mark_id])
+            part = [words[i] for i in order[lo : min(lo + 4096, plain) if lo < plain else lo + 4096]]
+            if lo < plain:
+                more = [words[i] for i in order[plain : lo + 4096]]
+                got = self._call(part, " ")
+                cut = np.flatnonzero(self.ends[got])
+                if len(cut) != len(part):
+                    raise RuntimeError("the tokenizer splits words in another way")
+                sizes.append(np.diff(np.r_[-1, cut]))
+                ids.append(got)
+                part = more
+            if part:
+                got = self._call(part, self.mark)
+                cut = np.flatnonzero(got == self.mark_id)
+                if len(cut) != len(part) - 1:
+                    raise RuntimeError("the tokenizer does not split at special tokens")
+                sizes.append(np.diff(np.r_[-1, cut, len(got)]) - 1)
+                ids.append(got[got != self.mark_id])
         size = np.concatenate(sizes)
         begin = len(self.ids) + np.cumsum(size) - size
+        keys = keys[order]
         order = np.argsort(all_keys := np.concatenate([self.keys, keys]), kind="stable")
         self.keys, self.begin, self.size = all_keys[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
         self.ids = np.concatenate(ids)
@@ -78,8 +127,8 @@ class Encoder:
         if b"<|" in buffer:
             each = [np.array([*self.tokenizer.encode(buffer[a:b].decode(), add_special_tokens=False).ids, END], np.uint32) for a, b in zip(off[:-1], off[1:], strict=True)]
             return np.concatenate(each), np.r_[0, np.cumsum([len(x) for x in each])]
-        starts, ends, first = X.words(data, off)
-        codes = X.word_hashes(data, starts, ends, False)
+        starts, ends, first = units(data, off)
+        codes = X.word_hashes(data, starts, ends, True)
         unique, where, inverse = np.unique(codes, return_index=True, return_inverse=True)
         k = np.minimum(np.searchsorted(self.keys, unique), max(0, len(self.keys) - 1))
         new = self.keys[k] != unique if len(self.keys) else np.ones(len(unique), bool)
@@ -87,7 +136,9 @@ class Encoder:
             if len(self.keys) > self.held:
                 self.clear()
                 new[:] = True
-            self._learn(unique[new], [buffer[a:b].decode() for a, b in zip(starts[where[new]], ends[where[new]], strict=True)])
+            a, b = starts[where[new]], ends[where[new]]
+            odd = np.r_[0, np.cumsum(_SINGLE[data] == 3)]
+            self._learn(unique[new], [buffer[x:y].decode() for x, y in zip(a, b, strict=True)], odd[a] == odd[b])
         k = np.searchsorted(self.keys, unique)[inverse] if len(unique) else np.zeros(0, np.int64)
         size = np.r_[0, np.cumsum(self.size[k])]
         bounds = size[first] + np.arange(len(off))
