@@ -25,7 +25,7 @@ def stream_log(spark: SparkSession, path: str, files_per_trigger: int | None = N
 def speeds(lines: DataFrame) -> DataFrame:
     """name, lo (exclusive), hi (inclusive), speed from lines `name,(speed,max)*,speed`."""
     cells = lines.select(F.transform(F.split(F.trim("value"), ","), lambda x: F.trim(x)).alias("c")).where(F.size("c") >= 2)
-    steps = F.transform(F.sequence(F.lit(1), F.size("c") - 1, F.lit(2)), lambda i: F.struct(F.get("c", i).alias("speed"), F.coalesce(F.get("c", i + 1).cast("int"), F.lit(MAX_DURATION)).alias("hi")))
+    steps = F.transform(F.sequence(F.lit(1), F.greatest(F.size("c") - 1, F.lit(1)), F.lit(2)), lambda i: F.struct(F.get("c", i).alias("speed"), F.coalesce(F.get("c", i + 1).cast("int"), F.lit(MAX_DURATION)).alias("hi")))
     return cells.select(F.get("c", F.lit(0)).alias("name"), steps.alias("s")).select("name", F.posexplode("s").alias("i", "x"), "s").select("name", F.when(F.col("i") == 0, -1).otherwise(F.try_element_at("s", F.col("i").cast("int"))["hi"]).alias("lo"), "x.hi", "x.speed")
 
 
