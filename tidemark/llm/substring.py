@@ -98,10 +98,10 @@ def repeats(docs: DataFrame, window: int = 50, seed: int = 10) -> tuple[DataFram
     units = staged.write(sources.mapInArrow(seeds, "doc_id long, row long, unit int, anchor long, stretch long"))
     stretches = units.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shared = stretches.groupBy("anchor").agg(F.min("low").alias("a"), F.max("high").alias("z")).where("a < z").select("anchor")
-    held = staged.write(stretches.join(shared, "anchor").select("anchor", "stretch", "low"))
+    held = stretches.join(shared, "anchor").select("anchor", "stretch", "low")
     judged = units.join(held, ["anchor", "stretch"]).select("row", (F.col("unit") * 2 + (F.col("low") < F.col("doc_id")).cast("int")).alias("mark"))
     marks = judged.groupBy("row").agg(F.collect_set("mark").alias("marks"))
-    marks = staged.write(marks.select("row", F.filter("marks", lambda m: m % 2 == 1).alias("whole"), F.filter("marks", lambda m: m % 2 == 0).alias("parts")))
+    marks = staged.write(marks.select("row", F.filter("marks", lambda m: m % 2 == 1).alias("whole"), F.filter("marks", lambda m: m % 2 == 0).alias("parts")), share=8)
 
     def windows(batches):
         for b in batches:
@@ -117,7 +117,7 @@ def repeats(docs: DataFrame, window: int = 50, seed: int = 10) -> tuple[DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo + rows]), pa.array(keys[lo + rows]), pa.array((start - u.first[rows]).astype(np.int32)), pa.array(X.signed(np.repeat(u.anchor[k], (u.high - u.low)[k]))), pa.array(X.signed(hashes))], names=["doc_id", "row", "at", "anchor", "hash"])
 
     parted = rows.join(marks.where("size(parts) > 0").select("row", "parts"), "row").select("doc_id", "row", "text", "parts")
-    single = staged.write(parted.mapInArrow(windows, "doc_id long, row long, at int, anchor long, hash long"))
+    single = staged.write(parted.mapInArrow(windows, "doc_id long, row long, at int, anchor long, hash long"), share=4)
     firsts = single.groupBy("anchor", "hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
     later = single.join(firsts, ["anchor", "hash"]).where("low < doc_id").groupBy("row").agg(F.collect_set("at").alias("windows"))
     found = marks.where("size(whole) > 0").select("row", "whole").join(later, "row", "full")

@@ -143,6 +143,43 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(np.asarray(starts, np.int64) - at, lengths) + np.arange(total)
 
 
+class Index:
+    """Values by distinct 64-bit keys, in an open hash table."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = U(64 - bits), np.int64((1 << bits) - 1)
+        self.free = np.int64(-1)
+        while (keys == self.free).any():
+            self.free -= np.int64(1)
+        self.keys, self.values = np.full(1 << bits, self.free), np.zeros(1 << bits, values.dtype)
+        left, slot = np.arange(len(keys)), self._slots(keys)
+        while len(left):
+            s = slot[left]
+            open_ = self.keys[s] == self.free
+            self.keys[s[open_]] = keys[left[open_]]
+            won = self.keys[s] == keys[left]
+            self.values[s[won]] = values[left[won]]
+            left = left[~won]
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            x = np.ascontiguousarray(keys).view(U) * U(0x9E3779B97F4A7C15)
+            return ((x ^ (x >> U(29))) * U(0xBF58476D1CE4E5B9) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values; KeyError if a key is missing."""
+        slot = self._slots(keys)
+        left = np.flatnonzero(self.keys[slot] != keys)
+        while len(left):
+            if (self.keys[slot[left]] == self.free).any():
+                raise KeyError("a key is missing")
+            slot[left] = (slot[left] + 1) & self.mask
+            left = left[self.keys[slot[left]] != keys[left]]
+        return self.values[slot]
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """64-bit hashes as Spark's LONG."""
     return np.ascontiguousarray(x, U).view(np.int64)
@@ -222,10 +259,16 @@ class Staged:
 
         self.spark, self.top, self.count = spark, f"{shared_folder(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}", 0
 
-    def write(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
+    def write(self, df: DataFrame, share: int = 0) -> DataFrame:
+        """The table, written and read again.
+
+        Small tables go to fewer files: one for every `share` shuffle partitions.
+        """
         self.count += 1
         path = f"{self.top}/{self.count}"
-        df.write.option("compression", codec).parquet(path)
+        if share:
+            df = df.coalesce(max(2, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // share))
+        df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_path = path
         return out
