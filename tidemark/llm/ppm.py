@@ -77,11 +77,12 @@ class Summed:
         self.tokens += int(((np.diff(first) + 1) * train).sum())
         self.texts += int(train.sum())
         for kind, keys, sizes in ((WORDS, codes, np.diff(first)), (GRAMS, grams, np.diff(bounds))):
-            weight = np.repeat(train.astype(np.int64), sizes)
-            key, count = _reduce([keys], [weight])
-            self.held[kind][0].append(key)
-            self.held[kind][1].append(count)
-            self.size += len(key)
+            learned = np.repeat(train, sizes)
+            for part, factor in ((keys[learned], 1), (keys[~learned], 0)):
+                key, count = np.unique(part, return_counts=True)
+                self.held[kind][0].append(key)
+                self.held[kind][1].append(count * factor)
+                self.size += len(key)
         if self.size > 8 << 20:
             self.compact()
 
@@ -160,8 +161,9 @@ def ppm(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, mod: int = 10, held: int = 0, by_file: bool = False, block_bytes: int = 32 << 20) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Texts are taken in blocks: with `by_file` those of each split of the files that
-    `docs` is read from, else of a hash over about `block_bytes` of text each.
+    Texts are taken in blocks: with `by_file` stretches of the files that `docs` is read
+    from, of two times `block_bytes`, else by a hash, of about `block_bytes` each.  Both
+    readings must find a text in the same block; a key without an answer is an error.
     """
     spark = docs.sparkSession
     staged = X.Staged(spark)
@@ -169,7 +171,7 @@ def score(docs: DataFrame, mod: int = 10, held: int = 0, by_file: bool = False,
     rest = X.remainder(mod)
     flags = [F.coalesce(rest == held, F.lit(False)).alias("held_out"), F.coalesce(rest != held, F.lit(False)).alias("train")]
     if by_file:
-        block = F.xxhash64(F.input_file_name(), F.input_file_block_start())
+        block = F.xxhash64(F.input_file_name(), F.floor(F.input_file_block_start() / (2 * block_bytes)))
         rows = X.plain(docs, block.alias("block")).select("block", "doc_id", "text", *flags)
         gathered = rows
     else:
@@ -203,7 +205,7 @@ def score(docs: DataFrame, mod: int = 10, held: int = 0, by_file: bool = False,
         grams, n = _reduce([_longs(k) for k in t.column("keys")], [_longs(c) for c in t.column("counts")])
         return pa.table({"gram": grams, "n": n})
 
-    grams = staged.write(requests.where(f"kind = {GRAMS}").groupBy("bucket").applyInArrow(sum_grams, "gram long, n long"))
+    grams = staged.write(requests.where(f"kind = {GRAMS}").groupBy("bucket").applyInArrow(sum_grams, "gram long, n long"), share=4)
     pairs = np.zeros((SYMBOLS, SYMBOLS))
     low = (1 << 2 * SYMBOL_BITS) - 1
     for r in grams.where("n > 0").groupBy(F.col("gram").bitwiseAND(low).alias("pair")).agg(F.sum("n").alias("n")).toLocalIterator():  # at most 257 * 257 rows
@@ -224,23 +226,28 @@ def score(docs: DataFrame, mod: int = 10, held: int = 0, by_file: bool = False,
     answer = "block long, kind int, keys binary, values binary"
     schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())])
 
+    def answers_of(asked, kind, keys, values):
+        """The values for each block, whose requests may come in several parts."""
+        parts = {}
+        for block, wanted in zip(asked.column("block").to_pylist(), asked.column("keys"), strict=True):
+            parts.setdefault(block, []).append(_longs(wanted))
+        wanted = [k[0] if len(k) == 1 else np.unique(np.concatenate(k)) for k in parts.values()]
+        found = [values[np.searchsorted(keys, k)].tobytes() for k in wanted]
+        return pa.Table.from_arrays([pa.array(list(parts), pa.int64()), pa.array(np.full(len(parts), kind, np.int32)), X.binary(wanted), pa.array(found, pa.binary())], schema=schema)
+
     def answer_grams(key, asked, known):
         grams, logp = known.column("gram").to_numpy(), known.column("logp").to_numpy()
         order = np.argsort(grams)
-        grams, logp = grams[order], logp[order]
-        values = [logp[np.searchsorted(grams, _longs(k))].tobytes() for k in asked.column("keys")]
-        return pa.Table.from_arrays([asked.column("block"), pa.array(np.full(asked.num_rows, GRAMS, np.int32)), asked.column("keys"), pa.array(values, pa.binary())], schema=schema)
+        return answers_of(asked, GRAMS, grams[order], logp[order].astype(np.float32))
 
     def answer_words(key, asked):
         words, n = _reduce([_longs(k) for k in asked.column("keys")], [_longs(c) for c in asked.column("counts")])
-        values = [n[np.searchsorted(words, _longs(k))].astype(np.float64).tobytes() for k in asked.column("keys")]
-        blocks = [*asked.column("block").to_pylist(), 0]
-        kinds = [*[WORDS] * asked.num_rows, 2]
-        return pa.Table.from_arrays([pa.array(blocks, pa.int64()), pa.array(kinds, pa.int32()), pa.array([*asked.column("keys").to_pylist(), np.array([(n > 0).sum()], np.int64).tobytes()], pa.binary()), pa.array([*values, b""], pa.binary())], schema=schema)
+        known = pa.Table.from_arrays([pa.array([0], pa.int64()), pa.array([2], pa.int32()), X.binary([np.array([(n > 0).sum()], np.int64)]), pa.array([b""], pa.binary())], schema=schema)
+        return pa.concat_tables([answers_of(asked, WORDS, words, n), known])
 
     of_grams = requests.where(f"kind = {GRAMS}").select("bucket", "block", "keys").groupBy("bucket").cogroup(predicted.groupBy("bucket")).applyInArrow(answer_grams, answer)
     of_words = requests.where(f"kind = {WORDS}").select("bucket", "block", "keys", "counts").groupBy("bucket").applyInArrow(answer_words, answer)
-    answers = staged.write(of_grams.unionByName(of_words))
+    answers = staged.write(of_grams.unionByName(of_words), share=2)
     staged.drop(requests, grams)
     distinct = sum(int(_longs(bytes(r["keys"]))[0]) for r in answers.where("kind = 2").select("keys").toLocalIterator()) + (texts > 0)
     whole = tokens + 0.1 * (distinct + 1)
@@ -253,12 +260,6 @@ def score(docs: DataFrame, mod: int = 10, held: int = 0, by_file: bool = False,
     asked = rows.select("block", F.lit(DOCS).alias("kind"), "doc_id", "text", "held_out", *null("keys", "values"))
     met = given.unionByName(asked).repartition("block").sortWithinPartitions("block", "kind")
 
-    def look_up(table, keys):
-        at = np.minimum(np.searchsorted(table[0], keys), max(len(table[0]) - 1, 0))
-        if len(keys) and (not len(table[0]) or (table[0][at] != keys).any()):
-            raise RuntimeError("a block's texts changed between two readings")
-        return table[1][at]
-
     def finish(batches):
         at, parts, tables = None, {}, {}
         for b in batches:
@@ -272,26 +273,25 @@ def score(docs: DataFrame, mod: int = 10, held: int = 0, by_file: bool = False,
                     at, parts, tables = blocks[x], {WORDS: [], GRAMS: []}, {}
                 if kinds[x] != DOCS:
                     for i in range(x, y):
-                        parts[int(kinds[i])].append((_longs(b.column(5)[i]), np.frombuffer(b.column(6)[i].as_buffer(), np.float64)))
+                        parts[int(kinds[i])].append((_longs(b.column(5)[i]), np.frombuffer(b.column(6)[i].as_buffer(), np.int64 if kinds[i] == WORDS else np.float32)))
                     continue
                 if not tables:
                     for kind, got in parts.items():
-                        keys, values = (np.concatenate(z) for z in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0))
-                        order = np.argsort(keys)
-                        tables[kind] = (keys[order], values[order])
+                        keys, values = (np.concatenate(z) for z in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                        tables[kind] = X.Index(keys, values)
                     parts = {}
                 ids, out = b.column(2).slice(x, y - x), b.column(4).slice(x, y - x)
                 n_tokens, n_known = np.zeros(y - x, np.int64), np.zeros(y - x, np.int64)
                 base, scores = np.zeros(y - x), np.zeros(y - x)
                 for lo, hi, data, off in X.chunks(b.column(3).slice(x, y - x)):
                     starts, ends, first = X.words(data, off)
-                    c = look_up(tables[WORDS], X.signed(X.word_hashes(data, starts, ends, True)))
-                    sums = lambda v, f: np.diff(np.r_[0, np.cumsum(v)][f])
+                    c = tables[WORDS].get(X.signed(X.word_hashes(data, starts, ends, True)))
+                    sums = lambda v, f: np.diff(np.r_[0, np.cumsum(v, dtype=np.float64)][f])
                     n_tokens[lo:hi] = np.diff(first) + 1
-                    n_known[lo:hi] = sums(c > 0, first) + known_end
+                    n_known[lo:hi] = sums(c > 0, first).astype(np.int64) + known_end
                     base[lo:hi] = sums(np.log10((c + 0.1) / whole), first) + end_score
                     grams, bounds = symbols(data, off)
-                    scores[lo:hi] = sums(look_up(tables[GRAMS], grams), bounds)
+                    scores[lo:hi] = sums(tables[GRAMS].get(grams), bounds)
                 yield pa.RecordBatch.from_arrays([ids, out, pa.array(n_tokens), pa.array(n_known), pa.array(np.full(y - x, tokens)), pa.array(base), pa.array(scores)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return met.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
