@@ -35,3 +35,17 @@ def test_entry(spark):
     assert set(registry.queries()) <= set(entry.queries())
     with_llm = importlib.util.find_spec("tidemark.llm") is not None
     assert any(q.startswith("op1_") for q in entry.queries()) == with_llm
+
+
+def test_entry_without_training_data_operators(tmp_path):
+    """The rest stands without that subpackage and its pipeline."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(entry.__file__).parent
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    shutil.copytree(root / "tidemark", tmp_path / "tidemark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'rules_slow' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, check=True)

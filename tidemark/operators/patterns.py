@@ -70,18 +70,19 @@ def range_rules(patterns: DataFrame, sizes: DataFrame, n: int, first: int, last:
 def droppable_tail(patterns: DataFrame, sizes: DataFrame, n: int, min_support: float, min_pattern_support: float) -> DataFrame:
     """items, drop_from: the first granularity (0 quarter .. 4 year) that may be dropped.
 
-    From the oldest bucket on, a run of buckets is droppable as long as each stays under
-    min_support of its events and the run as a whole under min_pattern_support; what is
-    dropped are whole granularities that begin within the run.
+    From the pattern's oldest bucket on, a run of buckets is droppable as long as each
+    stays under min_support of its events and the run so far under min_pattern_support;
+    what is dropped are whole granularities that begin within the run.
     """
     events = with_bucket(sizes, n).groupBy("bucket").agg(F.sum("n_events").alias("size"))
     own = windows(patterns, n)
-    grid = own.select("items").distinct().join(F.broadcast(events))  # at most 72 buckets a pattern
+    grid = own.groupBy("items").agg(F.max("bucket").alias("oldest")).join(F.broadcast(events)).where("bucket <= oldest")  # at most 72 buckets a pattern
     full = grid.join(own, ["items", "bucket"], "left").withColumn("support", F.coalesce("support", F.lit(0)))
     old = Window.partitionBy("items").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, 0)
-    run = full.withColumn("weak", F.min((F.col("support") < F.ceil(F.lit(min_support) * F.col("size"))).cast("int")).over(old))
-    run = run.withColumn("sum", F.sum("support").over(old)).withColumn("events", F.sum("size").over(old))
-    tail = run.where((F.col("weak") == 1) & (F.col("sum") < F.ceil(F.lit(min_pattern_support) * F.col("events")))).groupBy("items").agg(F.min("bucket").alias("youngest"))
+    run = full.withColumn("sum", F.sum("support").over(old)).withColumn("events", F.sum("size").over(old))
+    weak = (F.col("support") < F.ceil(F.lit(min_support) * F.col("size"))) & (F.col("sum") < F.ceil(F.lit(min_pattern_support) * F.col("events")))
+    run = run.withColumn("weak", weak.cast("int")).withColumn("weak", F.min("weak").over(old))
+    tail = run.where("weak = 1").groupBy("items").agg(F.min("bucket").alias("youngest"))
     starts = [first for _, first in LEVELS] + [YEAR_BUCKET]
     drop = F.coalesce(*[F.when(F.col("youngest") <= s, F.lit(g)) for g, s in enumerate(starts)])
     return tail.withColumn("drop_from", drop).where("drop_from is not null").select("items", "drop_from")

@@ -420,9 +420,9 @@ _register_ranges()
 
 
 @query(f"""{_TIMED}, ev AS (SELECT bucket, sum(n_events) AS size FROM ws GROUP BY bucket), own AS (SELECT items, bucket, sum(support) AS support FROM wp GROUP BY ALL),
-  f AS (SELECT g.items, g.bucket, size, coalesce(support, 0) AS support FROM (SELECT items, bucket, size FROM (SELECT DISTINCT items FROM own), ev) g LEFT JOIN own USING (items, bucket)),
-  r AS (SELECT items, bucket, min(CAST(support < ceil({SIGMA * 4} * size) AS INT)) OVER o AS weak, sum(support) OVER o AS s, sum(size) OVER o AS e FROM f WINDOW o AS (PARTITION BY items ORDER BY bucket DESC ROWS UNBOUNDED PRECEDING)),
-  t AS (SELECT items, min(bucket) AS y FROM r WHERE weak = 1 AND s < ceil({EPSILON * 4} * e) GROUP BY items)
+  f AS (SELECT g.items, g.bucket, size, coalesce(support, 0) AS support FROM (SELECT items, bucket, size FROM (SELECT items, max(bucket) AS oldest FROM own GROUP BY items), ev WHERE bucket <= oldest) g LEFT JOIN own USING (items, bucket)),
+  r AS (SELECT items, bucket, support < ceil({SIGMA * 4} * size) AND sum(support) OVER o < ceil({EPSILON * 4} * sum(size) OVER o) AS weak FROM f WINDOW o AS (PARTITION BY items ORDER BY bucket DESC ROWS UNBOUNDED PRECEDING)),
+  t AS (SELECT items, min(bucket) AS y FROM (SELECT items, bucket, bool_and(weak) OVER (PARTITION BY items ORDER BY bucket DESC ROWS UNBOUNDED PRECEDING) AS weak FROM r) WHERE weak GROUP BY items)
 SELECT items, CASE WHEN y <= 0 THEN 0 WHEN y <= 4 THEN 1 WHEN y <= 28 THEN 2 WHEN y <= 59 THEN 3 ELSE 4 END AS drop_from FROM t""")
 def droppable_tail(spark, sf):
     p, sizes, n = _timed(spark, sf)
