@@ -28,12 +28,15 @@ BLOCK, WIDTH = 128, 4
 
 
 def layout(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes padded with zeros to whole blocks, first block of each row)."""
+    """(bytes padded with zeros to whole blocks, first block of each row).
+
+    Every row begins with zeros, so that no filter sees bytes of two rows.
+    """
     size = np.diff(off)
     blocks = -(-(size + WIDTH - 1) // BLOCK)
     first = np.r_[0, np.cumsum(blocks)]
     out = np.zeros(int(first[-1]) * BLOCK + WIDTH, np.uint8)
-    out[X.ranges(first[:-1] * BLOCK, size)] = data
+    out[X.ranges(first[:-1] * BLOCK + WIDTH - 1, size)] = data
     return out, first
 
 
