@@ -63,7 +63,8 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 class Model:
     """table: logits of each bucket; languages, temperature and the rejection score."""
 
-    def __init__(self, texts: list[str], langs: list[str], dims: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 7):
+    def __init__(self, texts: list[str], langs: list[str], dims: int = 16, epochs: int = 6, steps: int = 6000, rate: float = 0.5, seed: int = 7):
+        """`epochs` rounds over the texts, more for few of them."""
         self.languages = sorted(set(langs))
         k = len(self.languages)
         label = np.array([self.languages.index(x) for x in langs])
@@ -81,6 +82,7 @@ class Model:
         order = rng.permutation(len(rows))
         kept = order[: max(1, len(order) // 3)] if len(order) > 30 else order[:0]
         fit = order[len(kept) :]
+        epochs = max(epochs, -(-steps // max(1, len(fit))))
         for epoch in range(epochs):
             step = rate * (1 - epoch / epochs)
             for i in rng.permutation(fit):
