@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, jaccard, langid, merkle, packing, pii, ppm, quality, secrets, substring, textcore
+from tidemark.llm import decontaminate, jaccard, langid, merkle, packing, pii, ppm, quality, secrets, sql, substring, textcore
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -87,4 +87,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL can express neither learned models, hashed trees, the tokenizer nor spans of matches."""
+    return {
+        "op1_substring_dedup": sql.SUBSTRING.strip(),
+        "op5_ngram_jaccard_join": sql.JACCARD.strip(),
+        "op7_benchmark_decontamination": sql.DECONTAMINATION.strip(),
+    }
