@@ -22,7 +22,7 @@ def components(edges: DataFrame, staged: X.Staged, rounds: int = 60) -> DataFram
     Each round makes every node point to the smallest node it knows of; a node with many
     edges is only ever aggregated, never gathered.  Edges are written between rounds.
     """
-    now = staged.write(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = staged.write(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), share=32)
     before = None
     for _ in range(rounds):
         # large star: neighbours above u are tied to the smallest node around u
@@ -32,7 +32,7 @@ def components(edges: DataFrame, staged: X.Staged, rounds: int = 60) -> DataFram
         low = _nearest(large, True)
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("least").alias("v")).union(joined.select("u", F.col("least").alias("v"))).where("u != v").distinct()
-        after = staged.write(small)
+        after = staged.write(small, share=32)
         sign = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         staged.drop(now)
         now = after

@@ -7,15 +7,17 @@ the first.  A partner within the radius may lack the first ones, but not all of
 `n - ceil(t n) + 1`; so boundary documents are replicated to just these regions, and two
 linked documents always meet.
 
-Within the regions the pivots are documents, the most central ones first.  What lies
-within the radius of a pivot is linked to it; for the rest the triangle inequality gives
-the window |d(x, p) - d(y, p)| <= radius outside of which no pair can be linked.
-Regions whose members all belong to one component are finished; the others go on with
-more pivots each time, until none is left.  Distances are computed exactly from
-whole sets.  So components are those of all links, without comparing copies pairwise.
+Regions with the same most central document become one region around that pivot.
+Members that no other member can be linked with, by the number of first shingles that
+they share, leave; for the others whole sets are sent.  Within a region documents are
+the pivots: members go to the nearest one and, by the triangle inequality, also to every
+pivot that is at most two radii farther, and these regions are joined in the same way
+until they stay as large or are small, when all distances are computed exactly.  A
+region gives back one edge for each member of a component, never its pairs.  Large
+regions are dealt out as pairs of blocks, so no task holds more than two blocks.
 
 Equal sets form one class and take part once.  Frequent shingles come from a bounded
-list (`frequent`), which only sets the order and spreads their regions over all tasks.
+list (`frequent`), which only sets the order and spreads their replicas over all tasks.
 
 Defined results: a null or wordless text has an empty set and is linked with nothing;
 a null doc_id takes part, but never names a component (a component of such rows only has
@@ -27,15 +29,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textcore as X
 from tidemark.llm.components import components
-from tidemark.llm.shingles import Sets
+from tidemark.llm.shingles import Sets, by_row
 
 _CHUNK = 2 << 20
 _BITS = 26
+#: Packed columns of a bucket
+_BLOBS = {"cells": np.uint64, "classes": np.int64, "ranks": np.uint8, "homes": np.int64, "sizes": np.int32, "marks": np.uint32}
 
 
 class _Once:
@@ -82,21 +86,27 @@ def _needed(n, num: int, den: int):
 
 
 def regions(docs: DataFrame, hot: np.ndarray, num: int, den: int, size: int, buckets: int) -> DataFrame:
-    """Replicas of each class: of frequent shingles as rows, of others packed by bucket."""
+    """Replicas (shingle, class, rank) packed by bucket, and each class's size and marks.
+
+    A frequent shingle's replicas are dealt to all buckets by their class.  The rank is
+    lowest for classes whose first shingles are all frequent: the middle of a large
+    group.  The marks are the places in the order of every sixteenth part of them.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(hot)
-    schema = pa.schema([("bucket", pa.int32()), ("cell", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("cells", pa.binary()), ("classes", pa.binary()), ("sizes", pa.binary())])
 
-    def packed(held):
-        code, identity, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        where = (code >> X.U(20)).astype(np.int64) % buckets
+    def dealt(where, columns):
         order = np.argsort(where, kind="stable")
         cut = np.searchsorted(where[order], np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(cut))
-        for lo in range(0, len(full), 256):
-            part = full[lo : lo + 256]
-            blobs = [X.binary([x[order[cut[i] : cut[i + 1]]] for i in part]) for x in (code, identity, n.astype(np.int32))]
-            none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), none, none, none, *blobs], schema=schema)
+        return lambda i: [x[order[cut[i] : cut[i + 1]]] for x in columns]
+
+    def packed(held):
+        code, identity, rank, is_hot, homes, sizes, marks = (np.concatenate(x) for x in zip(*held, strict=True))
+        replicas = dealt(((np.where(is_hot, identity, code) >> X.U(20)) % X.U(buckets)).astype(np.int64), (code, identity, rank))
+        profiles = dealt(((homes >> X.U(20)) % X.U(buckets)).astype(np.int64), (homes, sizes, marks))
+        for lo in range(0, buckets, 64):
+            part = range(lo, min(buckets, lo + 64))
+            blobs = [X.binary(list(x)) for x in zip(*[replicas(i) + profiles(i) for i in part], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *blobs], names=["bucket", *_BLOBS])
 
     def run(batches):
         frequent, once, held, amount = shared.value, _Once(), [], 0
@@ -105,54 +115,283 @@ def regions(docs: DataFrame, hot: np.ndarray, num: int, den: int, size: int, buc
                 s = Sets(data, off, size)
                 new = once.first(s.identity, s.sizes > 0)
                 code = s.codes[X.ranges(s.first[new], s.sizes[new])]
-                row = np.repeat(new, s.sizes[new])
-                at = np.minimum(np.searchsorted(frequent, code), max(len(frequent) - 1, 0))
-                is_hot = frequent[at] == code if len(frequent) else np.zeros(len(code), bool)
-                order = np.lexsort((X.mix(code), is_hot, row))
-                code, row, is_hot = code[order], row[order], is_hot[order]
-                first = np.cumsum(s.sizes[new]) - s.sizes[new]
-                place = np.arange(len(code)) - np.repeat(first, s.sizes[new])
-                n = s.sizes[row]
-                kept = place <= n - _needed(n, num, den)
-                code, row, is_hot, n = code[kept], row[kept], is_hot[kept], n[kept]
-                if is_hot.any():
-                    k = int(is_hot.sum())
-                    none = pa.nulls(k, pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.array(X.signed(code[is_hot])), pa.array(X.signed(s.identity[row[is_hot]])), pa.array(n[is_hot]), none, none, none], schema=schema)
-                held.append((code[~is_hot], s.identity[row[~is_hot]], n[~is_hot]))
-                amount += len(held[-1][0])
+                row = np.repeat(np.arange(len(new)), s.sizes[new])
+                is_hot = _among(frequent, code)
+                key = _order(code, is_hot)
+                order = by_row(row, key)
+                code, row, is_hot, key = code[order], row[order], is_hot[order], key[order]
+                n = s.sizes[new]
+                begin = np.cumsum(n) - n
+                first = n - _needed(n, num, den) + 1
+                kept = X.ranges(begin, first)
+                row = row[kept]
+                often = np.bincount(row, is_hot[kept], len(new)) / first
+                rank = (255 - np.floor(255 * often)).astype(np.uint8)
+                at = np.maximum(np.arange(1, 17) * first[:, None] // 16 - 1, 0) + begin[:, None]
+                marks = (key[at] >> X.U(32)).astype(np.uint32)
+                held.append((code[kept], s.identity[new][row], rank[row], is_hot[kept], s.identity[new], n.astype(np.int32), marks))
+                amount += len(kept)
                 if amount > 1 << 21:
                     yield from packed(held)
                     held, amount = [], 0
         if amount:
             yield from packed(held)
 
-    return X.plain(docs).mapInArrow(run, "bucket int, cell long, class long, n long, cells binary, classes binary, sizes binary")
+    return X.plain(docs).mapInArrow(run, "bucket int, " + ", ".join(f"{c} binary" for c in _BLOBS))
+
 
+def _order(codes: np.ndarray, is_hot: np.ndarray) -> np.ndarray:
+    """The place of shingles in the one order of all: frequent ones last, else by hash."""
+    return (X.mix(codes) >> X.U(1)) | (is_hot.astype(X.U) << X.U(63))
 
-def _met(key, t):
-    """Regions with at least two classes, out of one bucket."""
-    cell, identity, n = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t.column(name)]) for name, kind in (("cells", np.int64), ("classes", np.int64), ("sizes", np.int32)))
-    order = np.lexsort((identity, cell))
-    cell, identity, n = cell[order], identity[order], n[order]
-    new = np.ones(len(cell), bool)
-    new[1:] = (cell[1:] != cell[:-1]) | (identity[1:] != identity[:-1])
-    cell, identity, n = cell[new], identity[new], n[new]
-    same = np.zeros(len(cell) + 1, bool)
-    same[1:-1] = cell[1:] == cell[:-1]
-    kept = same[1:] | same[:-1]
-    return pa.table({"cell": cell[kept], "class": identity[kept], "n": n[kept].astype(np.int64)})
 
+def _among(listed: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    if not len(listed):
+        return np.zeros(len(codes), bool)
+    return listed[np.minimum(np.searchsorted(listed, codes), len(listed) - 1)] == codes
 
-def distances(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """a, b, common, total: exact sizes of intersection and union of pairs of classes.
+
+def meeting(sent: DataFrame, hot: np.ndarray) -> DataFrame:
+    """cell, class, rank, pivot of replicas that may meet another class; class, n, marks of all.
+
+    A whole cell has its pivot, the class of the lowest rank and then the smallest;
+    frequent shingles, of which a bucket holds only a share, have none yet.
+    """
+    shared = sent.sparkSession.sparkContext.broadcast(hot)
+
+    def met(key, t):
+        cell, identity, rank, homes, sizes, marks = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t.column(name)]) for name, kind in _BLOBS.items())
+        order = np.lexsort((identity, rank, cell))
+        cell, identity, rank = cell[order], identity[order], rank[order]
+        new = np.ones(len(cell), bool)
+        new[1:] = (cell[1:] != cell[:-1]) | (identity[1:] != identity[:-1])
+        cell, identity, rank = cell[new], identity[new], rank[new]
+        start = np.ones(len(cell), bool)
+        start[1:] = cell[1:] != cell[:-1]
+        run = np.cumsum(start) - 1
+        often = _among(shared.value, cell)
+        kept = (np.bincount(run, minlength=1)[run] > 1) | often
+        pivot = identity[start][run]
+        k, (homes, where) = int(kept.sum()), np.unique(homes, return_index=True)
+        marks = marks.reshape(-1, 16)[where]
+        none = pa.nulls(len(homes), pa.int64())
+        parts = [
+            [pa.array(X.signed(cell[kept])), pa.array(identity[kept]), pa.array(rank[kept].astype(np.int32)), pa.array(pivot[kept], mask=often[kept]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())],
+            [none, pa.array(homes), pa.nulls(len(homes), pa.int32()), none, pa.array(sizes[where].astype(np.int64)), X.binary(list(marks))],
+        ]
+        return pa.concat_tables([pa.Table.from_arrays(p, names=["cell", "class", "rank", "pivot", "n", "marks"]) for p in parts])
+
+    return sent.groupBy("bucket").applyInArrow(met, "cell long, class long, rank int, pivot long, n long, marks binary")
+
+
+def _shared(group: np.ndarray, member: np.ndarray, cell: np.ndarray, most: int = 1 << 22):
+    """(x, y, count) of members that share cells of their group.
+
+    Comes in parts, each with all partners of some members.
+    """
+    order = np.lexsort((cell, group))
+    g, c = group[order], cell[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+    start = np.flatnonzero(new)
+    length = np.diff(np.r_[start, len(g)])
+    run = np.empty(len(g), np.int64)
+    run[order] = np.cumsum(new) - 1
+    by_member = np.argsort(member, kind="stable")
+    by_member = by_member[length[run[by_member]] > 1]
+    size = np.cumsum(length[run[by_member]])
+    lo = 0
+    while lo < len(by_member):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + most, "right")))
+        while hi < len(by_member) and member[by_member[hi]] == member[by_member[hi - 1]]:
+            hi += 1
+        left = by_member[lo:hi]
+        n = length[run[left]]
+        right = order[X.ranges(start[run[left]], n)]
+        key, count = np.unique(np.repeat(member[left], n) * np.int64(1 << 32) + member[right], return_counts=True)
+        x, y = key >> 32, key & 0xFFFFFFFF
+        yield x[x != y], y[x != y], count[x != y]
+        lo = hi
+
+
+class _Others:
+    """Tells pairs of members that also meet in the region of a smaller pivot, where they are judged."""
+
+    def __init__(self, pivot: np.ndarray, lengths: np.ndarray, homes: np.ndarray):
+        self.known, code = np.unique(np.concatenate([homes, pivot]), return_inverse=True)
+        self.homes, self.pivot = code[: len(homes)], code[len(homes) :]
+        self.first, self.lengths = np.cumsum(lengths) - lengths, lengths
+        self.keys = np.repeat(np.arange(len(lengths)), lengths) * np.int64(len(self.known)) + self.homes  # ascending
+
+    def elsewhere(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        at = X.ranges(self.first[x], self.lengths[x])
+        pair = np.repeat(np.arange(len(x)), self.lengths[x])
+        smaller = self.homes[at] < self.pivot[x[pair]]
+        at, pair = at[smaller], pair[smaller]
+        key = y[pair] * np.int64(len(self.known)) + self.homes[at]
+        found = self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key
+        return np.bincount(pair[found], minlength=len(x)) > 0
+
+
+def _hopeful(group: np.ndarray, n: np.ndarray, marks: np.ndarray, member: np.ndarray, cell: np.ndarray, others: _Others, num: int, den: int) -> np.ndarray:
+    """Members that their first shingles do not rule out to be linked with another one.
+
+    Up to the end of the shorter reaching of two sets' first shingles both are known:
+    the marks tell how many shingles each holds there at least, and the cells how
+    many they share at most; all others lie in one of them only.
+    """
+    out = np.zeros(len(n), bool)
+    first = n - _needed(n, num, den) + 1
+    for x, y, c in _shared(group[member], member, cell):
+        until = np.minimum(marks[x, 15], marks[y, 15])[:, None]
+        held = sum((marks[z] < until).sum(axis=1) * first[z] // 16 for z in (x, y))
+        alike = np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num
+        likely = np.flatnonzero(alike & ((held - 2 * c) * (den + num) <= (n[x] + n[y]) * (den - num)))
+        x, y = x[likely], y[likely]
+        out[x[~others.elsewhere(x, y)]] = True
+    return out
+
+
+def survivors(met: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """pivot, i, j, class: members of regions (of two blocks of them) that can have links."""
+    replicas = met.where("cell is not null")
+    often = replicas.where("pivot is null").select("cell", "class", "rank")
+    pivots = often.groupBy("cell").agg(F.min(F.struct("rank", "class"))["class"].alias("pivot"))
+    members = replicas.where("pivot is not null").select("pivot", "class").union(often.join(F.broadcast(pivots), "cell").select("pivot", "class")).distinct()  # at most `frequent` rows
+    blocks = members.groupBy("pivot").agg(F.count("*").alias("size")).where("size > 1").select("pivot", F.ceil(F.col("size") / block).alias("blocks"))
+    own = F.pmod(F.xxhash64("class"), F.col("blocks"))
+    dealt = members.join(blocks, "pivot").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keyed = dealt.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class")
+    # half of a cell's name will do for counting: a collision only makes a pair look more alike
+    firsts = replicas.groupBy("class").agg(F.collect_list(F.shiftright("cell", 32).cast("int")).alias("cells")).join(met.where("cell is null").select("class", "n", "marks"), "class")
+    homes = members.join(blocks, "pivot", "left_semi").groupBy("class").agg(F.sort_array(F.collect_list("pivot")).alias("pivots"))
+    rows = keyed.join(firsts.join(homes, "class"), "class").select("pivot", "i", "j", "class", "n", "marks", "cells", "pivots").repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            lo = 0
+            keys = np.stack([b.column(k).to_numpy() for k in range(3)])
+            cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            if held and b.num_rows and not any(held[-1].column(k)[-1].as_py() != keys[k, 0] for k in range(3)):
+                lo = int(cut[0]) if len(cut) else b.num_rows  # the group of the batch before goes on
+                held.append(b.slice(0, lo))
+                size += len(held[-1].column(6).flatten())
+            if size > 1 << 20 and lo < b.num_rows:
+                yield from judged(held)
+                held, size = [], 0
+            if lo < b.num_rows:
+                # whole groups only: the last one may go on in the next batch
+                held.append(b.slice(lo))
+                size += len(held[-1].column(6).flatten())
+        if held:
+            yield from judged(held)
+
+    def judged(held):
+        t = pa.Table.from_batches(held).combine_chunks()
+        keys = [t.column(k).to_numpy() for k in range(3)]
+        new = np.ones(t.num_rows, bool)
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        group = np.cumsum(new) - 1
+        cells = t.column(6).combine_chunks()
+        member = np.repeat(np.arange(t.num_rows), np.asarray(cells.value_lengths()))
+        marks = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column(5)])
+        homes = t.column(7).combine_chunks()
+        others = _Others(keys[0], np.asarray(homes.value_lengths()), homes.flatten().to_numpy())
+        hopeful = _hopeful(group, t.column(4).to_numpy(), marks, member, cells.flatten().to_numpy(), others, num, den)
+        yield from t.select([0, 1, 2, 3]).filter(pa.array(hopeful)).to_batches()
+
+    return rows.mapInArrow(run, "pivot long, i long, j long, class long")
+
+
+def _common(row: np.ndarray, code: np.ndarray, m: int, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of rows `left` with rows `right`; code numbers the shingles."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    df = np.bincount(code)
+    useful = df > 1
+    number = np.cumsum(useful) - 1
+    kept = useful[code]
+    row, code = row[kept], number[code[kept]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    total = int(useful.sum())
+    cut = np.searchsorted(code, np.arange(0, total + width, width))
+    for k in range(len(cut) - 1):
+        a = np.zeros((m, min(width, total - k * width)), np.float32)
+        a[row[cut[k] : cut[k + 1]], code[cut[k] : cut[k + 1]] - k * width] = 1
+        out += a[left] @ a[right].T
+    return out
+
+
+def region_links(codes: list[np.ndarray], num: int, den: int, direct: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (x, y) of a region at a similarity of at least num / den, by recursion over pivots."""
+    m = len(codes)
+    n = np.array([len(c) for c in codes], np.int64)
+    flat = np.concatenate(codes)
+    row = np.repeat(np.arange(m), n)
+    code = np.unique(flat, return_inverse=True)[1]
+    reach = 2 * (1 - num / den) + 1e-6
+
+    def part(of: np.ndarray):
+        inside = np.isin(row, of)
+        place = np.zeros(m, np.int64)
+        place[of] = np.arange(len(of))
+        return place[row[inside]], np.unique(code[inside], return_inverse=True)[1]
+
+    def direct_links(home: np.ndarray, of: np.ndarray):
+        r, c = part(of)
+        left = np.searchsorted(of, home)
+        both = _common(r, c, len(of), left, np.arange(len(of))).astype(np.int64)
+        x, y = np.nonzero(both * (den + num) >= num * (n[home][:, None] + n[of][None]))
+        x, y = home[x], of[y]
+        return x[x != y], y[x != y]
+
+    def join(home: np.ndarray, of: np.ndarray):
+        """Links between `home` and all members `of` the region; both sorted, home within of."""
+        if len(of) <= direct:
+            return [direct_links(home, of)]
+        pivots = of[:: max(1, len(of) // 8)]
+        r, c = part(of)
+        both = _common(r, c, len(of), np.arange(len(of)), np.searchsorted(of, pivots))
+        away = 1 - both / (n[of][:, None] + n[pivots][None] - both)
+        nearest = away.argmin(axis=1)
+        at_home = np.isin(of, home)
+        least = away.min(axis=1)
+        out = []
+        for k in range(len(pivots)):
+            inner = of[(nearest == k) & at_home]
+            if not len(inner):
+                continue
+            window = of[(nearest == k) | (away[:, k] <= least + reach)]
+            out += join(inner, window) if len(window) < 0.7 * len(of) else [direct_links(inner, window)]
+        return out
+
+    every = np.arange(m)
+    x, y = (np.concatenate(z) for z in zip(*join(every, every), strict=True))
+    return x, y
+
+
+def _forest(m: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest member that each one reaches."""
+    least = np.arange(m)
+    while len(x):
+        before = least.copy()
+        np.minimum.at(least, x, least[y])
+        np.minimum.at(least, y, least[x])
+        least = least[least]
+        if (least == before).all():
+            break
+    return least
+
+
+def edges(docs: DataFrame, kept: DataFrame, num: int, den: int, size: int) -> DataFrame:
+    """a, b: classes of one component, one edge for each member of a region at most.
 
     Sets are sent for needed classes only: a bitmap of fixed size (8 MB) tells the
     readers which these may be; a false hit costs a set sent in vain.
     """
     spark = docs.sparkSession
-    bit = F.pmod("class", F.lit(1 << _BITS))
-    needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).select(bit.alias("bit"))
+    needed = kept.select(F.pmod("class", F.lit(1 << _BITS)).alias("bit"))
     words = needed.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits"))
     bitmap = np.zeros(1 << (_BITS - 6), np.int64)
     for r in words.toLocalIterator():
@@ -171,81 +410,36 @@ def distances(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
                     part = new[lo : lo + 256]
                     yield pa.RecordBatch.from_arrays([pa.array(X.signed(s.identity[part])), X.binary([s.codes[s.first[i] : s.first[i + 1]] for i in part])], names=["class", "codes"])
 
-    def compare(batches):
-        for b in batches:
-            common, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
-            for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                common[i] = (both[1:] == both[:-1]).sum()
-                total[i] = len(both) - common[i]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(common), pa.array(total)], names=["a", "b", "common", "total"])
+    def joined(key, t):
+        t = t.sort_by("class")
+        name = t.column("class").to_numpy()
+        x, y = region_links([np.frombuffer(c.as_buffer(), np.uint64) for c in t.column("codes")], num, den)
+        least = _forest(len(name), x, y)
+        far = least != np.arange(len(name))
+        return pa.table({"a": name[least[far]], "b": name[far]})
 
     sets = X.plain(docs).mapInArrow(send, "class long, codes binary").groupBy("class").agg(F.min("codes").alias("codes"))
-    one = pairs.join(sets.select(F.col("class").alias("a"), F.col("codes").alias("x")), "a")
-    two = one.join(sets.select(F.col("class").alias("b"), F.col("codes").alias("y")), "b")
-    return two.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, common long, total long")
+    return kept.join(sets, "class").groupBy("pivot", "i", "j").applyInArrow(joined, "a long, b long")
 
 
-def classes(docs: DataFrame, num: int = 75, den: int = 100, size: int = 5, frequent: int = 1 << 16, growth: int = 4) -> DataFrame:
+def classes(docs: DataFrame, num: int = 75, den: int = 100, size: int = 5, frequent: int = 1 << 16, block: int = 1024) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     if not 0 < num <= den:
         raise ValueError("the similarity must be above 0 and at most 1")
     spark = docs.sparkSession
     staged = X.Staged(spark)
-    radius = 1 - num / den
     known = staged.write(profile(docs, size))
     rows = known.where("not hot").select("doc_id", "class", "n")
     listed = known.where("hot").groupBy("class").agg(F.sum("n").alias("count")).where("count >= 16").orderBy(F.desc("count"), "class").limit(frequent).collect()
     hot = np.sort(np.array([r["class"] for r in listed], np.int64).view(X.U))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * (den - num) // den // 250_000)
-
-    sent = staged.write(regions(docs, hot, num, den, size, buckets))
-    rare = sent.where("bucket is not null").select("bucket", "cells", "classes", "sizes").groupBy("bucket").applyInArrow(_met, "cell long, class long, n long")
-    often = sent.where("bucket is null").select("cell", "class", "n").distinct()
-    met = staged.write(rare.unionByName(often))
-    staged.drop(sent)
-    # a class that shares more of its replicas with others is nearer to the middle of its group
-    central = met.groupBy("class").agg((F.count("*") / F.max(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).alias("central"))
-    active = staged.write(met.join(central, "class").select("cell", "class", "n", "central", F.col("class").alias("label"), F.lit(None).cast("double").alias("d")))
-    staged.drop(met)
-
-    checked = links = labels = None
-    pivots_each = 1
-    while True:
-        order = Window.partitionBy("cell").orderBy(F.desc("central"), "class")
-        pivots = staged.write(active.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= pivots_each).select("cell", F.col("class").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label"), F.col("d").alias("pivot_d"), "nth"))
-        near = F.col("d").isNull() | F.col("pivot_d").isNull() | (F.abs(F.col("d") - F.col("pivot_d")) <= radius + 1e-9)
-        sizes = F.least("n", "pivot_n") * den >= F.greatest("n", "pivot_n") * num
-        pairs = active.join(pivots, "cell").where((F.col("class") != F.col("pivot")) & (F.col("label") != F.col("pivot_label")) & sizes & near)
-        pairs = pairs.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = staged.write(pairs)
-        if not pairs.isEmpty():
-            found = staged.write(distances(docs, pairs, size))
-            checked = found if checked is None else checked.unionByName(found)
-            new = found.where(F.col("common") * den >= F.col("total") * num).select("a", "b")
-            links = new if links is None else links.unionByName(new)
-            if not new.isEmpty():
-                labels = components(links, staged)
-        # what is left: members that are no pivots, in regions of more than one component
-        rest = active.join(pivots.select("cell", F.col("pivot").alias("class")), ["cell", "class"], "left_anti")
-        if labels is not None:
-            rest = rest.drop("label").join(labels.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("label", F.coalesce("root", "class")).drop("root")
-        open_cells = rest.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("cell")
-        rest = rest.join(open_cells, "cell", "left_semi")
-        if pivots_each == 1 and checked is not None:
-            # distances to the first pivot of each region, for the windows of later rounds
-            away = checked.select("a", "b", (1 - F.col("common") / F.col("total")).alias("away"))
-            rest = rest.join(pivots.select("cell", "pivot"), "cell").withColumn("a", F.least("class", "pivot")).withColumn("b", F.greatest("class", "pivot")).join(away, ["a", "b"], "left").withColumn("d", F.col("away"))
-        after = staged.write(rest.select("cell", "class", "n", "central", "label", "d"))
-        staged.drop(active, pivots, pairs)
-        active = after
-        if active.isEmpty():
-            break
-        pivots_each *= growth
+    buckets = max(min(16, int(spark.conf.get("spark.sql.shuffle.partitions"))), total * (den - num) // den // 1_000_000)
+
+    met = staged.write(meeting(regions(docs, hot, num, den, size, buckets), hot), share=4)
+    kept = staged.write(survivors(met, num, den, block), share=8)
+    links = staged.write(edges(docs, kept, num, den, size).distinct(), share=16)
+    staged.drop(met, kept)
+    labels = None if links.isEmpty() else components(links, staged)
 
     if labels is None:
         named = rows.withColumn("label", F.col("class"))
