@@ -209,9 +209,13 @@ def binary(parts: list[np.ndarray]) -> pa.Array:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors, for sessions started without it on their path."""
+    """Sends the package to the executors, for sessions started without it on their path.
+
+    The archive lies in the folder that all share.
+    """
     import importlib
-    import tempfile
+    import io
+    import uuid
     import zipfile
     from pathlib import Path
 
@@ -220,11 +224,15 @@ def ship(spark: SparkSession) -> None:
         return
     root = Path(importlib.import_module("tidemark").__file__).parent
     if root.is_dir():  # else the package itself runs from such an archive
-        target = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark.zip"
-        with zipfile.ZipFile(target, "w") as z:
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, p.relative_to(root.parent))
-        sc.addPyFile(str(target))
+        target = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}.zip")
+        out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)
+        out.write(bytearray(data.getvalue()))
+        out.close()
+        sc.addPyFile(target.toString())
     sc._tidemark_shipped = True
 
 
@@ -244,9 +252,13 @@ def shared_folder(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        import atexit
+        import shutil
         import tempfile
 
-        here = Path(tempfile.mkdtemp(prefix="tidemark-")).as_uri()
+        own = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        here = Path(own).as_uri()
         spark.sparkContext.setCheckpointDir(here)
     return here
 
