@@ -3,8 +3,9 @@
 Token counts are packed into sequences of `capacity` tokens.  Every partition packs its
 pieces by best-fit decreasing and certifies its bin count with lower bounds from dual
 feasible functions.  Partitions whose count exceeds their bound put the pieces of their
-unfilled bins into a common pool, which is dealt anew to fewer partitions and packed
-again, until every partition is certified or a round saves no bin.
+unfilled bins, certified ones those of their emptiest bin, into a common pool, which is
+dealt anew to fewer partitions and packed again, until one partition is left or a round
+leaves as many bins open.
 
 Defined results: a null or empty text is the single id 0; only documents beyond the
 capacity are cut, into pieces of the capacity and a last one that may be shorter; a null
@@ -220,7 +221,10 @@ _PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequ
 
 
 def _packed(dealt: DataFrame, capacity: int, turn: int) -> DataFrame:
-    """Packs each part; `open` marks the pieces of unfilled bins of parts with a gap."""
+    """Packs each part; `open` marks the pieces of unfilled bins of parts with a gap.
+
+    A certified part gives away its emptiest bin alone, the share that its bound rounds up.
+    """
     fields = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(key, t):
@@ -229,7 +233,7 @@ def _packed(dealt: DataFrame, capacity: int, turn: int) -> DataFrame:
         bins, offsets, fill = best_fit(length, capacity)
         bound = lower_bound(length, capacity)
         sequence = (np.int64(turn) << 56) | (np.int64(part) << 28) | bins
-        loose = (fill[bins] < capacity) & (len(fill) > bound)
+        loose = (fill[bins] < capacity) & ((len(fill) > bound) | (bins == fill.argmin()))
         n = t.num_rows
         return pa.Table.from_arrays([*(t.column(f).combine_chunks() for f in fields), pa.array(sequence), pa.array(offsets), pa.array(np.full(n, bound)), pa.array(np.full(n, len(fill))), pa.array(loose)], names=[*fields, "sequence_id", "offset", "bound", "bins", "open"])
 
@@ -249,7 +253,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, part_size: int = 100_000, rou
     done, pool, before = [], cut, None
     for turn in range(rounds):
         parts = max(1, -(-total // part_size))
-        packed = staged.write(_packed(_dealt(pool, parts, turn), capacity, turn))
+        packed = staged.write(_packed(_dealt(pool, parts, turn), capacity, turn), share=2)
         loose = packed.where("open")
         stat = loose.agg(F.count("*").alias("n"), F.count_distinct("sequence_id").alias("bins")).first()
         if not stat.n or turn == rounds - 1 or parts == 1 or (before is not None and stat.bins >= before):
