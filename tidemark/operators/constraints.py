@@ -82,6 +82,14 @@ class Constraints:
                     tests.append(~some)
         return reduce(lambda a, b: a & b, tests, F.lit(True))
 
+    def after_counting(self, known: Mapping[str, int] | None = None) -> Column:
+        """The predicate on counted itemsets (items, support).
+
+        It refers to the support, so that it stays above the aggregation: there it sees
+        each itemset once, and plans that count the same itemsets can share the work.
+        """
+        return F.when(F.col("support") >= 0, self.predicate(F.col("items"), known))
+
     def item_predicate(self, item: Column, known: Mapping[str, int] | None = None) -> Column:
         """The same for a single item."""
         return self.predicate(F.array(item), known)

@@ -8,6 +8,8 @@ per task.  `fpgrowth` mines without a bound on length.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,22 +27,67 @@ def subsets(items: Column, size: int) -> Column:
     """All subsets of a size, in order, of an array without repeats."""
     if size == 1:
         return F.transform(items, lambda x: F.array(x))
-    return F.flatten(F.transform(items, lambda x, i: F.transform(subsets(F.slice(items, i + 2, F.greatest(F.size(items), F.lit(1))), size - 1), lambda s: F.concat(F.array(x), s))))
+    return F.flatten(F.transform(items, lambda x, i: F.transform(subsets(F.slice(items, i + 2, F.lit(1 << 20)), size - 1), lambda s: F.concat(F.array(x), s))))
+
+
+def spread(tx: DataFrame) -> DataFrame:
+    """Rows dealt to all threads where they come from fewer files than there are threads.
+
+    Emitting subsets multiplies the rows, so a single small file would keep one thread
+    busy; large tables have files enough and are left as they are.
+    """
+    n = tx.sparkSession.sparkContext.defaultParallelism
+    return tx.repartition(n) if len(tx.inputFiles()) < n else tx
 
 
 def subset_support(tx: DataFrame, size: int, by: tuple[str, ...] = ()) -> DataFrame:
     """items, support of all subsets of one size (per group `by`)."""
-    return tx.select(*by, F.explode(subsets(canonical(F.col("items")), size)).alias("items")).groupBy(*by, "items").agg(F.count("*").alias("support"))
+    return spread(tx.select(*by, "items")).select(*by, F.explode(subsets(canonical(F.col("items")), size)).alias("items")).groupBy(*by, "items").agg(F.count("*").alias("support"))
+
+
+def frequent_items(tx: DataFrame, min_count: int) -> list[str]:
+    """Frequent items in order; no more than item occurrences / min_count."""
+    return sorted(r.item for r in item_support(tx).where(F.col("support") >= min_count).select("item").collect())
+
+
+def _one_of(names: list[str]) -> Callable[[Column], Column]:
+    return lambda x: x.isin(names) if names else F.lit(False)
+
+
+def _literal(names: list[str]) -> Column:
+    return F.array(*[F.lit(n) for n in names]).cast("array<string>")
 
 
-def frequent_items_only(tx: DataFrame, min_count: int) -> DataFrame:
-    """Transactions in canonical form without infrequent items.
+_CODE_BITS = 15
 
-    Frequent items are no more than item occurrences / min_count; they become a literal.
+
+def _codes(codes: Column, size: int, prefix: Column | None = None) -> Column:
+    """All subsets of a size of an ascending array of numbers, packed into one number each."""
+
+    def packed(x: Column) -> Column:
+        return x if prefix is None else F.shiftleft(prefix, _CODE_BITS).bitwiseOR(x)
+
+    if size == 1:
+        return F.transform(codes, packed)
+    return F.flatten(F.transform(codes, lambda x, i: _codes(F.slice(codes, i + 2, F.lit(1 << 20)), size - 1, packed(x))))
+
+
+def _counted(tx: DataFrame, names: list[str], max_len: int) -> DataFrame:
+    """items, support of all subsets of the frequent items `names` up to a length.
+
+    Up to four items out of at most 32,766 are counted as one packed number each.
     """
-    names = [r.item for r in item_support(tx).where(F.col("support") >= min_count).select("item").collect()]
-    kept = F.array(*[F.lit(n) for n in sorted(names)]) if names else F.array().cast("array<string>")
-    return tx.withColumn("items", F.array_intersect(kept, canonical(F.col("items"))))
+    if max_len > 4 or len(names) >= 1 << _CODE_BITS:
+        each = F.concat(*[subsets(F.col("items"), k) for k in range(1, max_len + 1)])
+        return tx.select(F.explode(each).alias("items")).groupBy("items").agg(F.count("*").alias("support"))
+    if not names:
+        return tx.select("items", F.lit(0).cast("long").alias("support")).limit(0)
+    number = F.map_from_arrays(_literal(names), F.sequence(F.lit(1).cast("long"), F.lit(len(names)).cast("long")))
+    coded = tx.select(F.transform("items", lambda x: F.element_at(number, x)).alias("codes"))
+    each = F.concat(*[_codes(F.col("codes"), k) for k in range(1, max_len + 1)])
+    found = coded.select(F.explode(each).alias("code")).groupBy("code").agg(F.count("*").alias("support"))
+    digits = F.array(*[F.shiftright("code", _CODE_BITS * k).bitwiseAND((1 << _CODE_BITS) - 1).cast("int") for k in reversed(range(max_len))])
+    return found.select(F.transform(F.filter(digits, lambda d: d > 0), lambda d: F.element_at(_literal(names), d)).alias("items"), "support")
 
 
 def frequent_itemsets(tx: DataFrame, min_count: int, max_len: int = 4, constraints: Constraints | None = None, backend: str = "subsets") -> DataFrame:
@@ -49,13 +96,13 @@ def frequent_itemsets(tx: DataFrame, min_count: int, max_len: int = 4, constrain
     known = count_known(tx, constraints.patterns()) if constraints else {}
     if constraints:
         tx = tx.withColumn("items", constraints.prune(F.col("items")))
-    tx = frequent_items_only(tx.select("items"), min_count)
+    names = frequent_items(tx.select("items"), min_count)
+    tx = spread(tx.select("items")).select(F.filter(canonical(F.col("items")), _one_of(names)).alias("items"))
     if backend == "fpgrowth":
         found = fpgrowth(tx, min_count).where(F.size("items") <= max_len)
     else:
-        each = F.concat(*[subsets(F.col("items"), k) for k in range(1, max_len + 1)])
-        found = tx.select(F.explode(each).alias("items")).groupBy("items").agg(F.count("*").alias("support")).where(F.col("support") >= min_count)
-    return found.where(constraints.predicate(F.col("items"), known)) if constraints else found
+        found = _counted(tx, names, max_len).where(F.col("support") >= min_count)
+    return found.where(constraints.after_counting(known)) if constraints else found
 
 
 def fpgrowth(tx: DataFrame, min_count: int) -> DataFrame:

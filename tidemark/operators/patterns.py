@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.config import LEVELS, YEAR_BUCKET
 from tidemark.functions.tilted import bucket
 from tidemark.operators.constraints import Constraints
-from tidemark.operators.itemsets import subsets
+from tidemark.operators.itemsets import spread, subsets
 from tidemark.operators.rules import rules
 from tidemark.operators.transactions import batch_sizes, canonical
 
@@ -23,7 +23,7 @@ def batch_patterns(tx: DataFrame, min_pattern_support: float, max_len: int = 3,
     """items, batch_id, support of itemsets with support >= max(1, floor(share * events)) in their batch."""
     sizes = batch_sizes(tx) if sizes is None else sizes
     each = F.concat(*[subsets(canonical(F.col("items")), k) for k in range(1, max_len + 1)])
-    found = tx.select("batch_id", F.explode(each).alias("items")).groupBy("batch_id", "items").agg(F.count("*").alias("support"))
+    found = spread(tx.select("batch_id", "items")).select("batch_id", F.explode(each).alias("items")).groupBy("batch_id", "items").agg(F.count("*").alias("support"))
     least = sizes.select("batch_id", F.greatest(F.lit(1), F.floor(F.lit(min_pattern_support) * F.col("n_events"))).alias("_k"))
     return found.join(least, "batch_id").where("support >= _k").select("items", "batch_id", "support")
 
@@ -56,7 +56,7 @@ def range_itemsets(patterns: DataFrame, sizes: DataFrame, n: int, first: int, la
     """items, support, events: support > ceil(min_support * events of the range)."""
     found = range_supports(patterns, n, first, last).join(F.broadcast(range_events(sizes, n, first, last)))
     found = found.where(F.col("support") > F.ceil(F.lit(min_support) * F.col("events")))
-    return found.where(constraints.predicate(F.col("items"), known)) if constraints else found
+    return found.where(constraints.after_counting(known)) if constraints else found
 
 
 def range_rules(patterns: DataFrame, sizes: DataFrame, n: int, first: int, last: int, min_support: float, min_confidence: float, itemsets: Constraints | None = None, consequent: Constraints | None = None, max_consequent: int = 1, known: Mapping[str, int] | None = None) -> DataFrame:

@@ -188,7 +188,7 @@ def _rules_sql(flow: str, share: float, most: int, where: str, confidence: float
 def _rules(tx: DataFrame, least: int, most: int, confidence: float, itemset: Constraints | None, consequent: Constraints | None, max_consequent: int = 1) -> DataFrame:
     every = itemsets.frequent_itemsets(tx, least, most)
     both = (itemset or Constraints()).merged(consequent or Constraints())
-    wanted = every.where(both.predicate(F.col("items"), count_known(tx, both.patterns()))) if both else every
+    wanted = every.where(both.after_counting(count_known(tx, both.patterns()))) if both else every
     return rules.rules(wanted, every, confidence, consequent, max_consequent)
 
 
