@@ -5,7 +5,8 @@ are counted over the whole corpus.  A value found with many owners is a copied e
 one that a single owner holds looks live.
 
 Base kinds are `assign`, `access` and `hex`; the method adds `pem` (private key
-headers) and `token` (prefixed access tokens).
+headers; the value is the whole key without white space) and `token` (prefixed access
+tokens).
 
 Defined results: a null text counts as empty; a null doc_id is carried through; a null
 owner counts as one owner of its own; equal rows give equal results; an empty table
@@ -29,7 +30,12 @@ ADDED = ("pem", "token")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_PEM = re.compile(r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z ]{0,32}PRIVATE KEY)-----")
+_MARK = re.compile(r"-----(?:BEGIN|END) ")
+_BREAK = r"""(?:[\s"']|\\[nr])"""
+#: Header lines, lines of base64, and a shorter last one
+_BODY = re.compile(rf"(?:{_BREAK}*+[A-Z][A-Za-z0-9-]*+:[^\n]*+\n)*+(?:{_BREAK}*+[A-Za-z0-9+/]{{16,}}+={{0,2}})*+(?:{_BREAK}*+[A-Za-z0-9+/]++={{0,2}}(?={_BREAK}*+(?:\n|\Z)|\\[nr]))?")
+_BREAKS = re.compile(rf"{_BREAK}+")
 _TOKEN = re.compile(r"(?:gh[pousr]_|xox[abprs]-)[A-Za-z0-9-]{20,}")
 _CUES = (b"passw", b"secret", b"token", b"api_key", b"apikey")
 _CASED = (b"AKIA", b"PRIVATE KEY", b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_", b"xox")
@@ -37,12 +43,22 @@ _HEX_BYTES = np.zeros(256, bool)
 _HEX_BYTES[[*b"0123456789abcdef"]] = True
 
 
+def _key(text: str, header: re.Match) -> str:
+    """The whole key after a header: up to its END, or the base64 that follows where there is none."""
+    mark = _MARK.search(text, header.end())
+    if mark and text.startswith(f"-----END {header[1]}-----", mark.start()):
+        body = text[header.end() : mark.start()]
+    else:
+        body = _BODY.match(text, header.end())[0]
+    return _BREAKS.sub("", body)
+
+
 def find(text: str) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, value), by start, then by kind as listed; code points."""
     out = [("assign", *m.span(), m[2]) for m in _ASSIGN.finditer(text) if len(m[2]) >= 12]
     out += [("access", *m.span(), m[0]) for m in _ACCESS.finditer(text) if len(m[0]) >= 18]
     out += [("hex", *m.span(), m[0]) for m in _HEX.finditer(text)]
-    out += [("pem", *m.span(), text[m.end() : m.end() + 64]) for m in _PEM.finditer(text)]
+    out += [("pem", *m.span(), _key(text, m)) for m in _PEM.finditer(text)]
     out += [("token", *m.span(), m[0]) for m in _TOKEN.finditer(text)]
     order = KINDS + ADDED
     return sorted(out, key=lambda s: (s[1], order.index(s[0])))
