@@ -405,7 +405,11 @@ def _timed_orders(spark, sf):
 
 
 def _register_ranges() -> None:
-    """Short ranges over events; long ones over orders, which span years of daily batches."""
+    """Short ranges over events; long ones over orders, which span years of daily batches.
+
+    Ranges over orders mine itemsets of two items, as their SQL does, and so give no rule
+    with a circumstance; those over events mine three.
+    """
     for name, (first, last) in C.TIME_RANGES.items():
         timed, sql = (_timed, _TIMED) if name in ("quarter", "hour", "all") else (_timed_orders, _TIMED_ORDERS)
 
