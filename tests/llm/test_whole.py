@@ -3,7 +3,7 @@
 import base64
 import random
 
-from tidemark.llm import secrets
+from tidemark.llm import pii, secrets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, part int, n long"
 
@@ -43,3 +43,35 @@ def test_private_key_values():
     assert value("-----BEGIN PRIVATE KEY----- and prose") == [""]
     for long in ("-----BEGIN PRIVATE KEY-----" * 10_000, "-----BEGIN PRIVATE KEY-----" + "\n" * 300_000, "-----BEGIN PRIVATE KEY-----" + "A" * 300_000 + " x" * 100_000):
         secrets.find(long)
+
+
+def accounts(text):
+    return [text[a:b] for k, a, b in pii.find(text) if k == "iban"]
+
+
+def iban(country, rest):
+    digits = "".join(str(int(c, 36)) for c in rest + country + "00")
+    return f"{country}{98 - int(digits) % 97:02d}{rest}"
+
+
+def test_accounts_before_other_words(spark):
+    german = "DE89 3704 0044 0532 0130 00"
+    text = f"IBAN {german} BIC COBADEFFXXX"
+    assert accounts(text) == [german]
+    assert pii.redacted(text, pii.find(text)) == "IBAN <IBAN> BIC COBADEFFXXX"
+    for after in (" 17", " EUR 120", " A", " BIC", " IBAN", "\nBIC", ", BIC", "", " Bank", " COBADEFFXXX " * 3):
+        assert accounts(f"IBAN: {german}{after}") == [german], after
+        assert accounts(f"IBAN: {german.replace(' ', '')}{after}") == [german.replace(" ", "")], after
+    assert accounts(f"IBAN {german} IBAN {german} BIC X") == [german] * 2
+    # every remainder of a following number leaves the number of the country's length
+    assert all(accounts(f"IBAN {german} {n}") == [german] for n in range(10, 300))
+    # the longest number that there is, in blocks of four, and a country without a known length
+    malta = iban("MT", "MALT011000012345MTLCAST001S")
+    blocks = " ".join(malta[i : i + 4] for i in range(0, 31, 4))
+    assert accounts(f"IBAN {blocks} BIC X") == [blocks]
+    other = iban("ZZ", "1234567890123456")
+    assert accounts(f"IBAN {other} BIC") == [other]
+    rows = [(1, text, "en", "a", len(text), "x", 1, 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert [(r.spans, r.n_added) for r in pii.personal_spans(docs).collect()] == [("iban:5:32", 1)]
+    assert [r.text for r in pii.redact(docs).collect()] == ["IBAN <IBAN> BIC COBADEFFXXX"]

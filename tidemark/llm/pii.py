@@ -35,6 +35,15 @@ _IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"[\x20:#]{0,4}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+#: Lengths of account numbers by country; others may have any from 15 to 34
+_IBAN_LENGTH = {
+    c[:2]: int(c[2:])
+    for c in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 "
+        "GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 "
+        "OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
 _LOGIN = re.compile(r"[^\s/@:]++:[^\s/@]++@[A-Za-z0-9.-]+")
 _SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
 _ANCHOR_BYTES = np.zeros(256, bool)
@@ -65,6 +74,18 @@ def _iban_valid(code: str) -> bool:
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def _iban_end(code: str) -> int:
+    """Where the account number that `code` begins with ends, at a word break; 0 if there is none.
+
+    That is where the country's length ends, or else all of `code`; where the length is not
+    known, the longest end with valid check digits.
+    """
+    ends = [m.start() for m in re.finditer(r"\x20|\Z", code)][::-1]
+    if length := _IBAN_LENGTH.get(code[:2]):
+        ends = [e for e in ends if e - code.count(" ", 0, e) == length] + ends[:1]
+    return next((e for e in ends if _iban_valid(code[:e])), 0)
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) in code points, by kind as listed, then by start."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS + ADDED}
@@ -104,9 +125,9 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 while start > 0 and at - start < 34 and text[start - 1] in _SCHEME:
                     start -= 1
                 out["login"].append((start, m.end()))
-        elif at >= iban_end and (m := _IBAN.match(text, at + 1)) and _iban_valid(m[1]):
-            iban_end = m.end()
-            out["iban"].append(m.span(1))
+        elif at >= iban_end and (m := _IBAN.match(text, at + 1)) and (end := _iban_end(m[1])):
+            iban_end = m.start(1) + end
+            out["iban"].append((m.start(1), iban_end))
     return [(k, a, b) for k, found in out.items() for a, b in found]
 
 
