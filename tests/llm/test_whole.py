@@ -3,7 +3,7 @@
 import base64
 import random
 
-from tidemark.llm import pii, secrets
+from tidemark.llm import langid, pii, secrets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, part int, n long"
 
@@ -75,3 +75,19 @@ def test_accounts_before_other_words(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     assert [(r.spans, r.n_added) for r in pii.personal_spans(docs).collect()] == [("iban:5:32", 1)]
     assert [r.text for r in pii.redact(docs).collect()] == ["IBAN <IBAN> BIC COBADEFFXXX"]
+
+
+def test_rare_languages_are_learned(spark):
+    draw = random.Random(3)
+    text = lambda words: " ".join(draw.choices(words, k=12))
+    kinds = {"aa": ["the", "house", "water", "green", "under"], "bb": ["das", "haus", "wasser", "unter", "blau"], "cc": ["talo", "vesi", "alla", "sininen", "puu"]}
+    langs = ["aa"] * 4000 + ["bb"] * 2000 + ["cc"] * 8
+    docs = spark.createDataFrame([(i * 4, text(kinds[x]), x, "s", 1, "x", 1, 1) for i, x in enumerate(langs)], SCHEMA)
+    model = langid.fit(docs, sample=60, least=20)
+    assert model.languages == ["aa", "bb", "cc"]
+    held = spark.createDataFrame([(i * 4 + 2, text(kinds[x]), x, "s", 1, "x", 1, 1) for i, x in enumerate(["aa", "bb", "cc"] * 20)], SCHEMA)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(held, model).collect()}
+    assert sum(got[i * 4 + 2] == x for i, x in enumerate(["aa", "bb", "cc"] * 20)) >= 57
+    assert langid.quotas({"a": 10**9, "b": 10**6, "c": 5}, 2400, 60) == {"c": 5, "b": 1197, "a": 1198}
+    assert sum(langid.quotas({str(i): 100 for i in range(24)}, 2400, 60).values()) == 2400
+    assert set(langid.quotas({str(i): 10**6 for i in range(100)}, 2400, 60).values()) == {60}

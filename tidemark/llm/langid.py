@@ -80,8 +80,9 @@ class Model:
         out = np.zeros((dims, k), np.float32)
         bias = np.zeros(k, np.float32)
         order = rng.permutation(len(rows))
-        kept = order[: max(1, len(order) // 3)] if len(order) > 30 else order[:0]
-        fit = order[len(kept) :]
+        own = [order[label[order] == c] for c in range(k)]
+        kept = np.concatenate([x[: len(x) // 3] for x in own]) if len(order) > 30 else order[:0]  # no language's only row
+        fit = order[~np.isin(order, kept)]
         epochs = max(epochs, -(-steps // max(1, len(fit))))
         for epoch in range(epochs):
             step = rate * (1 - epoch / epochs)
@@ -124,12 +125,24 @@ def has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return plain
 
 
-def fit(docs: DataFrame, sample: int = 2400, mod: int = 4, held: int = 2) -> Model | None:
-    """A model of at most about `sample` labelled rows outside the held-out remainder."""
-    rows = X.plain(docs, F.col("lang").cast("string").alias("lang")).where((X.remainder(mod) != held) & F.col("lang").isNotNull())
-    count = rows.select("doc_id", "lang").count()
-    share = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < F.lit(int(min(1.0, sample / max(1, count)) * (1 << 20)))
-    got = rows.where(F.col("text").isNotNull() & share).limit(2 * sample).collect()
+def quotas(count: dict[str, int], sample: int, least: int) -> dict[str, int]:
+    """Rows to draw of each language: about `sample` in all, dealt evenly, `least` of each if it has them."""
+    out, left = {}, sample
+    for k, (lang, n) in enumerate(sorted(count.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, max(least, left // (len(count) - k)))
+        left = max(0, left - out[lang])
+    return out
+
+
+def fit(docs: DataFrame, sample: int = 2400, mod: int = 4, held: int = 2, least: int = 60) -> Model | None:
+    """A model of about `sample` labelled rows outside the held-out remainder, drawn by language."""
+    rows = X.plain(docs, F.col("lang").cast("string").alias("lang")).where((X.remainder(mod) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    count = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not count:
+        return None
+    drawn = quotas(count, sample, least)
+    bound = F.create_map(*[F.lit(x) for lang, n in count.items() for x in (lang, int(drawn[lang] / n * (1 << 40)))])
+    got = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 40)) < bound[F.col("lang")]).limit(2 * sum(drawn.values())).collect()
     got.sort(key=lambda r: (r.doc_id, r.text))
     return Model([r.text for r in got], [r.lang for r in got]) if got else None
 
