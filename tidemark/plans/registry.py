@@ -571,7 +571,7 @@ def log_to_items(spark, sf):
 
 @query(f"WITH {_EVENTS} SELECT CAST(floor(epoch(ts) / 900) AS BIGINT) AS quarter, count(*) AS n_events FROM txl GROUP BY ALL")
 def stream_batches(spark, sf):
-    return stream.collected(stream.quarter_counts(stream.event_stream(spark, sf)), spark, "append")
+    return stream.collected(stream.quarter_counts(stream.event_stream(spark, sf, None)), spark, "append")
 
 
 @query(f"""WITH {_EVENTS}, q AS (SELECT *, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS tick FROM txl), {_subsets(2, 'tick', 'q')}

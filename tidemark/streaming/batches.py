@@ -28,11 +28,21 @@ def folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """The events table as a stream of files; timestamps without a zone become instants."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").option("pathGlobFilter", "events.parquet")
-    return reader.parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = 1) -> DataFrame:
+    """The events table, a file or a folder of them, as a stream of files; timestamps without a zone become instants.
+
+    None takes all files that are there at once, so that no order of the files makes rows late.
+    """
+    table = f"{sf_dir}/events.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(table).schema)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path).isDirectory():
+        rows = reader.parquet(table)
+    else:  # a stream's path has to be a folder
+        rows = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def quarter_counts(events: DataFrame, late: str = "15 minutes") -> DataFrame:
