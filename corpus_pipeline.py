@@ -23,13 +23,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked ones stays.
+    """One row of each group of linked ones stays: that with the smallest id.
 
-    Rows without an id have no place in that order and stay, as do rows that share theirs.
+    Rows are told apart by all columns, not by their id: rows that are not linked stay,
+    whatever ids they have.  `jaccard.single` says which one stays where ids repeat.
     """
-    rows = docs.select(*COLUMNS)
-    gone = jaccard.classes(rows).where("component_id < doc_id").select("doc_id").distinct()
-    return rows.join(gone, "doc_id", "left_anti")
+    return jaccard.single(docs.select(*COLUMNS))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

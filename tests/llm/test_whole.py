@@ -3,6 +3,7 @@
 import base64
 import random
 
+import corpus_pipeline
 from tidemark.llm import langid, pii, secrets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, part int, n long"
@@ -91,3 +92,29 @@ def test_rare_languages_are_learned(spark):
     assert langid.quotas({"a": 10**9, "b": 10**6, "c": 5}, 2400, 60) == {"c": 5, "b": 1197, "a": 1198}
     assert sum(langid.quotas({str(i): 100 for i in range(24)}, 2400, 60).values()) == 2400
     assert set(langid.quotas({str(i): 10**6 for i in range(100)}, 2400, 60).values()) == {60}
+
+
+def test_near_duplicates_are_told_apart_by_row(spark, sf):
+    draw = random.Random(5)
+    text = lambda: " ".join(f"w{draw.randrange(10**6)}" for _ in range(40))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [
+        *[(1, a, "en", "s", 1)] * 3,  # equal rows with the smallest id of their group
+        (1, a, "en", "t", 1),  # the same but for its source
+        (7, a, "en", "s", 1),
+        (7, b, "en", "s", 1),  # shares its id with a copy, but is not linked
+        *[(None, c, "en", "s", 1)] * 2,  # copies without an id
+        (None, d, "en", "s", 1),
+        (9, d, "en", "s", 1),
+        (3, e, "en", "s", 1),
+        (3, e + " more", "en", "s", 1),  # near copies under one id
+        *[(4, "", "en", "s", 0)] * 2,  # nothing to compare
+        (None, None, "en", "s", 0),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.jaccard_join(spark, docs, sf).collect()]
+    texts = [r[1] for r in got]
+    assert len(got) == 8 and got.count((4, "", "en", "s", 0)) == 2 and (None, None, "en", "s", 0) in got
+    assert [r[0] for r in got if r[1] == a] == [1] and (7, b, "en", "s", 1) in got
+    assert texts.count(c) == 1 and (9, d, "en", "s", 1) in got and texts.count(d) == 1
+    assert sum(t in (e, e + " more") for t in texts) == 1

@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textcore as X
@@ -61,23 +61,25 @@ class _Once:
         return np.array(out, np.int64)
 
 
-def profile(docs: DataFrame, size: int) -> DataFrame:
-    """Rows doc_id, class, n of all documents, and (hot) local counts of repeated shingles."""
-    schema = pa.schema([("doc_id", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("hot", pa.bool_())])
+def profile(docs: DataFrame, size: int, key: Column | None = None) -> DataFrame:
+    """Rows doc_id, class, n (and key) of all documents, and (hot) local counts of repeated shingles."""
+    keyed = [("key", pa.int64())] if key is not None else []
+    schema = pa.schema([("doc_id", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("hot", pa.bool_()), *keyed])
 
     def run(batches):
         once = _Once()
         for b in batches:
             for lo, hi, data, off in X.chunks(b.column(1), _CHUNK):
                 s = Sets(data, off, size)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(X.signed(s.identity), mask=s.sizes == 0), pa.array(s.sizes), pa.array(np.zeros(hi - lo, bool))], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(X.signed(s.identity), mask=s.sizes == 0), pa.array(s.sizes), pa.array(np.zeros(hi - lo, bool)), *(b.column(2).slice(lo, hi - lo) for _ in keyed)], schema=schema)
                 new = once.first(s.identity, s.sizes > 0)
                 code, count = np.unique(s.codes[X.ranges(s.first[new], s.sizes[new])], return_counts=True)
                 code, count = code[count > 1], count[count > 1]
                 if len(code):
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(code), pa.int64()), pa.array(X.signed(code)), pa.array(count.astype(np.int64)), pa.array(np.ones(len(code), bool))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(code), pa.int64()), pa.array(X.signed(code)), pa.array(count.astype(np.int64)), pa.array(np.ones(len(code), bool)), *(pa.nulls(len(code), pa.int64()) for _ in keyed)], schema=schema)
 
-    return X.plain(docs).mapInArrow(run, "doc_id long, class long, n long, hot boolean")
+    more = [key.alias("key")] if keyed else []
+    return X.plain(docs, *more).mapInArrow(run, "doc_id long, class long, n long, hot boolean" + ", key long" * len(keyed))
 
 
 def _needed(n, num: int, den: int):
@@ -422,14 +424,14 @@ def edges(docs: DataFrame, kept: DataFrame, num: int, den: int, size: int) -> Da
     return kept.join(sets, "class").groupBy("pivot", "i", "j").applyInArrow(joined, "a long, b long")
 
 
-def classes(docs: DataFrame, num: int = 75, den: int = 100, size: int = 5, frequent: int = 1 << 16, block: int = 1024) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+def labelled(docs: DataFrame, num: int = 75, den: int = 100, size: int = 5, frequent: int = 1 << 16, block: int = 1024, key: Column | None = None) -> DataFrame:
+    """Per row: doc_id, class, n, label (of its component; null without words) and its key, if asked for."""
     if not 0 < num <= den:
         raise ValueError("the similarity must be above 0 and at most 1")
     spark = docs.sparkSession
     staged = X.Staged(spark)
-    known = staged.write(profile(docs, size))
-    rows = known.where("not hot").select("doc_id", "class", "n")
+    known = staged.write(profile(docs, size, key))
+    rows = known.where("not hot").drop("hot")
     listed = known.where("hot").groupBy("class").agg(F.sum("n").alias("count")).where("count >= 16").orderBy(F.desc("count"), "class").limit(frequent).collect()
     hot = np.sort(np.array([r["class"] for r in listed], np.int64).view(X.U))
     total = rows.agg(F.sum("n")).first()[0] or 0
@@ -442,8 +444,34 @@ def classes(docs: DataFrame, num: int = 75, den: int = 100, size: int = 5, frequ
     labels = None if links.isEmpty() else components(links, staged)
 
     if labels is None:
-        named = rows.withColumn("label", F.col("class"))
-    else:
-        named = rows.join(labels.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("label", F.coalesce("root", "class"))
+        return rows.withColumn("label", F.col("class"))
+    return rows.join(labels.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("label", F.coalesce("root", "class"))
+
+
+def classes(docs: DataFrame, num: int = 75, den: int = 100, size: int = 5, frequent: int = 1 << 16, block: int = 1024) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    named = labelled(docs, num, den, size, frequent, block)
     least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     return named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def single(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` without words, and one row of each component.
+
+    The smallest doc_id stays, null after all others; among rows that share it the one
+    with the smallest hash over all columns; of rows that are equal in whole, one.
+    """
+    whole = F.xxhash64(*docs.columns)
+    named = labelled(docs, key=whole).where("label is not null").select("doc_id", "key", "label")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"))
+    first = named.groupBy("label").agg(F.min(place).alias("first"))
+    judged = named.groupBy("label", "doc_id", "key").agg(F.count("*").alias("rows")).join(first, "label")
+    stays = place == F.col("first")
+    staged = X.Staged(docs.sparkSession)
+    other = judged.where(~stays | (F.col("rows") > 1)).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), stays.alias("_stays"))
+    other = staged.write(other, share=16)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_whole") == F.col("_key"))
+    rows = docs.withColumn("_whole", whole)
+    kept = rows.join(other, same, "left_anti").drop("_whole")
+    repeated = rows.join(other.where("_stays"), same, "left_semi")
+    return kept.unionByName(repeated.dropDuplicates(["doc_id", "_whole"]).drop("_whole"))
