@@ -164,9 +164,12 @@ def plain_scores(rows, depth):
         count.update(tokens(t))
         x = [0] * depth + [b + 1 for b in t.encode()] + [0]
         for j in range(depth, len(x)):
-            for k in range(depth + 1):
-                context[tuple(x[j - k : j])][x[j]] += 1
+            context[tuple(x[j - depth : j])][x[j]] += 1
     n, v = sum(count.values()), len(count)
+    for k in range(depth, 0, -1):  # a shorter context counts each longer one in which a symbol was seen once
+        for c in [c for c in context if len(c) == k]:
+            for s in context[c]:
+                context[c[1:]][s] += 1
 
     def probability(c, s):
         """The full distribution is not needed: walk down from the longest context."""
@@ -177,8 +180,8 @@ def plain_scores(rows, depth):
                 continue
             total = sum(left.values())
             if s in left:
-                return out * (left[s] - 0.5) / total
-            out *= 0.5 * len(left) / total
+                return out * (left[s] - ppm.ESCAPE) / total
+            out *= ppm.ESCAPE * len(left) / total
             out_of_it |= set(left)
         return out / (257 - len(out_of_it))
 

@@ -179,18 +179,94 @@ def test_shingle_sets(texts):
         assert all((s.identity[i] == s.identity[j]) == (sets[i] == sets[j]) for i in range(hi - lo) for j in range(hi - lo))
 
 
-def test_merkle_fingerprints(spark):
+def test_merkle_fingerprints():
     texts = ["", "a", "one two\nthree four\n\nfive six seven " * 30, "word " * 500, "é\nß\n"]
     f = merkle.fingerprints(texts)
     assert len({x[:32] for x in f}) == len(texts) and f == [merkle.fingerprints([t])[0] for t in texts]
-    long = " ".join(f"w{i * i % 977}" + ("\n" if i % 40 == 39 else "") for i in range(2000))
-    edit = long[:3000] + " changed here " + long[3000:]
-    a, b = merkle.fingerprints([long, edit])
-    assert 0.9 < merkle.likeness([a], [b])[0] < 1 and merkle.likeness([a, a], [a, f[4]]) == [1.0, 0.0]
-    root, tree = merkle.parts(a)
-    assert root == a[:32] and sum(len(s) for s in tree) == long.count("\n") + (not long.endswith("\n"))
-    where = merkle.edits(a, b)
-    assert len(where) == 1 and merkle.edits(a, a) == []
+    assert [merkle.likeness(x, x) for x in f] == [1.0] * 5 and merkle.likeness(f[2], f[4]) == 0.0
+
+
+def plain_tree(text):
+    """Root, paragraphs and leaves from the bytes alone, given where leaves begin."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    begin, head = merkle.leaf_starts(data, np.array([0, len(data)]))
+    leaves = [text.encode()[a:b] for a, b in zip(begin, [*begin[1:], len(data)], strict=True)]
+    digest = lambda x: hashlib.blake2b(x, digest_size=16).digest()
+    paragraphs, groups = [], []
+    for leaf, first in zip(leaves, head, strict=True):
+        if first:
+            groups.append([])
+        groups[-1].append(leaf)
+    paragraphs = [digest(b"".join(map(digest, g))) for g in groups]
+    sections = [[]]
+    for p, g in zip(paragraphs, groups, strict=True):
+        sections[-1].append(p)
+        if g == [b"\n"] or p[0] % 4 == 0:
+            sections.append([])
+    root = digest(b"\x02" + b"".join(digest(b"\x01" + b"".join(s)) for s in sections if s))
+    return root.hex(), [b"".join(g) for g in groups], leaves
+
+
+def paragraphs_of(n, seed):
+    rng = np.random.default_rng(seed)
+    return [" ".join(f"w{rng.integers(10**6)}" for _ in range(30)) + ("\n" if rng.random() < 0.8 else "\n\n") for _ in range(n)]
+
+
+def test_merkle_trees_equal_plain_ones():
+    for seed in range(4):
+        text = "".join(paragraphs_of(30, seed))
+        root, groups, leaves = plain_tree(text)
+        tree = merkle.Tree(merkle.fingerprints([text])[0])
+        assert tree.root == root and "".join(g.decode() for g in groups) == text and len(groups) == len(tree.levels[1]) and len(leaves) == len(tree.levels[2])
+        assert max(len(x.split()) for x in leaves) <= merkle.LONGEST
+        assert [tree.place(k) for k in range(len(groups))] == [(s, k - a) for s, (a, b) in enumerate(zip(tree.children[0], tree.children[0][1:], strict=False)) for k in range(a, b)]
+
+
+def longest_common(a, b):
+    best = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            best[i + 1, j + 1] = best[i, j] + 1 if a[i] == b[j] else max(best[i, j + 1], best[i + 1, j])
+    return int(best[-1, -1])
+
+
+def test_merkle_likeness_counts_what_stands_in_order():
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        before = paragraphs_of(40, seed)
+        after, kind = list(before), seed % 6
+        at = int(rng.integers(1, 39))
+        if kind == 0:
+            after[at : at + 1] = []
+        elif kind == 1:
+            after[at:at] = paragraphs_of(2, 99)
+        elif kind == 2:
+            after[at] = after[at].replace(" ", " changed ", 1)
+        elif kind == 3:
+            after.append(before[3])
+        elif kind == 4:
+            after.insert(0, after.pop(at))
+        else:
+            after = [after[i] for i in rng.permutation(40)]
+        a, b = merkle.fingerprints(["".join(before), "".join(after)])
+        x, y = plain_tree("".join(before))[2], plain_tree("".join(after))[2]
+        best = 2 * longest_common(x, y) / (len(x) + len(y))
+        near = merkle.likeness(a, b)
+        assert near == merkle.likeness(b, a) if kind < 5 else near <= best < 0.6
+        assert near == pytest.approx(best) if kind < 4 else near <= best + 1e-9
+        found = merkle.edits(a, b)
+        assert found and merkle.edits(a, a) == []
+        places = {k: merkle.Tree(f) for k, f in zip("ab", (a, b), strict=True)}
+        flat = lambda tree, place: tree.children[0][place[0]] + place[1]
+        names = plain_tree("".join(before))[1], plain_tree("".join(after))[1]
+        for what, p, q in found:
+            assert (p is not None) == (what in ("removed", "moved")) and (q is not None) == (what in ("added", "moved"))
+            if what == "moved":
+                assert names[0][flat(places["a"], p)] == names[1][flat(places["b"], q)]
+        if kind == 0:
+            assert [w for w, *_ in found if w != "removed"] == []
+        if kind == 3:
+            assert [(w, names[1][flat(places["b"], q)]) for w, _, q in found] == [("added", names[0][[i for i, g in enumerate(names[0]) if g.decode().strip() == before[3].strip()][0]])] or before[3].endswith("\n\n")
 
 
 @pytest.mark.parametrize("partitions", ["1", "3", "8"])

@@ -4,11 +4,12 @@ Patterns are the 13-word windows of benchmark items (an item with fewer words is
 window).  For each pattern length, blocks of two words have a shift table: a block that
 ends no pattern moves the search on by as much as no pattern can begin earlier, and an
 unknown block by the most.  Where the shift is zero, the bucket of the suffix and prefix
-hashes gives the test strings, and word-by-word comparison confirms them.
+hashes gives the test strings, and comparing them word by word, byte by byte, confirms them.
 
 Many stretches of text advance in step, so that each move is one vector operation.
 The benchmark is cut into blocks of at most `block_words` words; each block's tables are
 broadcast (bounded by that parameter) and applied one after the other without a shuffle.
+At most `passes` of them are held at once: then what is found so far is written, and they go.
 
 Defined results: a null text has no words; a null item text has no window; an item
 without id is searched for but not listed; items that share an id count once; a null
@@ -38,11 +39,29 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return X.mix(a * X.U(0x9FB21C651E98DF25) + b)
 
 
+class Words:
+    """The words of texts: folded bytes, spans, codes and each row's first word."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray):
+        self.data = X.FOLD[data]
+        self.starts, ends, self.first = X.words(data, off, X.ALNUM)
+        self.size = ends - self.starts
+        self.codes = X.span_hashes(self.data, self.starts, ends)
+
+    def same(self, at: np.ndarray, other: Words, to: np.ndarray, length: int) -> np.ndarray:
+        """Whether the `length` words from at[i] on are those of `other` from to[i] on."""
+        x, y = ((i[:, None] + np.arange(length)).ravel() for i in (at, to))
+        equal = self.size[x] == other.size[y]
+        equal[equal] = X.same_spans(self.data, self.starts[x[equal]], other.data, other.starts[y[equal]], self.size[x[equal]])
+        return equal.reshape(len(at), length).all(axis=1)
+
+
 class Tables:
     """Shift table and buckets of the patterns of one length."""
 
-    def __init__(self, codes: np.ndarray, at: np.ndarray, item: np.ndarray, length: int):
-        self.codes, self.length = codes, length
+    def __init__(self, words: Words, at: np.ndarray, item: np.ndarray, length: int):
+        self.words, self.length = words, length
+        codes = words.codes
         self.block = min(2, length)
         self.most = length - self.block + 1
         rows = at[:, None] + np.arange(length)
@@ -64,8 +83,9 @@ class Tables:
         starts = ends - self.length + 1
         return _pair(self._blocks(codes, ends), self._blocks(codes, starts + self.block - 1))
 
-    def search(self, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, item) of every occurrence; row i holds the codes first[i]..first[i+1]."""
+    def search(self, text: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, item) of every occurrence."""
+        codes, first = text.codes, text.first
         ends = first[1:]
         begin = first[:-1] + self.length - 1
         rows = np.flatnonzero(begin < ends)
@@ -97,7 +117,9 @@ class Tables:
         test = X.ranges(low, high - low)
         same = np.ones(len(start), bool)
         for k in range(self.length):
-            same &= codes[start + k] == self.codes[self.at[test] + k]
+            same &= codes[start + k] == self.words.codes[self.at[test] + k]
+        start, test = start[same], test[same]
+        same = text.same(start, self.words, self.at[test], self.length)
         return start[same], self.item[test][same]
 
 
@@ -106,31 +128,25 @@ class Patterns:
 
     def __init__(self, texts: list[str | None], names: list[str | None], window: int = WINDOW):
         self.names = names
-        column = pa.array([t or "" for t in texts], pa.string())
-        codes, sizes = [], []
-        for _, _, data, off in X.chunks(column):
-            starts, ends, first = X.words(data, off, X.ALNUM)
-            codes.append(X.word_hashes(data, starts, ends, True))
-            sizes.append(np.diff(first))
-        self.codes = np.concatenate(codes) if codes else np.zeros(0, X.U)
-        n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        words = Words(*X.raw(pa.array([t or "" for t in texts], pa.large_string())))
+        n = np.diff(words.first)
         begin = np.cumsum(n) - n
         self.tables = []
         size = np.minimum(n, window)
         for length in np.unique(size[size > 0]):
             which = np.flatnonzero(size == length)
             count = n[which] - length + 1
-            self.tables.append(Tables(self.codes, X.ranges(begin[which], count), np.repeat(which, count), int(length)))
+            self.tables.append(Tables(words, X.ranges(begin[which], count), np.repeat(which, count), int(length)))
 
-    def search(self, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, text: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(covered per word, row of each found pair, its item)."""
-        step = np.zeros(len(codes) + 1, np.int64)
+        step = np.zeros(len(text.codes) + 1, np.int64)
         rows, items = [], []
         for t in self.tables:
-            start, item = t.search(codes, first)
+            start, item = t.search(text)
             np.add.at(step, start, 1)
             np.add.at(step, start + t.length, -1)
-            rows.append(np.searchsorted(first, start, "right") - 1)
+            rows.append(np.searchsorted(text.first, start, "right") - 1)
             items.append(item)
         none = np.zeros(0, np.int64)
         return np.cumsum(step[:-1]) > 0, np.concatenate([none, *rows]), np.concatenate([none, *items])
@@ -151,8 +167,8 @@ def _blocks(benchmark: DataFrame, block_words: int, window: int) -> Iterator[Pat
 def _covered(patterns: Patterns, column: pa.Array):
     """(lo, hi, first, covered, rows, items) of each chunk of a text column."""
     for lo, hi, data, off in X.chunks(column):
-        starts, ends, first = X.words(data, off, X.ALNUM)
-        yield lo, hi, first, *patterns.search(X.word_hashes(data, starts, ends, True), first)
+        text = Words(data, off)
+        yield lo, hi, text.first, *patterns.search(text)
 
 
 def _sums(covered: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -163,13 +179,12 @@ def _sums(covered: np.ndarray, first: np.ndarray) -> np.ndarray:
 _SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 1 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 1 << 20, passes: int = 16) -> DataFrame:
     """One row per row of `docs`: its words, those within occurrences, and the items found.
 
     contaminated: at least one word in twenty is within an occurrence.
     """
     sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(p) for p in _blocks(benchmark, block_words, window)]
     state = "doc_id long, text string, hit binary, items array<string>"
 
     def scan(held, last: bool, begun: bool):
@@ -203,22 +218,37 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
         return run
 
-    out = X.plain(docs)
-    for k, held in enumerate(blocks):
-        last = k == len(blocks) - 1
-        out = out.mapInArrow(scan(held, last, k > 0), _SCHEMA if last else state)
+    out, held, staged, before = X.plain(docs), [], X.Staged(docs.sparkSession), None
+    blocks = _blocks(benchmark, block_words, window)
+    block, begun = next(blocks), False
+    while block is not None:
+        after = next(blocks, None)
+        held.append(sc.broadcast(block))
+        out = out.mapInArrow(scan(held[-1], after is None, begun), _SCHEMA if after is None else state)
+        if len(held) == passes and after is not None:
+            out = staged.write(out)
+            staged.drop(before)
+            before = out
+            for b in held:
+                b.destroy()
+            held = []
+        block, begun = after, True
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 1 << 20) -> DataFrame:
     """The rows of `docs`, all columns, that are not contaminated."""
-    blocks = list(_blocks(benchmark, block_words, window))
+    some = _blocks(benchmark, block_words, window)
+    first, more = next(some), next(some, None)
     at = docs.columns.index("text")
-    if len(blocks) > 1:
-        rows = docs.withColumn("_row", X.row_id())
-        judged = contamination(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark, window, block_words)
-        return rows.join(judged.where("contaminated").select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(*docs.columns)
-    held = docs.sparkSession.sparkContext.broadcast(blocks[0])
+    if more is not None:
+        row = "_row"
+        while row in docs.columns:
+            row += "_"
+        rows = docs.withColumn(row, X.row_id())
+        judged = contamination(rows.select(F.col(row).alias("doc_id"), "text"), benchmark, window, block_words)
+        return rows.join(judged.where("contaminated").select(F.col("doc_id").alias(row)).distinct(), row, "left_anti").select(*docs.columns)
+    held = docs.sparkSession.sparkContext.broadcast(first)
 
     def run(batches):
         for b in batches:

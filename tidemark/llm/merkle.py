@@ -1,15 +1,20 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections.
 
 Leaves are runs of at most eight words within a paragraph, cut where a word's hash says so,
-with the white space that follows; together they cover every byte.  A paragraph (up to a line
-break) hashes its leaves, a section (paragraphs up to a blank line, or to one whose hash
-says so) its paragraphs, and the root its sections.  Equal roots mean equal texts;
-walking two trees down their differing branches locates edits.
+with the white space that follows; together they cover every byte.  A leaf is the blake2b
+digest of its bytes, a paragraph (up to a line break) that of its leaves' digests, a section
+(paragraphs up to a blank line, or to one whose digest says so) that of its paragraphs',
+and the root that of its sections'.  So equal roots mean equal texts.
 
-A fingerprint is the root in hexadecimal and, in base64, the number of paragraphs of
-each section, the number of leaves of each paragraph and three bytes of each leaf.
-The likeness of two fingerprints is 1 for equal roots, else the share of leaves that
-they have in common (Dice, with multiplicity).
+A fingerprint is the root in hexadecimal (16 bytes) and, in base64, the number of
+paragraphs of each section and of leaves of each paragraph, and the first six bytes of each
+section, paragraph and leaf.  Two of these differ but look alike once in 2**48 pairs.
+
+Two trees are compared from the root down: equal roots end the walk; else sections are
+aligned in order, only the paragraphs of sections without a partner are aligned, and only
+the leaves of paragraphs without one.  The likeness is the share of leaves below aligned
+nodes (Dice), so moved parts count as differing; `edits` names the paragraphs that the walk
+found to be removed, added or moved.
 
 Defined results: a null text counts as empty; a null doc_id comes before all others;
 rows with an equal doc_id follow each other by a hash of their texts; equal rows give
@@ -21,7 +26,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from itertools import pairwise
+from bisect import bisect_left
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,108 +37,178 @@ from pyspark.sql import functions as F
 from tidemark.llm import textcore as X
 
 LEAF, LONGEST, SECTION = 4, 8, 4
-
-
-class Trees:
-    """The trees of a chunk of documents."""
-
-    def __init__(self, data: np.ndarray, off: np.ndarray):
-        n, rows = len(data), len(off) - 1
-        starts, ends, _ = X.words(data, off)
-        codes = X.word_hashes(data, starts, ends, False)
-        # a leaf begins at a document's start, after a line break, and at the word after a cutting word
-        cut = np.flatnonzero(codes % X.U(LEAF) == 0)
-        begin = np.zeros(n + 1, bool)
-        begin[starts[cut[cut + 1 < len(starts)] + 1]] = True
-        breaks = np.flatnonzero(data == 0x0A)
-        begin[breaks + 1] = True
-        begin[off[:-1]] = True
-        begin[n] = False
-        # a run of words without such a cut is cut after every LONGEST words
-        head = np.flatnonzero(begin[starts]) if len(starts) else starts
-        run = np.diff(np.r_[head, len(starts)])
-        more = (run - 1) // LONGEST
-        begin[starts[np.repeat(head, more) + LONGEST * (1 + X.ranges(np.zeros(len(more), np.int64), more))]] = True
-        leaf = np.flatnonzero(begin)
-        ends = np.r_[leaf[1:], n] if len(leaf) else leaf
-        self.leaves = X.Spans(X.BYTE_CODES[data]).hash(leaf, ends)
-        self.leaf_first = np.searchsorted(leaf, off)
-        head = np.zeros(n + 1, bool)
-        head[breaks + 1] = True
-        head[off[:-1]] = True
-        paragraph = np.flatnonzero(head[leaf])
-        self.paragraphs, self.leaf_counts, self.paragraph_first = self._level(self.leaves, paragraph, self.leaf_first)
-        blank = (self.leaf_counts == 1) & (np.diff(np.r_[leaf, n])[paragraph] == 1) if len(leaf) else np.zeros(0, bool)
-        stop = blank | (self.paragraphs % X.U(SECTION) == 0)
-        head = np.ones(len(self.paragraphs), bool)
-        head[1:] = stop[:-1]
-        head[self.paragraph_first[:-1][self.paragraph_first[:-1] < len(head)]] = True
-        self.sections, self.paragraph_counts, self.section_first = self._level(self.paragraphs, np.flatnonzero(head), self.paragraph_first)
-        self.rows, self.size = rows, np.diff(off)
-
-    @staticmethod
-    def _level(codes: np.ndarray, begin: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        end = np.r_[begin[1:], len(codes)].astype(np.int64) if len(begin) else begin
-        return X.Spans(codes).hash(begin, end), end - begin, np.searchsorted(begin, first)
-
-    def fingerprints(self) -> list[str]:
-        out = []
-        short = (self.leaves >> X.U(40)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-        for i in range(self.rows):
-            l0, l1 = self.leaf_first[i : i + 2]
-            p0, p1 = self.paragraph_first[i : i + 2]
-            s0, s1 = self.section_first[i : i + 2]
-            root = hashlib.blake2b(self.sections[s0:s1].tobytes() + int(self.size[i]).to_bytes(8, "little"), digest_size=16).hexdigest()
-            shape = np.r_[s1 - s0, self.paragraph_counts[s0:s1], p1 - p0, self.leaf_counts[p0:p1]].astype("<u4").tobytes()
-            out.append(f"{root}:{base64.b64encode(shape).decode()}:{base64.b64encode(short[l0:l1].tobytes()).decode()}")
-        return out
+DIGEST, SHOWN = 16, 6
+
+
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=DIGEST).digest()
+
+
+def leaf_starts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte of each leaf, whether a paragraph begins there)."""
+    n = len(data)
+    starts, ends, _ = X.words(data, off)
+    codes = X.word_hashes(data, starts, ends, False)
+    # a leaf begins at a document's start, after a line break, and at the word after a cutting word
+    cut = np.flatnonzero(codes % X.U(LEAF) == 0)
+    begin, head = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    head[np.flatnonzero(data == 0x0A) + 1] = True
+    head[off[:-1]] = True
+    head[n] = False
+    begin[starts[cut[cut + 1 < len(starts)] + 1]] = True
+    begin |= head
+    # a run of words without such a cut is cut after every LONGEST words
+    first = np.flatnonzero(begin[starts]) if len(starts) else starts
+    run = np.diff(np.r_[first, len(starts)])
+    more = (run - 1) // LONGEST
+    begin[starts[np.repeat(first, more) + LONGEST * (1 + X.ranges(np.zeros(len(more), np.int64), more))]] = True
+    leaves = np.flatnonzero(begin)
+    return leaves, head[leaves]
+
+
+def _tree(leaves: list[bytes], heads: list[int], blanks: list[bool]) -> tuple[bytes, list[bytes], list[bytes], list[int], list[int]]:
+    """(root, sections, paragraphs, paragraphs of each section, leaves of each paragraph)."""
+    paragraphs, sizes = [], []
+    for a, b in pairwise([*heads, len(leaves)]):
+        paragraphs.append(_digest(b"".join(leaves[a:b])))
+        sizes.append(b - a)
+    sections, counts, at = [], [], 0
+    for i, p in enumerate(paragraphs):
+        if blanks[i] or p[0] % SECTION == 0 or i == len(paragraphs) - 1:
+            sections.append(_digest(b"\x01" + b"".join(paragraphs[at : i + 1])))
+            counts.append(i + 1 - at)
+            at = i + 1
+    return _digest(b"\x02" + b"".join(sections)), sections, paragraphs, counts, sizes
 
 
 def fingerprints(texts: list[str]) -> list[str]:
     out: list[str] = []
-    for _, _, data, off in X.chunks(pa.array(texts, pa.large_string())):
-        out += Trees(data, off).fingerprints()
+    for lo, hi, data, off in X.chunks(pa.array(texts, pa.large_string())):
+        begin, head = leaf_starts(data, off)
+        first = np.searchsorted(begin, off).tolist()
+        buffer, ends = data.tobytes(), [*begin[1:].tolist(), len(data)]
+        begin = begin.tolist()
+        heads = np.flatnonzero(head).tolist()
+        cut = np.searchsorted(heads, first).tolist()
+        for i in range(hi - lo):
+            a, b = first[i], first[i + 1]
+            leaves = [_digest(buffer[x:y]) for x, y in zip(begin[a:b], ends[a:b], strict=True)]
+            mine = [h - a for h in heads[cut[i] : cut[i + 1]]]
+            blanks = [ends[a + h] - begin[a + h] == 1 and buffer[begin[a + h]] == 0x0A for h in mine]
+            root, sections, paragraphs, counts, sizes = _tree(leaves, mine, blanks)
+            shape = np.array([len(counts), *counts, *sizes], "<u4").tobytes()
+            shown = b"".join([d[:SHOWN] for level in (sections, paragraphs, leaves) for d in level])
+            out.append(f"{root.hex()}:{base64.b64encode(shape).decode()}:{base64.b64encode(shown).decode()}")
     return out
 
 
-def parts(fingerprint: str) -> tuple[str, list[list[list[bytes]]]]:
-    """(root, sections of paragraphs of leaves) of a fingerprint."""
-    root, shape, leaves = fingerprint.split(":")
-    n = np.frombuffer(base64.b64decode(shape), "<u4").tolist()
-    short = base64.b64decode(leaves)
-    each = iter([short[i : i + 3] for i in range(0, len(short), 3)])
-    sizes = iter(n[n[0] + 2 :])
-    return root, [[[next(each) for _ in range(next(sizes))] for _ in range(k)] for k in n[1 : n[0] + 1]]
+class Tree:
+    """What a fingerprint tells of its tree: levels of digests, sections first, and first children."""
+
+    def __init__(self, fingerprint: str):
+        self.root, shape, shown = fingerprint.split(":")
+        n = np.frombuffer(base64.b64decode(shape), "<u4").tolist()
+        counts, sizes = n[1 : n[0] + 1], n[n[0] + 1 :]
+        digests = base64.b64decode(shown)
+        each = [digests[i : i + SHOWN] for i in range(0, len(digests), SHOWN)]
+        a, b = len(counts), len(counts) + len(sizes)
+        self.levels = each[:a], each[a:b], each[b:]
+        self.children = [*accumulate(counts, initial=0)], [*accumulate(sizes, initial=0)]
+
+    def place(self, paragraph: int) -> tuple[int, int]:
+        """(section, paragraph within it)."""
+        s = bisect_left(self.children[0], paragraph + 1) - 1
+        return s, paragraph - self.children[0][s]
+
+
+def aligned(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
+    """Pairs of equal entries, ascending on both sides: equal ends, then the longest run that
+    pairs the k-th occurrence of an entry with the k-th."""
+    lo, n = 0, min(len(a), len(b))
+    while lo < n and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < n - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    where: dict[bytes, list[int]] = {}
+    for j in range(len(b) - hi - 1, lo - 1, -1):
+        where.setdefault(b[j], []).append(j)
+    pairs = [(i, where[x].pop()) for i, x in enumerate(a[lo : len(a) - hi], lo) if where.get(x)]
+    tails: list[int] = []
+    ends: list[int] = []
+    before = [-1] * len(pairs)
+    for k, (_, j) in enumerate(pairs):
+        at = bisect_left(tails, j)
+        before[k] = ends[at - 1] if at else -1
+        if at == len(tails):
+            tails.append(j)
+            ends.append(k)
+        else:
+            tails[at], ends[at] = j, k
+    run, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        run.append(pairs[k])
+        k = before[k]
+    return [(i, i) for i in range(lo)] + run[::-1] + [(len(a) - hi + k, len(b) - hi + k) for k in range(hi)]
+
+
+def walk(a: Tree, b: Tree) -> list[list[tuple[int, int]]]:
+    """Aligned pairs of sections, of paragraphs below sections without a partner, and of leaves
+    below paragraphs without one."""
+    out: list[list[tuple[int, int]]] = []
+    gaps = [(0, len(a.levels[0]), 0, len(b.levels[0]))]
+    for level in range(3):
+        found, below = [], []
+        for a0, a1, b0, b1 in gaps:
+            pairs = [(a0 + i, b0 + j) for i, j in aligned(a.levels[level][a0:a1], b.levels[level][b0:b1])]
+            found += pairs
+            if level < 2:
+                for (i, j), (k, m) in pairwise([(a0 - 1, b0 - 1), *pairs, (a1, b1)]):
+                    if k - i > 1 and m - j > 1:
+                        below.append((a.children[level][i + 1], a.children[level][k], b.children[level][j + 1], b.children[level][m]))
+        out.append(found)
+        gaps = below
+    return out
+
 
+def _alike(a: Tree, b: Tree) -> float:
+    if a.root == b.root:
+        return 1.0
+    sections, paragraphs, leaves = walk(a, b)
+    first, leaf = a.children
+    common = sum(leaf[first[i + 1]] - leaf[first[i]] for i, _ in sections) + sum(leaf[i + 1] - leaf[i] for i, _ in paragraphs) + len(leaves)
+    return 2 * common / max(1, len(a.levels[2]) + len(b.levels[2]))
 
-def edits(a: str, b: str) -> list[tuple[int, int]]:
-    """(section, paragraph) of `a` whose leaves differ from every paragraph of `b`."""
-    (ra, ta), (rb, tb) = parts(a), parts(b)
-    if ra == rb:
-        return []
-    known = {tuple(p) for s in tb for p in s}
-    return [(i, j) for i, s in enumerate(ta) for j, p in enumerate(s) if tuple(p) not in known]
 
+def likeness(a: str, b: str) -> float:
+    """How much of two texts stands in the same order, from their fingerprints alone."""
+    return _alike(Tree(a), Tree(b))
 
-def _leaf_codes(f: str) -> np.ndarray:
-    raw = np.frombuffer(base64.b64decode(f[f.rindex(":") + 1 :]), np.uint8).reshape(-1, 3).astype(np.int64)
-    return raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16
 
+def edits(a: str, b: str) -> list[tuple[str, tuple[int, int] | None, tuple[int, int] | None]]:
+    """(removed, added or moved; place in `a`; place in `b`) of the paragraphs that differ.
 
-def likeness(a: list[str], b: list[str]) -> list[float]:
-    """Likeness of each pair a[i], b[i], from the fingerprints alone."""
-    keys, totals = [], []
-    for side in (a, b):
-        codes = [_leaf_codes(f) for f in side]
-        sizes = np.array([len(c) for c in codes], np.int64)
-        key = np.concatenate([np.zeros(0, np.int64), *codes]) | np.repeat(np.arange(len(side)), sizes) << 24
-        keys.append(np.unique(key, return_counts=True))
-        totals.append(sizes)
-    _, ia, ib = np.intersect1d(keys[0][0], keys[1][0], assume_unique=True, return_indices=True)
-    both = np.minimum(keys[0][1][ia], keys[1][1][ib])
-    common = np.bincount(keys[0][0][ia] >> 24, both, len(a))
-    share = 2 * common / np.maximum(totals[0] + totals[1], 1)
-    return [1.0 if x[:32] == y[:32] else float(s) for x, y, s in zip(a, b, share, strict=True)]
+    A place is (section, paragraph within it); a changed paragraph is removed and added.
+    """
+    x, y = Tree(a), Tree(b)
+    if x.root == y.root:
+        return []
+    sections, paragraphs, _ = walk(x, y)
+    same = [{i for s in sections for i in range(t.children[0][s[k]], t.children[0][s[k] + 1])} | {p[k] for p in paragraphs} for k, t in enumerate((x, y))]
+    gone, new = ([i for i in range(len(t.levels[1])) if i not in same[k]] for k, t in enumerate((x, y)))
+    held: dict[bytes, list[int]] = {}
+    for j in reversed(new):
+        held.setdefault(y.levels[1][j], []).append(j)
+    out: list[tuple[str, tuple[int, int] | None, tuple[int, int] | None]] = []
+    moved = set()
+    for i in gone:
+        if held.get(x.levels[1][i]):
+            j = held[x.levels[1][i]].pop()
+            moved.add(j)
+            out.append(("moved", x.place(i), y.place(j)))
+        else:
+            out.append(("removed", x.place(i), None))
+    return out + [("added", None, y.place(j)) for j in new if j not in moved]
 
 
 def edited(text: str, following: str) -> str:
@@ -159,27 +235,34 @@ def _part(bounds: list[int], key: Column) -> Column:
 def compare_neighbours(docs: DataFrame, group: int = 256) -> DataFrame:
     """Fingerprints of each row and of its edit by the next row, in the order of doc_id.
 
-    Texts are shuffled once, to ranges of doc_id; the first row of each range also goes
-    to the range before it, and the first row of all to the last.
+    Texts are shuffled once, to ranges of doc_id (rows without one: of their text's hash);
+    the first row of each range also goes to the range before it, and the first row of all
+    to the last.
     """
     spark = docs.sparkSession
-    rows = X.plain(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    rows = X.plain(docs)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted({int(b) for b in rows.select("key").stat.approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n)}) if n > 1 else []
-    part = _part(bounds, F.col("key"))
-    heads = {r.part: r.head for r in rows.select("key").groupBy(part.alias("part")).agg(F.min("key").alias("head")).collect()}
+    total, named = rows.agg(F.count("*"), F.count("doc_id")).first()
+    bounds = sorted({int(b) for b in rows.select("doc_id").stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)}) if n > 1 else []
+    key, part = F.col("doc_id"), _part(bounds, F.col("doc_id"))
+    if total > named:
+        unnamed = -(-n * (total - named) // total)
+        hashed = F.xxhash64(F.coalesce("text", F.lit("")))
+        key = F.when(F.col("doc_id").isNull(), hashed).otherwise(F.col("doc_id"))
+        share = F.floor((hashed.cast("double") / 2.0**64 + 0.5) * unnamed)
+        part = F.when(F.col("doc_id").isNull(), F.least(share, F.lit(unnamed - 1))).otherwise(part + unnamed)
+    rows = rows.withColumn("key", key).withColumn("part", part.cast("int"))
+    heads = {r.part: r.head for r in rows.groupBy("part").agg(F.min("key").alias("head")).collect()}  # one row a range
     order = sorted(heads)
-    before = {heads[p]: q for q, p in pairwise([order[-1], *order])} if order else {}
-    sent = rows.withColumn("part", part)
-    if before:
-        tails = F.create_map(*[F.lit(x) for k, q in before.items() for x in (k, q)])
-        last = order[-1]
-        first_key = heads[order[0]]
-        copies = F.when(F.col("key").isin(list(before)), F.array(F.struct(F.col("part"), F.lit(0).alias("tail")), F.struct(tails[F.col("key")].alias("part"), F.lit(1).alias("tail")))).otherwise(F.array(F.struct(F.col("part"), F.lit(0).alias("tail"))))
-        assert before[first_key] == last
-        sent = rows.withColumn("part", part).withColumn("to", F.explode(copies)).select("doc_id", "text", "key", "to.part", "to.tail")
+    if order:
+        before = dict(zip(order, [order[-1], *order[:-1]], strict=True))
+        every = range(order[-1] + 1)
+        head = F.get(F.lit([heads.get(p, 0) for p in every]), F.col("part"))
+        own = F.struct(F.col("part"), F.lit(0).alias("tail"))
+        tail = F.struct(F.get(F.lit([before.get(p, 0) for p in every]).cast("array<int>"), F.col("part")).alias("part"), F.lit(1).alias("tail"))
+        sent = rows.withColumn("to", F.explode(F.when(F.col("key") == head, F.array(own, tail)).otherwise(F.array(own)))).select("doc_id", "text", "key", "to.part", "to.tail")
     else:
-        sent = sent.withColumn("tail", F.lit(0)).select("doc_id", "text", "key", "part", "tail")
+        sent = rows.withColumn("tail", F.lit(0)).select("doc_id", "text", "key", "part", "tail")
     sent = sent.repartition(n, "part").sortWithinPartitions("part", "tail", "key", F.xxhash64("text")).select("part", "tail", "doc_id", "text")
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
@@ -188,8 +271,18 @@ def compare_neighbours(docs: DataFrame, group: int = 256) -> DataFrame:
         own = fingerprints(texts)
         changed = [edited(a, b) for a, b in pairwise(texts)]
         other = fingerprints(changed)
+        trees = [Tree(f) for f in own]
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts[:-1]], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]), pa.array(own[:-1]), pa.array(other), pa.array(likeness(own[:-1], other), pa.float64()), pa.array(likeness(own[:-1], own[1:]), pa.float64())], schema=schema
+            [
+                pa.array(ids, pa.int64()),
+                pa.array([len(t) for t in texts[:-1]], pa.int64()),
+                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
+                pa.array(own[:-1]),
+                pa.array(other),
+                pa.array([_alike(a, Tree(f)) for a, f in zip(trees, other, strict=False)], pa.float64()),
+                pa.array([_alike(a, b) for a, b in pairwise(trees)], pa.float64()),
+            ],
+            schema=schema,
         )
 
     def run(batches):

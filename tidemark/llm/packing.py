@@ -4,8 +4,10 @@ Token counts are packed into sequences of `capacity` tokens.  Every partition pa
 pieces by best-fit decreasing and certifies its bin count with lower bounds from dual
 feasible functions.  Partitions whose count exceeds their bound put the pieces of their
 unfilled bins, certified ones those of their emptiest bin, into a common pool, which is
-dealt anew to fewer partitions and packed again, until one partition is left or a round
-leaves as many bins open.
+dealt anew to fewer partitions and packed again.  Rounds end when the count of all bins
+equals the bound of all pieces (which the counts of their lengths give), or when one
+partition has packed the whole pool; a round that frees no bin doubles the partitions' size
+for the next, up to eight times.  Every piece tells the bound and the bins of the whole.
 
 Defined results: a null or empty text is the single id 0; only documents beyond the
 capacity are cut, into pieces of the capacity and a last one that may be shorter; a null
@@ -76,8 +78,10 @@ class Encoder:
     """Ids of texts, unit by unit (see `units`), each distinct unit once.
 
     Units of one word each are encoded together and told apart by the marks of word
-    ends; others are joined by a special token.  A text that contains special tokens
-    itself is encoded directly.
+    ends; others are joined by a special token; where the tokenizer splits otherwise, units
+    are encoded one by one.  A text that contains special tokens itself is encoded directly.
+    Units are found again by their hash and compared with the bytes that were encoded; a
+    chunk in which two units share a hash is encoded directly.
     """
 
     def __init__(self, path: str, held: int = 1 << 20):
@@ -89,10 +93,16 @@ class Encoder:
 
     def clear(self) -> None:
         self.keys, self.begin, self.size, self.ids = np.zeros(0, X.U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        #: Bytes of the known units, and where each one lies
+        self.known, self.at, self.length = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _call(self, words: list[str], joint: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(joint.join(words), add_special_tokens=False).ids, np.uint32)
 
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+        return np.array([i for g in got for i in g], np.uint32), np.array([len(g) for g in got], np.int64)
+
     def _learn(self, keys: np.ndarray, words: list[str], single: np.ndarray) -> None:
         ids, sizes = [self.ids], []
         order = np.argsort(~single, kind="stable")
@@ -103,44 +113,59 @@ class Encoder:
                 more = [words[i] for i in order[plain : lo + 4096]]
                 got = self._call(part, " ")
                 cut = np.flatnonzero(self.ends[got])
-                if len(cut) != len(part):
-                    raise RuntimeError("the tokenizer splits words in another way")
-                sizes.append(np.diff(np.r_[-1, cut]))
+                size = np.diff(np.r_[-1, cut])
+                if len(cut) != len(part) or size.sum() != len(got):
+                    got, size = self._each(part)
+                sizes.append(size)
                 ids.append(got)
                 part = more
             if part:
                 got = self._call(part, self.mark)
                 cut = np.flatnonzero(got == self.mark_id)
+                size = np.diff(np.r_[-1, cut, len(got)]) - 1
+                got = got[got != self.mark_id]
                 if len(cut) != len(part) - 1:
-                    raise RuntimeError("the tokenizer does not split at special tokens")
-                sizes.append(np.diff(np.r_[-1, cut, len(got)]) - 1)
-                ids.append(got[got != self.mark_id])
+                    got, size = self._each(part)
+                sizes.append(size)
+                ids.append(got)
         size = np.concatenate(sizes)
         begin = len(self.ids) + np.cumsum(size) - size
+        text = [words[i].encode() for i in order]
+        length = np.array([len(w) for w in text], np.int64)
+        at = len(self.known) + np.cumsum(length) - length
+        self.known = np.concatenate([self.known, np.frombuffer(b"".join(text), np.uint8)])
         keys = keys[order]
         order = np.argsort(all_keys := np.concatenate([self.keys, keys]), kind="stable")
         self.keys, self.begin, self.size = all_keys[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
+        self.at, self.length = np.concatenate([self.at, at])[order], np.concatenate([self.length, length])[order]
         self.ids = np.concatenate(ids)
 
+    def _direct(self, buffer: bytes, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        each = [np.array([*self.tokenizer.encode(buffer[a:b].decode(), add_special_tokens=False).ids, END], np.uint32) for a, b in zip(off[:-1], off[1:], strict=True)]
+        return np.concatenate(each), np.r_[0, np.cumsum([len(x) for x in each])]
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): those of row i, with the end id, are bounds[i]..bounds[i+1]."""
         buffer = data.tobytes()
         if b"<|" in buffer:
-            each = [np.array([*self.tokenizer.encode(buffer[a:b].decode(), add_special_tokens=False).ids, END], np.uint32) for a, b in zip(off[:-1], off[1:], strict=True)]
-            return np.concatenate(each), np.r_[0, np.cumsum([len(x) for x in each])]
+            return self._direct(buffer, off)
         starts, ends, first = units(data, off)
-        codes = X.word_hashes(data, starts, ends, True)
+        folded = X.FOLD[data]
+        codes = X.span_hashes(folded, starts, ends)
         unique, where, inverse = np.unique(codes, return_index=True, return_inverse=True)
         k = np.minimum(np.searchsorted(self.keys, unique), max(0, len(self.keys) - 1))
         new = self.keys[k] != unique if len(self.keys) else np.ones(len(unique), bool)
         if new.any():
             if len(self.keys) > self.held:
                 self.clear()
-                new[:] = True
-            a, b = starts[where[new]], ends[where[new]]
+                new = np.ones(len(unique), bool)
+            a, b, lower = starts[where[new]], ends[where[new]], folded.tobytes()
             odd = np.r_[0, np.cumsum(_SINGLE[data] == 3)]
-            self._learn(unique[new], [buffer[x:y].decode() for x, y in zip(a, b, strict=True)], odd[a] == odd[b])
+            self._learn(unique[new], [lower[x:y].decode() for x, y in zip(a, b, strict=True)], odd[a] == odd[b])
         k = np.searchsorted(self.keys, unique)[inverse] if len(unique) else np.zeros(0, np.int64)
+        length = ends - starts
+        if not ((self.length[k] == length).all() and X.same_spans(self.known, self.at[k], folded, starts, length).all()):
+            return self._direct(buffer, off)
         size = np.r_[0, np.cumsum(self.size[k])]
         bounds = size[first] + np.arange(len(off))
         out = np.full(bounds[-1], END, np.uint32)
@@ -201,9 +226,13 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """The best of the lower bounds that dual feasible functions give for the bin count."""
-    if not len(lengths):
+    return lower_bound_of(*np.unique(lengths, return_counts=True), capacity)
+
+
+def lower_bound_of(size: np.ndarray, count: np.ndarray, capacity: int) -> int:
+    """The same from how often each length occurs."""
+    if not len(size):
         return 0
-    size, count = np.unique(lengths, return_counts=True)
     best = -(-int((size * count).sum()) // capacity)
     # u(k): multiples of the share x = size / capacity, rounded so that no bin exceeds k
     for k in range(1, 32):
@@ -217,7 +246,8 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, bound long, bins long, open boolean"
+_COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
+_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean"
 
 
 def _packed(dealt: DataFrame, capacity: int, turn: int) -> DataFrame:
@@ -225,43 +255,46 @@ def _packed(dealt: DataFrame, capacity: int, turn: int) -> DataFrame:
 
     A certified part gives away its emptiest bin alone, the share that its bound rounds up.
     """
-    fields = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(key, t):
         part = key[0].as_py()
         length = t.column("length").to_numpy()
         bins, offsets, fill = best_fit(length, capacity)
-        bound = lower_bound(length, capacity)
-        sequence = (np.int64(turn) << 56) | (np.int64(part) << 28) | bins
-        loose = (fill[bins] < capacity) & ((len(fill) > bound) | (bins == fill.argmin()))
-        n = t.num_rows
-        return pa.Table.from_arrays([*(t.column(f).combine_chunks() for f in fields), pa.array(sequence), pa.array(offsets), pa.array(np.full(n, bound)), pa.array(np.full(n, len(fill))), pa.array(loose)], names=[*fields, "sequence_id", "offset", "bound", "bins", "open"])
+        gap = len(fill) > lower_bound(length, capacity)
+        sequence = (np.int64(turn) << 48) | (np.int64(part) << 24) | bins
+        loose = (fill[bins] < capacity) & (gap | (bins == fill.argmin()))
+        return pa.Table.from_arrays([*(t.column(f).combine_chunks() for f in _COLUMNS), pa.array(sequence), pa.array(offsets), pa.array(loose)], names=[*_COLUMNS, "sequence_id", "offset", "open"])
 
     return dealt.groupBy("part").applyInArrow(run, _PACKED)
 
 
-def _dealt(df: DataFrame, parts: int, turn: int) -> DataFrame:
+def _dealt(df: DataFrame, parts: int) -> DataFrame:
     return df.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(parts)))
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, part_size: int = 100_000, rounds: int = 4) -> DataFrame:
-    """Adds sequence_id and offset to pieces (see `pieces`)."""
+def pack(cut: DataFrame, capacity: int = CAPACITY, part_size: int = 100_000) -> DataFrame:
+    """Adds sequence_id and offset to pieces (see `pieces`), and bins and bound of all of them."""
     staged = X.Staged(cut.sparkSession)
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     cut = staged.write(cut)
-    total = cut.count()
+    counts = {int(r["length"]): int(r["count"]) for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
+    bound = lower_bound_of(np.array(list(counts), np.int64), np.array(list(counts.values()), np.int64), capacity)
+    total, closed, turn, wider = sum(counts.values()), 0, 0, 1
     done, pool, before = [], cut, None
-    for turn in range(rounds):
-        parts = max(1, -(-total // part_size))
-        packed = staged.write(_packed(_dealt(pool, parts, turn), capacity, turn), share=2)
-        loose = packed.where("open")
-        stat = loose.agg(F.count("*").alias("n"), F.count_distinct("sequence_id").alias("bins")).first()
-        if not stat.n or turn == rounds - 1 or parts == 1 or (before is not None and stat.bins >= before):
+    while True:
+        parts = max(1, -(-total // (part_size * wider)))
+        packed = staged.write(_packed(_dealt(pool, parts), capacity, turn), share=2)
+        bins = packed.groupBy("open").agg(F.count("*").alias("n"), F.count_distinct("sequence_id").alias("bins"))
+        stat = {r.open: (r.n, r.bins) for r in bins.collect()}
+        n, opened = stat.get(True, (0, 0))
+        closed += stat.get(False, (0, 0))[1]
+        stuck = before is not None and opened >= before
+        if not n or parts == 1 or closed + opened <= bound or stuck and wider == 8:
             done.append(packed)
             break
         done.append(packed.where("not open"))
-        pool, total, before = loose.select(*columns), stat.n, stat.bins
+        wider = 2 * wider if stuck else wider
+        pool, total, before, turn = packed.where("open").select(*_COLUMNS), n, opened, turn + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select(*columns, "sequence_id", "offset")
+    return out.select(*_COLUMNS, "sequence_id", "offset", F.lit(closed + opened).cast("long").alias("bins"), F.lit(bound).cast("long").alias("bound"))

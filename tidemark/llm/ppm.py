@@ -1,17 +1,21 @@
 """Language-model scoring by prediction by partial matching.
 
 The model is a trie of byte contexts up to five bytes deep, pretrained on the whole
-training part of the corpus.  A byte is coded in its longest context that was seen; where
-it did not occur there, an escape is coded (half a count for every distinct follower,
-taken from the followers' own counts) and the next shorter context is tried without the symbols already ruled out.
-The end of a text is a symbol of its own.  Code lengths of a text add up to its score.
-Beside it stands a unigram word model of the same corpus as the base.
+training part of the corpus.  The longest contexts count occurrences; a shorter one counts
+a symbol once for each longer context in which it was seen, which is where coding comes
+down to it.  A byte is coded in its longest context that was seen; where it did not occur
+there, an escape is coded (`ESCAPE` of a count for every distinct follower, taken from the
+followers' own counts) and the next shorter context is tried without the symbols already
+ruled out.  The end of a text is a symbol of its own.  Code lengths of a text add up to its
+score.  Beside it stands a unigram word model of the same corpus as the base.
 
 The trie and the word counts grow with the corpus, so no task ever holds them.  The
 corpus is read in blocks; every block sums its own words and byte grams and sends them in
-packed form to buckets by key, where counts of all blocks meet.  Trie nodes are divided
-by their two nearest context bytes; the levels above are bounded (257 x 257 counts) and
-given to all.  Each block gets back just the entries that its texts need.
+packed form to `buckets` by key, where counts of all blocks meet one after the other.  Trie
+nodes are divided by their three nearest context bytes; the levels above are bounded (at
+most 257**3 counts, those that occur) and given to all.  Each block gets back just the
+entries that its texts need.  A task holds the distinct keys of a bucket, those below some
+nodes, or those of one block.
 
 Defined results: a null text counts as empty; a null doc_id is scored, but neither learned
 from nor held out; equal rows give equal results; with nothing to learn from, the base
@@ -29,7 +33,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import textcore as X
 
 DEPTH, SYMBOL_BITS, SYMBOLS = 5, 9, 257
+ESCAPE = 0.3
 WORDS, GRAMS, DOCS = 0, 1, 9
+_PENDING = 4 << 20
 
 
 def symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,32 +125,61 @@ def _longs(x: pa.Scalar | bytes) -> np.ndarray:
     return np.frombuffer(x.as_buffer() if isinstance(x, pa.Scalar) else x, np.int64)
 
 
-def ppm(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """log10 of each gram's probability, given all grams that share their last two context bytes.
-
-    `pairs` has the counts of every symbol after every symbol, over the whole corpus.
-    """
-    one = pairs.astype(np.float64)
-    zero = one.sum(axis=0)
-    key = {k: grams & ((1 << (SYMBOL_BITS * (k + 1))) - 1) for k in range(DEPTH + 1)}
-    symbol, last = key[0], key[1] >> SYMBOL_BITS
-    count, total, kinds, excluded, distinct, level = {}, {}, {}, {}, {}, {}
-    for k in range(DEPTH, 1, -1):
-        distinct[k], inverse = np.unique(key[k], return_inverse=True)
-        level[k] = np.bincount(inverse, counts, len(distinct[k]))
-        count[k] = level[k][inverse]
-    for k in range(DEPTH, 1, -1):
+def _low(order: int) -> int:
+    """The bits of a symbol and its `order` nearest context symbols."""
+    return (1 << (SYMBOL_BITS * (order + 1))) - 1
+
+
+class Upper:
+    """Counts of the orders 0 to 2 over the whole corpus, from those of order 2."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order].astype(np.int64), counts[order].astype(np.float64)
+        context = self.keys >> SYMBOL_BITS
+        self.one = np.bincount(self.keys & _low(1), minlength=1 << 2 * SYMBOL_BITS).astype(np.float64)
+        contexts = 1 << 2 * SYMBOL_BITS
+        self.total = {2: np.bincount(context, self.counts, contexts)}
+        self.kinds = {2: np.bincount(context, minlength=contexts).astype(np.float64)}
+        self.excluded = {2: np.bincount(context, self.one[self.keys & _low(1)], contexts)}
+        seen = np.flatnonzero(self.one)
+        self.zero = np.bincount(seen & _low(0), minlength=1 << SYMBOL_BITS).astype(np.float64)
+        self.total[1] = np.bincount(seen >> SYMBOL_BITS, self.one[seen], 1 << SYMBOL_BITS)
+        self.kinds[1] = np.bincount(seen >> SYMBOL_BITS, minlength=1 << SYMBOL_BITS).astype(np.float64)
+        self.excluded[1] = np.bincount(seen >> SYMBOL_BITS, self.zero[seen & _low(0)], 1 << SYMBOL_BITS)
+
+    def two(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at], 0.0)
+
+
+def ppm(grams: np.ndarray, counts: np.ndarray, upper: Upper) -> np.ndarray:
+    """log10 of each gram's probability, given all grams that share their last three context bytes."""
+    key = {k: grams & _low(k) for k in range(DEPTH + 1)}
+    count, total, kinds, excluded = {}, {}, {}, {}
+    distinct, inverse, level = {}, {}, {}
+    for k in range(DEPTH, 2, -1):
+        distinct[k], inverse[k] = np.unique(key[k], return_inverse=True)
+    level[DEPTH] = np.bincount(inverse[DEPTH], counts, len(distinct[DEPTH]))
+    for k in range(DEPTH - 1, 2, -1):
+        shorter = np.searchsorted(distinct[k], distinct[k + 1] & _low(k))
+        level[k] = np.bincount(shorter, level[k + 1] > 0, len(distinct[k]))
+    for k in range(DEPTH, 2, -1):
         context, which = np.unique(distinct[k] >> SYMBOL_BITS, return_inverse=True)
-        seen = level[k] > 0
-        lower = distinct[k] & ((1 << (SYMBOL_BITS * k)) - 1)
-        shorter = level[k - 1][np.searchsorted(distinct[k - 1], lower)] if k > 2 else one[lower >> SYMBOL_BITS, lower & ((1 << SYMBOL_BITS) - 1)]
-        at = np.searchsorted(context, key[k] >> SYMBOL_BITS)
+        seen, lower = level[k] > 0, distinct[k] & _low(k - 1)
+        below = level[k - 1][np.searchsorted(distinct[k - 1], lower)] if k > 3 else upper.two(lower)
+        count[k], at = level[k][inverse[k]], which[inverse[k]]
         total[k] = np.bincount(which, level[k], len(context))[at]
         kinds[k] = np.bincount(which, seen, len(context))[at]
-        excluded[k] = np.bincount(which, shorter * seen, len(context))[at]
-    seen = one > 0
-    count[1], total[1], kinds[1], excluded[1] = one[last, symbol], one.sum(axis=1)[last], seen.sum(axis=1)[last], (seen * zero).sum(axis=1)[last]
-    count[0], total[0], kinds[0] = zero[symbol], np.full(len(grams), zero.sum()), np.full(len(grams), (zero > 0).sum())
+        excluded[k] = np.bincount(which, below * seen, len(context))[at]
+    count[2], count[1], count[0] = upper.two(key[2]), upper.one[key[1]], upper.zero[key[0]]
+    for k in (2, 1):
+        context = key[k] >> SYMBOL_BITS
+        total[k], kinds[k], excluded[k] = upper.total[k][context], upper.kinds[k][context], upper.excluded[k][context]
+    alphabet = int((upper.zero > 0).sum())
+    total[0], kinds[0] = np.full(len(grams), upper.zero.sum()), np.full(len(grams), alphabet)
     out, open_ = np.zeros(len(grams)), np.ones(len(grams), bool)
     for k in range(DEPTH, -1, -1):
         n = total[k] - (excluded[k + 1] if k < DEPTH else 0)
@@ -152,26 +187,26 @@ def ppm(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
         used = open_ & (d > 0)
         found = used & (count[k] > 0)
         with np.errstate(divide="ignore", invalid="ignore"):
-            out += np.where(found, np.log10((count[k] - 0.5) / n), np.where(used, np.log10(0.5 * d / n), 0.0))
+            out += np.where(found, np.log10((count[k] - ESCAPE) / n), np.where(used, np.log10(ESCAPE * d / n), 0.0))
         open_ &= ~found
-    rest = SYMBOLS - int((zero > 0).sum())
-    return out - np.where(open_, np.log10(max(rest, 1)), 0.0)
+    return out - np.where(open_, np.log10(max(SYMBOLS - alphabet, 1)), 0.0)
 
 
-def score(docs: DataFrame, mod: int = 10, held: int = 0, by_file: bool = False, block_bytes: int = 32 << 20) -> DataFrame:
+def score(docs: DataFrame, mod: int = 10, held: int = 0, by_file: bool = False, block_bytes: int = 32 << 20, block_rows: int = 1 << 15, buckets: int = 1024) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Texts are taken in blocks: with `by_file` stretches of the files that `docs` is read
-    from, of two times `block_bytes`, else by a hash, of about `block_bytes` each.  Both
-    readings must find a text in the same block; a key without an answer is an error.
+    from, of two times `block_bytes`, and of at most `block_rows` rows of a split; else by a
+    hash, of about `block_bytes` each.  Both readings must find a text in the same block; a
+    key without an answer is an error.
     """
     spark = docs.sparkSession
     staged = X.Staged(spark)
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rest = X.remainder(mod)
     flags = [F.coalesce(rest == held, F.lit(False)).alias("held_out"), F.coalesce(rest != held, F.lit(False)).alias("train")]
     if by_file:
-        block = F.xxhash64(F.input_file_name(), F.floor(F.input_file_block_start() / (2 * block_bytes)))
+        within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+        block = F.xxhash64(F.input_file_name(), F.floor(F.input_file_block_start() / (2 * block_bytes)), F.floor(within / block_rows))
         rows = X.plain(docs, block.alias("block")).select("block", "doc_id", "text", *flags)
         gathered = rows
     else:
@@ -201,53 +236,94 @@ def score(docs: DataFrame, mod: int = 10, held: int = 0, by_file: bool = False,
     stats = [_longs(bytes(r.keys)) for r in requests.where("kind = 2").select("keys").toLocalIterator()]
     tokens, texts = (int(x) for x in np.sum(stats, axis=0)) if stats else (0, 0)
 
-    def sum_grams(key, t):
-        grams, n = _reduce([_longs(k) for k in t.column("keys")], [_longs(c) for c in t.column("counts")])
-        return pa.table({"gram": grams, "n": n})
+    def sum_grams(batches):
+        def summed():
+            if keys:
+                key, count = _reduce(keys, counts)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(count)], names=["gram", "n"])
 
-    grams = staged.write(requests.where(f"kind = {GRAMS}").groupBy("bucket").applyInArrow(sum_grams, "gram long, n long"), share=4)
-    pairs = np.zeros((SYMBOLS, SYMBOLS))
-    low = (1 << 2 * SYMBOL_BITS) - 1
-    for r in grams.where("n > 0").groupBy(F.col("gram").bitwiseAND(low).alias("pair")).agg(F.sum("n").alias("n")).toLocalIterator():  # at most 257 * 257 rows
-        pairs[r.pair >> SYMBOL_BITS, r.pair & ((1 << SYMBOL_BITS) - 1)] = r.n
-    shared = spark.sparkContext.broadcast(pairs)
+        at, keys, counts, size = None, [], [], 0
+        for b in batches:
+            for i, bucket in enumerate(b.column(0).to_numpy()):
+                if bucket != at:
+                    yield from summed()
+                    at, keys, counts, size = bucket, [], [], 0
+                keys.append(_longs(b.column(1)[i]))
+                counts.append(_longs(b.column(2)[i]))
+                size += len(keys[-1])
+                if size > _PENDING:
+                    key, count = _reduce(keys, counts)
+                    keys, counts, size = [key], [count], 0
+        yield from summed()
+
+    by_bucket = requests.where(f"kind = {GRAMS}").select("bucket", "keys", "counts").repartition("bucket").sortWithinPartitions("bucket")
+    grams = staged.write(by_bucket.mapInArrow(sum_grams, "gram long, n long"), share=4)
+    of_order = lambda k: F.col("gram").bitwiseAND(_low(k)).alias("gram")
+    two = grams.where("n > 0").select(of_order(3)).distinct().select(of_order(2)).groupBy("gram").count().toArrow()  # at most 257 ** 3 rows
+    shared = spark.sparkContext.broadcast(Upper(two.column(0).to_numpy(), two.column(1).to_numpy()))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), grams.count() // _PENDING)
 
     def predict(batches):
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if parts:
-            g, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(g)
-            g, n = g[order], n[order]
-            if len(g):
-                yield pa.RecordBatch.from_arrays([pa.array(_bucket(g, buckets).astype(np.int32)), pa.array(g), pa.array(ppm(g, n, shared.value))], names=["bucket", "gram", "logp"])
-
-    node = F.shiftright("gram", SYMBOL_BITS).bitwiseAND(low)
-    predicted = grams.withColumn("node", node).repartition(buckets, "node").select("gram", "n").mapInArrow(predict, "bucket int, gram long, logp double")
-    answer = "block long, kind int, keys binary, values binary"
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not held:
+            return
+        g, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(g)
+        g = g[order]
+        values = ppm(g, n[order], shared.value).astype(np.float32)
+        where = _bucket(g, buckets)
+        order = np.argsort(where, kind="stable")
+        cut = np.searchsorted(where[order], np.arange(buckets + 1))
+        own = np.flatnonzero(np.diff(cut))
+        parts = [order[cut[i] : cut[i + 1]] for i in own]
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), X.binary([g[p] for p in parts]), X.binary([values[p] for p in parts])], names=["bucket", "keys", "values"])
+
+    node = F.shiftright("gram", SYMBOL_BITS).bitwiseAND(_low(2))
+    predicted = grams.repartition(parts, node).mapInArrow(predict, "bucket int, keys binary, values binary")
+    none = F.lit(0).cast("long").alias("block")
+    asked = requests.where("kind < 2").select("kind", "bucket", F.lit(1).alias("asks"), "block", "keys", F.lit(None).cast("binary").alias("values"))
+    known = predicted.select(F.lit(GRAMS).alias("kind"), "bucket", F.lit(0).alias("asks"), none, "keys", "values")
+    words = requests.where(f"kind = {WORDS}").select("kind", "bucket", F.lit(0).alias("asks"), none, "keys", F.col("counts").alias("values"))
+    order = ["kind", "bucket", "asks", "block"]
+    meeting = known.unionByName(words).unionByName(asked).repartition("kind", "bucket").sortWithinPartitions(*order).select(*order, "keys", "values")
     schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())])
 
-    def answers_of(asked, kind, keys, values):
-        """The values for each block, whose requests may come in several parts."""
-        parts = {}
-        for block, wanted in zip(asked.column("block").to_pylist(), asked.column("keys"), strict=True):
-            parts.setdefault(block, []).append(_longs(wanted))
-        wanted = [k[0] if len(k) == 1 else np.unique(np.concatenate(k)) for k in parts.values()]
-        found = [values[np.searchsorted(keys, k)].tobytes() for k in wanted]
-        return pa.Table.from_arrays([pa.array(list(parts), pa.int64()), pa.array(np.full(len(parts), kind, np.int32)), X.binary(wanted), pa.array(found, pa.binary())], schema=schema)
-
-    def answer_grams(key, asked, known):
-        grams, logp = known.column("gram").to_numpy(), known.column("logp").to_numpy()
-        order = np.argsort(grams)
-        return answers_of(asked, GRAMS, grams[order], logp[order].astype(np.float32))
-
-    def answer_words(key, asked):
-        words, n = _reduce([_longs(k) for k in asked.column("keys")], [_longs(c) for c in asked.column("counts")])
-        known = pa.Table.from_arrays([pa.array([0], pa.int64()), pa.array([2], pa.int32()), X.binary([np.array([(n > 0).sum()], np.int64)]), pa.array([b""], pa.binary())], schema=schema)
-        return pa.concat_tables([answers_of(asked, WORDS, words, n), known])
-
-    of_grams = requests.where(f"kind = {GRAMS}").select("bucket", "block", "keys").groupBy("bucket").cogroup(predicted.groupBy("bucket")).applyInArrow(answer_grams, answer)
-    of_words = requests.where(f"kind = {WORDS}").select("bucket", "block", "keys", "counts").groupBy("bucket").applyInArrow(answer_words, answer)
-    answers = staged.write(of_grams.unionByName(of_words), share=2)
+    def row(block, kind, keys, values):
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([kind], pa.int32()), X.binary([keys]), X.binary([values])], schema=schema)
+
+    def answer(batches):
+        """First comes what a bucket knows, then what each block asks of it, maybe in several parts."""
+
+        def answered():
+            if wanted:
+                ask = wanted[0] if len(wanted) == 1 else np.unique(np.concatenate(wanted))
+                yield row(block, at[0], ask, values[np.searchsorted(keys, ask)])
+
+        at, block, wanted, parts, keys, values, size = None, None, [], [], None, None, 0
+        for b in batches:
+            kinds, bucket, asks, blocks = (b.column(k).to_numpy() for k in range(4))
+            for i in range(b.num_rows):
+                if at != (kinds[i], bucket[i]):
+                    yield from answered()
+                    at, block, wanted, parts, keys, size = (int(kinds[i]), int(bucket[i])), None, [], [], None, 0
+                if not asks[i]:
+                    parts.append((_longs(b.column(4)[i]), np.frombuffer(b.column(5)[i].as_buffer(), np.int64 if at[0] == WORDS else np.float32)))
+                    size += len(parts[-1][0])
+                    if at[0] == WORDS and size > _PENDING:
+                        parts, size = [_reduce(*zip(*parts, strict=True))], 0
+                    continue
+                if keys is None:
+                    keys, values = _reduce(*zip(*parts, strict=True))  # grams are known once each
+                    parts = []
+                    if at[0] == WORDS:
+                        yield row(0, 2, np.array([(values > 0).sum()], np.int64), np.zeros(0, np.int64))
+                if int(blocks[i]) != block:
+                    yield from answered()
+                    block, wanted = int(blocks[i]), []
+                wanted.append(_longs(b.column(4)[i]))
+        yield from answered()
+
+    answers = staged.write(meeting.mapInArrow(answer, "block long, kind int, keys binary, values binary"), share=2)
     staged.drop(requests, grams)
     distinct = sum(int(_longs(bytes(r["keys"]))[0]) for r in answers.where("kind = 2").select("keys").toLocalIterator()) + (texts > 0)
     whole = tokens + 0.1 * (distinct + 1)

@@ -26,13 +26,13 @@ class Sets:
 
     def __init__(self, data: np.ndarray, off: np.ndarray, size: int = SIZE):
         starts, ends, first = X.words(data, off)
-        spans = X.Spans(X.word_hashes(data, starts, ends, True))
+        spans = X.Runs(X.word_hashes(data, starts, ends, True))
         words = np.diff(first)
         count = np.where(words >= size, words - size + 1, np.minimum(words, 1))
         begin = X.ranges(first[:-1], count)
         row = np.repeat(np.arange(len(words)), count)
         length = np.repeat(np.minimum(words, size), count)
-        codes = spans.hash(begin, begin + length)
+        codes = spans.hash(begin, length)
         order = by_row(row, codes)
         codes, row = codes[order], row[order]
         new = np.ones(len(codes), bool)

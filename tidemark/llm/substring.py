@@ -12,9 +12,10 @@ occurs elsewhere, are compared window by window; the first copy of any window al
 among these, so nothing is lost and a group of copies contributes its windows once.
 Neighbouring repeated windows run together to the maximal repeats, whose words go.
 
-Keys are pairs of 64-bit hashes (anchor, stretch or window), so equality holds up to
-128-bit coincidence.  No group of copies is ever gathered in one place: groups are
-reduced to their smallest doc_id by aggregation before they are joined.
+Keys are pairs of 64-bit hashes (anchor, and stretch or window) over differently seeded
+word codes.  No group of copies is ever gathered in one place: groups are reduced to
+their smallest doc_id by aggregation, and anchors, stretches and windows that hold more
+than a fair part of the rows are looked up in a bounded list (`textcore.looked_up`).
 
 Defined results: a null text has no words; a document with a null doc_id is neither a
 source nor reduced; rows with an equal doc_id are not sources for each other; equal rows
@@ -53,7 +54,7 @@ class Units:
     def __init__(self, data: np.ndarray, off: np.ndarray, window: int, seed: int):
         starts, ends, self.first = X.words(data, off)
         codes = X.word_hashes(data, starts, ends, False)
-        self.window, self.words = window, X.Spans(codes)
+        self.window, self.words = window, X.Runs(X.mix(codes ^ X.U(0x6A09E667F3BCC909)))
         grams = X.gram_hashes(codes, seed)
         at = anchors(grams, window - seed + 1)
         counts = np.maximum(np.diff(self.first) - window + 1, 0)
@@ -68,7 +69,7 @@ class Units:
         #: Windows from..to of each unit, among all windows
         self.low, self.high = begin, np.r_[begin[1:], len(rows)]
         self.anchor = grams[anchor[begin]] if len(begin) else np.zeros(0, X.U)
-        self.stretch = self.words.hash(self.starts[self.low], self.starts[self.high - 1] + window) if len(begin) else np.zeros(0, X.U)
+        self.stretch = self.words.hash(self.starts[self.low], self.starts[self.high - 1] + window - self.starts[self.low]) if len(begin) else np.zeros(0, X.U)
         #: Number of the unit within its row
         row_first = np.searchsorted(self.row, np.arange(len(counts) + 1))
         self.bounds = row_first
@@ -96,10 +97,11 @@ def repeats(docs: DataFrame, window: int = 50, seed: int = 10) -> tuple[DataFram
 
     sources = rows.where(F.col("doc_id").isNotNull())
     units = staged.write(sources.mapInArrow(seeds, "doc_id long, row long, unit int, anchor long, stretch long"))
-    stretches = units.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    shared = stretches.groupBy("anchor").agg(F.min("low").alias("a"), F.max("high").alias("z")).where("a < z").select("anchor")
-    held = stretches.join(shared, "anchor").select("anchor", "stretch", "low")
-    judged = units.join(held, ["anchor", "stretch"]).select("row", (F.col("unit") * 2 + (F.col("low") < F.col("doc_id")).cast("int")).alias("mark"))
+    stretches = units.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("held"))
+    total = units.count()
+    shared = stretches.groupBy("anchor").agg(F.min("low").alias("a"), F.max("high").alias("z"), F.count("*").alias("held")).where("a < z").select("anchor", "held")
+    held = staged.write(X.looked_up(stretches.withColumnRenamed("held", "rows"), shared, ["anchor"], total).select("anchor", "stretch", "low", F.col("rows").alias("held")), share=2)
+    judged = X.looked_up(units, held, ["anchor", "stretch"], total).select("row", (F.col("unit") * 2 + (F.col("low") < F.col("doc_id")).cast("int")).alias("mark"))
     marks = judged.groupBy("row").agg(F.collect_set("mark").alias("marks"))
     marks = staged.write(marks.select("row", F.filter("marks", lambda m: m % 2 == 1).alias("whole"), F.filter("marks", lambda m: m % 2 == 0).alias("parts")), share=8)
 
@@ -113,13 +115,14 @@ def repeats(docs: DataFrame, window: int = 50, seed: int = 10) -> tuple[DataFram
                 w = X.ranges(u.low[k], (u.high - u.low)[k])
                 rows = np.repeat(u.row[k], (u.high - u.low)[k])
                 start = u.starts[w]
-                hashes = u.words.hash(start, start + window)
+                hashes = u.words.hash(start, window)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo + rows]), pa.array(keys[lo + rows]), pa.array((start - u.first[rows]).astype(np.int32)), pa.array(X.signed(np.repeat(u.anchor[k], (u.high - u.low)[k]))), pa.array(X.signed(hashes))], names=["doc_id", "row", "at", "anchor", "hash"])
 
     parted = rows.join(marks.where("size(parts) > 0").select("row", "parts"), "row").select("doc_id", "row", "text", "parts")
     single = staged.write(parted.mapInArrow(windows, "doc_id long, row long, at int, anchor long, hash long"), share=4)
-    firsts = single.groupBy("anchor", "hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    later = single.join(firsts, ["anchor", "hash"]).where("low < doc_id").groupBy("row").agg(F.collect_set("at").alias("windows"))
+    firsts = single.groupBy("anchor", "hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("held")).where("low < high").drop("high")
+    firsts = staged.write(firsts, share=4)
+    later = X.looked_up(single, firsts, ["anchor", "hash"], single.count()).where("low < doc_id").groupBy("row").agg(F.collect_set("at").alias("windows"))
     found = marks.where("size(whole) > 0").select("row", "whole").join(later, "row", "full")
     return rows, found, staged
 

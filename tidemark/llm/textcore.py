@@ -1,17 +1,21 @@
 """Shared machinery: Arrow text buffers as numpy bytes, words, and hashes of spans.
 
 Texts are handled as UTF-8 bytes in chunks of about a megabyte, so that the working
-arrays stay in cache and memory does not depend on the number of rows.  All byte
-classes used here treat every byte from 0x80 on alike, so splitting bytes equals
-splitting code points.
-
-Hashes are 64 bits wide: random coefficients for bytes, a polynomial modulo 2**64
-over the span, and a final mix.  Two different spans collide with a probability of
-about 2**-64.
+arrays stay in cache and memory does not depend on the number of rows; a text that is
+longer is a chunk of its own.  All byte classes used here treat every byte from 0x80 on
+alike, so splitting bytes equals splitting code points.
+
+Hashes are 64 bits wide.  A span of bytes is hashed in blocks of eight bytes, each mixed
+into the state before the next one comes (blake2b from the 65th byte on); a run of words
+is hashed as a tree over runs of 1, 2, 4, ... words with a mix at every node.  Neither is
+a polynomial, so that no arrangement of repeated letters or words cancels out.  They are
+not secret: where a coincidence would change a result, and the texts are at hand, callers
+compare bytes (`same_spans`).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +26,6 @@ from pyspark.sql import functions as F
 
 CHUNK = 1 << 20
 U = np.uint64
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,10 +36,9 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
-BYTE_CODES = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
 _fold = np.arange(256)
 _fold[ord("A") : ord("Z") + 1] += 32
-LOWER_CODES = BYTE_CODES[_fold]
+#: Lower case of A to Z, byte by byte
 FOLD = _fold.astype(np.uint8)
 
 #: Words between spaces and the controls tab to carriage return.
@@ -48,34 +48,81 @@ SPACED[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
-_powers: dict[str, np.ndarray] = {}
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+_LANES = 8
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
-    if len(_powers.get("up", ())) < n:
-        m = max(n, 2 * CHUNK)
-        for name, x in (("up", _BASE), ("down", _INVERSE)):
-            p = np.full(m, U(x & _MASK))
-            p[0] = U(1)
-            with np.errstate(over="ignore"):
-                _powers[name] = np.cumprod(p, dtype=U)
-    return _powers["up"][:n], _powers["down"][:n]
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, zeros after the end, as one number."""
+    wide = np.zeros(len(data) + 16, np.uint8)
+    wide[: len(data)] = data
+    return np.ndarray((len(data) + 9,), "<u8", wide, 0, (1,))
 
 
-class Spans:
-    """Hashes of spans of a sequence of 64-bit codes, after one cumulative sum."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each span of bytes; depends on its bytes and length only."""
+    lanes, size = _lanes(data), ends - starts
+    with np.errstate(over="ignore"):
+        out = mix(size.astype(U) * U(0xA0761D6478BD642F) ^ U(0x2545F4914F6CDD1D))
+        out = mix(out ^ (lanes[starts] & _MASKS[np.minimum(size, 8)]))
+        left = np.flatnonzero(size > 8)
+        for k in range(1, _LANES):
+            if not len(left):
+                return out
+            n = size[left] - 8 * k
+            out[left] = mix(out[left] ^ (lanes[starts[left] + 8 * k] & _MASKS[np.minimum(n, 8)]))
+            left = left[n > 8]
+    for i in left:  # at most one for 64 bytes
+        digest = hashlib.blake2b(data[starts[i] + 8 * _LANES : ends[i]].tobytes(), digest_size=8).digest()
+        out[i] = mix(out[i : i + 1] ^ U(int.from_bytes(digest, "little")))[0]
+    return out
+
+
+def same_spans(a: np.ndarray, at: np.ndarray, b: np.ndarray, to: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a[at[i] : at[i] + size[i]] equals b[to[i] : to[i] + size[i]], byte by byte."""
+    x, y = _lanes(a), _lanes(b)
+    out = np.ones(len(size), bool)
+    left, k = np.flatnonzero(size > 0), 0
+    while len(left) and k < _LANES:
+        n = size[left] - 8 * k
+        equal = (x[at[left] + 8 * k] ^ y[to[left] + 8 * k]) & _MASKS[np.minimum(n, 8)] == U(0)
+        out[left[~equal]] = False
+        left, k = left[equal & (n > 8)], k + 1
+    for i in left:
+        lo = 8 * k
+        out[i] = bool((a[at[i] + lo : at[i] + size[i]] == b[to[i] + lo : to[i] + size[i]]).all())
+    return out
+
+
+class Runs:
+    """Hashes of runs of 64-bit codes, out of those of runs of 1, 2, 4, ... codes."""
 
     def __init__(self, codes: np.ndarray):
-        up, self.down = powers(len(codes) + 1)
-        self.sums = np.zeros(len(codes) + 1, U)
-        with np.errstate(over="ignore"):
-            np.cumsum(codes * up[: len(codes)], dtype=U, out=self.sums[1:])
+        self.levels = [codes]
 
-    def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            x = (self.sums[ends] - self.sums[starts]) * self.down[starts]
-            return mix(x + (ends - starts).astype(U) * U(0xA0761D6478BD642F))
+    @staticmethod
+    def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix(a * U(0x9FB21C651E98DF25) + b * U(0xD6E8FEB86659FD93))
+
+    def _level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            last, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            with np.errstate(over="ignore"):
+                self.levels.append(self._joined(last[: max(0, len(last) - half)], last[half:]))
+        return self.levels[k]
+
+    def hash(self, starts: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        """The hash of each run of `length` codes, at least one: its first and its last power of two."""
+        length = np.broadcast_to(np.asarray(length, np.int64), starts.shape)
+        out = np.zeros(len(starts), U)
+        power = np.frexp(length)[1] - 1
+        for k in np.unique(power):
+            of = slice(None) if (power == k).all() else np.flatnonzero(power == k)
+            n, part = length[of], self._level(int(k))
+            with np.errstate(over="ignore"):
+                ends = part[starts[of] + (n - (1 << int(k)))]
+                out[of] = mix(self._joined(part[starts[of]], ends) ^ (n.astype(U) * U(0xA0761D6478BD642F)))
+        return out
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -124,13 +171,12 @@ def words(data: np.ndarray, off: np.ndarray, kind: np.ndarray = SPACED) -> tuple
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    return Spans((LOWER_CODES if lower else BYTE_CODES)[data]).hash(starts, ends)
+    return span_hashes(FOLD[data] if lower else data, starts, ends)
 
 
 def gram_hashes(codes: np.ndarray, size: int) -> np.ndarray:
     """The hash of every run of `size` codes; run i starts at code i."""
-    i = np.arange(max(0, len(codes) - size + 1))
-    return Spans(codes).hash(i, i + size)
+    return Runs(codes).hash(np.arange(max(0, len(codes) - size + 1)), size)
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -187,6 +233,7 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def plain(docs: DataFrame, *more: Column | str) -> DataFrame:
     """doc_id and text alone, in fixed types, so that further columns cannot clash."""
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
@@ -232,6 +279,7 @@ def ship(spark: SparkSession) -> None:
         out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)
         out.write(bytearray(data.getvalue()))
         out.close()
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(target)
         sc.addPyFile(target.toString())
     sc._tidemark_shipped = True
 
@@ -242,8 +290,8 @@ def ship(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where the setting is missing (tests on one machine) a folder of this
-    process is used.
+    Only a session on one machine (tests) may go without the setting; it gets a folder
+    of this process.
     """
     from pathlib import Path
 
@@ -252,6 +300,8 @@ def shared_folder(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         import atexit
         import shutil
         import tempfile
@@ -264,22 +314,31 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Staged:
-    """Tables written in the shared folder, which cut lineage and survive executors."""
+    """Tables written in the shared folder, which cut lineage and survive executors.
+
+    Results are lazy and may read them at any time, so what no step drops goes when the
+    session ends.
+    """
 
     def __init__(self, spark: SparkSession):
         import uuid
 
         self.spark, self.top, self.count = spark, f"{shared_folder(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}", 0
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.top)
+        self.files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.files.mkdirs(path)
+        self.files.deleteOnExit(path)
 
     def write(self, df: DataFrame, share: int = 0) -> DataFrame:
         """The table, written and read again.
 
-        Small tables go to fewer files: one for every `share` shuffle partitions.
+        Small tables go to fewer files: one for every `share` shuffle partitions.  They are
+        dealt to these after they have been computed, so that the computing stage stays wide.
         """
         self.count += 1
         path = f"{self.top}/{self.count}"
         if share:
-            df = df.coalesce(max(2, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // share))
+            df = df.repartition(max(2, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // share))
         df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_path = path
@@ -289,6 +348,16 @@ class Staged:
         """Removes tables that no later step reads."""
         for t in tables:
             if t is not None and getattr(t, "_staged_path", None):
-                jvm = self.spark.sparkContext._jvm
-                path = jvm.org.apache.hadoop.fs.Path(t._staged_path)
-                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+                self.files.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._staged_path), True)
+
+
+def looked_up(rows: DataFrame, values: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """`rows` joined with `values`, which has one row for each key and `held`, the rows that hold it.
+
+    A key that holds more than a fair part of a task's rows is looked up in a broadcast
+    list, where its rows are; there are at most `4 * shuffle partitions` such keys out of
+    `total` rows.  All others meet by a shuffle.
+    """
+    share = total // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
+    hot, rest = F.broadcast(values.where(F.col("held") > share).drop("held")), values.where(F.col("held") <= share).drop("held")
+    return rows.join(hot, keys).unionByName(rows.join(rest, keys))
