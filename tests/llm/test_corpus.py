@@ -96,8 +96,7 @@ def plain_classes(rows, num=75, den=100):
     return sorted(((i, len(sets[x]), (min(ids[find(x)]) if ids[find(x)] else None) if sets[x] else i) for x, (i, _) in enumerate(rows)), key=str)
 
 
-@pytest.mark.parametrize(("seed", "num", "block"), [(1, 75, 1024), (2, 75, 4), (3, 50, 1024), (4, 30, 7), (5, 95, 1024), (6, 100, 1024)])
-def test_jaccard_classes(spark, seed, num, block):
+def jaccard_rows(seed):
     rng = np.random.default_rng(seed)
     rows = corpus(70, seed, 60)
     base = [f"b{i}" for i in range(120)]
@@ -107,10 +106,30 @@ def test_jaccard_classes(spark, seed, num, block):
             d[int(rng.integers(len(d)))] = f"e{rng.integers(1000)}"
         rows.append((1000 + i, " ".join(d)))
     rows += [(None, "only words without an id here"), (None, "ONLY words without an id here"), (7000, "one"), (7001, "ONE"), (7001, "one"), (7002, None)]
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "num", "block"), [(1, 75, 1024), (2, 75, 4), (3, 50, 1024), (4, 30, 7), (5, 95, 1024), (6, 100, 1024)])
+def test_jaccard_classes(spark, seed, num, block):
+    rows = jaccard_rows(seed)
     got = jaccard.classes(frame(spark, rows), num=num, block=block).collect()
     assert sorted((tuple(r) for r in got), key=str) == plain_classes(rows, num)
 
 
+@pytest.mark.parametrize("block", [1024, 5])
+def test_jaccard_links(spark, block):
+    rows = jaccard_rows(8)
+    found, members = jaccard.links(frame(spark, rows), block=block)
+    of = defaultdict(list)
+    for i, r in enumerate(frame(spark, rows).collect()):
+        of[frozenset(grams(r.text))].append(i)
+    sets = [s for s in of if s]
+    want = sum(100 * len(a & b) >= 75 * len(a | b) for k, a in enumerate(sets) for b in sets[:k])
+    pairs = [tuple(r) for r in found.collect()]
+    assert len(pairs) == len(set(pairs)) == want and all(a < b for a, b in pairs) and want > 100
+    assert members.select("class").where("class is not null").distinct().count() == len(sets)
+
+
 def test_jaccard_odd(spark):
     odd = spark.createDataFrame(ODD, SCHEMA)
     assert sorted((tuple(r) for r in jaccard.classes(odd).collect()), key=str) == plain_classes([r[:2] for r in ODD])
@@ -129,12 +148,79 @@ def test_region_recursion_loses_no_link():
             k = int(rng.integers(0, 14))
             c[rng.choice(60, k, replace=False)] = rng.choice(1 << 40, k)
             sets.append(np.unique(c).astype(np.uint64))
-    for direct in (8, 100, 1000):
-        x, y = jaccard.region_links(sets, 75, 100, direct)
-        got = {(min(a, b), max(a, b)) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
-        s = [set(z.tolist()) for z in sets]
-        want = {(a, b) for b in range(len(s)) for a in range(b) if 100 * len(s[a] & s[b]) >= 75 * len(s[a] | s[b])}
-        assert got == want and len(want) > 500
+    trace = []
+    x, y = jaccard.region_links(sets, 75, 100, every=True, trace=trace)
+    got = {(min(a, b), max(a, b)) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+    s = [set(z.tolist()) for z in sets]
+    want = {(a, b) for b in range(len(s)) for a in range(b) if 100 * len(s[a] & s[b]) >= 75 * len(s[a] | s[b])}
+    assert got == want and len(want) > 500
+    # windows leave most of a region out, and known components leave out more
+    assert sum(window < whole for _, _, window, whole in trace) > 10
+    few = []
+    x, y = jaccard.region_links(sets, 75, 100, trace=few)
+    assert rooted(len(sets), zip(x, y, strict=True)) == rooted(len(sets), want) and len(x) < len(sets) and sum(h * w for _, h, w, _ in few) < sum(h * w for _, h, w, _ in trace)
+    label = np.array([min(c) if len(c) % 2 else -1 for c in (rooted_class(want, len(sets), i) for i in range(len(sets)))])
+    x, y = jaccard.region_links(sets, 75, 100, comp=label)
+    known = [(i, j) for i in range(len(sets)) for j in range(i) if label[i] == label[j] >= 0]
+    assert rooted(len(sets), [*zip(x, y, strict=True), *known]) == rooted(len(sets), want)
+
+
+def rooted(n, pairs):
+    root = list(range(n))
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in pairs:
+        a, b = find(int(a)), find(int(b))
+        root[max(a, b)] = min(a, b)
+    return [find(v) for v in range(n)]
+
+
+def rooted_class(pairs, n, i, held={}):  # noqa: B006
+    if not held:
+        held.update(enumerate(rooted(n, pairs)))
+    return [j for j in held if held[j] == held[i]]
+
+
+def test_regions_of_two_and_three_use_pivots():
+    a = np.arange(100, dtype=np.uint64)
+    b, c = np.arange(5, 105, dtype=np.uint64), np.arange(40, 140, dtype=np.uint64)
+    assert [z.tolist() for z in jaccard.region_links([a, b], 75, 100)] == [[0], [1]]
+    assert [z.tolist() for z in jaccard.region_links([a, c], 75, 100)] == [[], []]
+    x, y = jaccard.region_links([a, b, c], 75, 100, every=True)
+    assert {(min(p, q), max(p, q)) for p, q in zip(x.tolist(), y.tolist(), strict=True)} == {(0, 1)}
+
+
+def test_large_groups_of_near_copies_are_sent_a_few_times(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(600):
+        d = list(base)
+        for _ in range(int(rng.integers(1, 6))):
+            d[int(rng.integers(len(d)))] = f"e{rng.integers(10**6)}"
+        rows.append((i, " ".join(d)))
+    sent = []
+    count = jaccard.joined_regions
+
+    def counted(kept, sets, *rest):
+        sent.append(kept.join(sets, "class").count())
+        return count(kept, sets, *rest)
+
+    turn = jaccard._turn
+
+    def turned(region, sets, *rest):
+        sent.append(region.join(sets, "class").count())
+        return turn(region, sets, *rest)
+
+    monkeypatch.setattr(jaccard, "joined_regions", counted)
+    monkeypatch.setattr(jaccard, "_turn", turned)
+    got = jaccard.classes(frame(spark, rows), block=100).collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain_classes(rows)
+    assert len(sent) > 1 and sum(sent) < 10 * len(rows), sent
 
 
 def test_components(spark):

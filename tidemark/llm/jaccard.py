@@ -7,14 +7,20 @@ the first.  A partner within the radius may lack the first ones, but not all of
 `n - ceil(t n) + 1`; so boundary documents are replicated to just these regions, and two
 linked documents always meet.
 
-Regions with the same most central document become one region around that pivot.
-Members that no other member can be linked with, by the number of first shingles that
-they share, leave; for the others whole sets are sent.  Within a region documents are
-the pivots: members go to the nearest one and, by the triangle inequality, also to every
-pivot that is at most two radii farther, and these regions are joined in the same way
-until they stay as large or are small, when all distances are computed exactly.  A
-region gives back one edge for each member of a component, never its pairs.  Large
-regions are dealt out as pairs of blocks, so no task holds more than two blocks.
+Regions with the same most central document become one region around that document.
+Within a region documents are the pivots, whatever its size: members go to the nearest
+one and, by the triangle inequality, also to every pivot that is at most two radii farther;
+a pivot's links with all members are known from its distances, members that one pivot has
+linked are of one component and need no comparison among themselves, and what remains is
+joined in the same way until nothing does (`region_links`).
+
+A region that fits into one task (`block` members and `cells` shingles) is joined there;
+one of at most `FEW` members is first cleared of those that the number of shared first
+shingles rules out, so that only sets with a hope are sent.  A larger one is recursed into by all tasks (`divide`): its members are
+dealt out in slices, each of which gets the pivots' sets, so every set is sent once a
+round.  Near copies are in one component after the first round.  What has not shrunk
+after `ROUNDS` rounds is dealt out as pairs of blocks, each of one known component, without
+pairs of blocks of the same one.
 
 Equal sets form one class and take part once.  Frequent shingles come from a bounded
 list (`frequent`), which only sets the order and spreads their replicas over all tasks.
@@ -29,6 +35,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +44,10 @@ from tidemark.llm.components import components
 from tidemark.llm.shingles import Sets, by_row
 
 _CHUNK = 2 << 20
-_BITS = 26
+#: Pivots of a region, and rounds of a region that no task holds
+PIVOTS, ROUNDS = 8, 3
+#: Members of a region up to which all pairs are looked at by their first shingles
+FEW = 256
 #: Packed columns of a bucket
 _BLOBS = {"cells": np.uint64, "classes": np.int64, "ranks": np.uint8, "homes": np.int64, "sizes": np.int32, "marks": np.uint32}
 
@@ -254,20 +264,24 @@ def _hopeful(group: np.ndarray, n: np.ndarray, marks: np.ndarray, member: np.nda
     return out
 
 
-def survivors(met: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """pivot, i, j, class: members of regions (of two blocks of them) that can have links."""
+def members_of(met: DataFrame) -> DataFrame:
+    """pivot, class: members of regions; a frequent shingle's pivot is found among all its replicas."""
     replicas = met.where("cell is not null")
     often = replicas.where("pivot is null").select("cell", "class", "rank")
     pivots = often.groupBy("cell").agg(F.min(F.struct("rank", "class"))["class"].alias("pivot"))
-    members = replicas.where("pivot is not null").select("pivot", "class").union(often.join(F.broadcast(pivots), "cell").select("pivot", "class")).distinct()  # at most `frequent` rows
-    blocks = members.groupBy("pivot").agg(F.count("*").alias("size")).where("size > 1").select("pivot", F.ceil(F.col("size") / block).alias("blocks"))
-    own = F.pmod(F.xxhash64("class"), F.col("blocks"))
-    dealt = members.join(blocks, "pivot").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    keyed = dealt.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class")
+    return replicas.where("pivot is not null").select("pivot", "class").union(often.join(F.broadcast(pivots), "cell").select("pivot", "class")).distinct()  # at most `frequent` rows
+
+
+def survivors(met: DataFrame, members: DataFrame, keyed: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of `keyed` (region, i, j, root, class, comp) that can have links within (region, i, j).
+
+    `root` is the pivot of the region in `members` that this one is a part of.
+    """
+    replicas = met.where("cell is not null")
     # half of a cell's name will do for counting: a collision only makes a pair look more alike
     firsts = replicas.groupBy("class").agg(F.collect_list(F.shiftright("cell", 32).cast("int")).alias("cells")).join(met.where("cell is null").select("class", "n", "marks"), "class")
-    homes = members.join(blocks, "pivot", "left_semi").groupBy("class").agg(F.sort_array(F.collect_list("pivot")).alias("pivots"))
-    rows = keyed.join(firsts.join(homes, "class"), "class").select("pivot", "i", "j", "class", "n", "marks", "cells", "pivots").repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
+    homes = members.groupBy("class").agg(F.sort_array(F.collect_list("pivot")).alias("pivots"))
+    rows = keyed.join(firsts.join(homes, "class"), "class").select("region", "i", "j", "class", "n", "marks", "cells", "pivots", "root", "comp").repartition("region", "i", "j").sortWithinPartitions("region", "i", "j")
 
     def run(batches):
         held, size = [], 0
@@ -299,160 +313,389 @@ def survivors(met: DataFrame, num: int, den: int, block: int) -> DataFrame:
         member = np.repeat(np.arange(t.num_rows), np.asarray(cells.value_lengths()))
         marks = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column(5)])
         homes = t.column(7).combine_chunks()
-        others = _Others(keys[0], np.asarray(homes.value_lengths()), homes.flatten().to_numpy())
+        others = _Others(t.column(8).to_numpy(), np.asarray(homes.value_lengths()), homes.flatten().to_numpy())
         hopeful = _hopeful(group, t.column(4).to_numpy(), marks, member, cells.flatten().to_numpy(), others, num, den)
-        yield from t.select([0, 1, 2, 3]).filter(pa.array(hopeful)).to_batches()
-
-    return rows.mapInArrow(run, "pivot long, i long, j long, class long")
-
-
-def _common(row: np.ndarray, code: np.ndarray, m: int, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of rows `left` with rows `right`; code numbers the shingles."""
-    out = np.zeros((len(left), len(right)), np.float32)
-    df = np.bincount(code)
-    useful = df > 1
-    number = np.cumsum(useful) - 1
-    kept = useful[code]
-    row, code = row[kept], number[code[kept]]
-    order = np.argsort(code, kind="stable")
-    row, code = row[order], code[order]
-    total = int(useful.sum())
-    cut = np.searchsorted(code, np.arange(0, total + width, width))
-    for k in range(len(cut) - 1):
-        a = np.zeros((m, min(width, total - k * width)), np.float32)
-        a[row[cut[k] : cut[k + 1]], code[cut[k] : cut[k + 1]] - k * width] = 1
-        out += a[left] @ a[right].T
-    return out
-
-
-def region_links(codes: list[np.ndarray], num: int, den: int, direct: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (x, y) of a region at a similarity of at least num / den, by recursion over pivots."""
-    m = len(codes)
-    n = np.array([len(c) for c in codes], np.int64)
-    flat = np.concatenate(codes)
-    row = np.repeat(np.arange(m), n)
-    code = np.unique(flat, return_inverse=True)[1]
-    reach = 2 * (1 - num / den) + 1e-6
-
-    def part(of: np.ndarray):
-        inside = np.isin(row, of)
-        place = np.zeros(m, np.int64)
-        place[of] = np.arange(len(of))
-        return place[row[inside]], np.unique(code[inside], return_inverse=True)[1]
-
-    def direct_links(home: np.ndarray, of: np.ndarray):
-        r, c = part(of)
-        left = np.searchsorted(of, home)
-        both = _common(r, c, len(of), left, np.arange(len(of))).astype(np.int64)
-        x, y = np.nonzero(both * (den + num) >= num * (n[home][:, None] + n[of][None]))
-        x, y = home[x], of[y]
-        return x[x != y], y[x != y]
-
-    def join(home: np.ndarray, of: np.ndarray):
-        """Links between `home` and all members `of` the region; both sorted, home within of."""
-        if len(of) <= direct:
-            return [direct_links(home, of)]
-        pivots = of[:: max(1, len(of) // 8)]
-        r, c = part(of)
-        both = _common(r, c, len(of), np.arange(len(of)), np.searchsorted(of, pivots))
-        away = 1 - both / (n[of][:, None] + n[pivots][None] - both)
-        nearest = away.argmin(axis=1)
-        at_home = np.isin(of, home)
-        least = away.min(axis=1)
-        out = []
+        yield from t.select([0, 1, 2, 3, 9]).filter(pa.array(hopeful)).to_batches()
+
+    return rows.mapInArrow(run, "region long, i long, j long, class long, comp long")
+
+
+class _Members:
+    """Sets of numbered shingles, one after the other."""
+
+    def __init__(self, codes: list[np.ndarray]):
+        self.n = np.array([len(c) for c in codes], np.int64)
+        self.first = np.r_[0, np.cumsum(self.n)]
+        flat = np.concatenate(codes) if codes else np.zeros(0, X.U)
+        distinct, self.code = np.unique(flat, return_inverse=True)
+        self.mark = np.zeros(len(distinct), np.int64)
+
+    def common(self, pivot: int, of: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of the pivot with the members `of`, which are not empty."""
+        own = self.code[self.first[pivot] : self.first[pivot + 1]]
+        self.mark[own] = 1
+        n = self.n[of]
+        hits = self.mark[self.code[X.ranges(self.first[of], n)]]
+        self.mark[own] = 0
+        return np.add.reduceat(hits, np.cumsum(n) - n) if len(of) else np.zeros(0, np.int64)
+
+    def product(self, pivots: np.ndarray, of: np.ndarray, width: int = 1024) -> np.ndarray:
+        """The same of many pivots, as a product of matrices over the shingles that they hold."""
+        out = np.zeros((len(pivots), len(of)), np.float32)
+        own = self.code[X.ranges(self.first[pivots], self.n[pivots])]
+        held = np.zeros(len(self.mark), bool)
+        held[own] = True
+        number = np.cumsum(held) - 1
+        flat = self.code[X.ranges(self.first[of], self.n[of])]
+        row = np.repeat(np.arange(len(of)), self.n[of])
+        kept = held[flat]
+        row, flat = row[kept], number[flat[kept]]
+        order = np.argsort(flat, kind="stable")
+        row, flat = row[order], flat[order]
+        place, column = np.repeat(np.arange(len(pivots)), self.n[pivots]), number[own]
+        order = np.argsort(column, kind="stable")
+        place, column = place[order], column[order]
+        for lo in range(0, int(held.sum()), width):
+            a, b = np.zeros((len(pivots), width), np.float32), np.zeros((len(of), width), np.float32)
+            for m, r, c in ((a, place, column), (b, row, flat)):
+                x, y = np.searchsorted(c, [lo, lo + width])
+                m[r[x:y], c[x:y] - lo] = 1
+            out += a @ b.T
+        return out.astype(np.int64)
+
+
+def region_links(codes: list[np.ndarray], num: int, den: int, comp: np.ndarray | None = None, every: bool = False, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (x, y) of a region, each linked, that join all members which links connect.
+
+    A few pivots, each the farthest from those before, make Voronoi regions and windows,
+    which are joined in the same way; where these do not get smaller, the next step takes
+    eight times as many pivots at once and makes none.  `comp` names known components
+    (below 0: none), whose members are not compared.  With `every` all links are returned.
+    `trace` is told (pivots, members at home, in the window, in all) of each step.
+    """
+    held, m = _Members(codes), len(codes)
+    radius, slack = 1 - num / den, 1e-9
+    label = np.arange(m)
+    if comp is not None:
+        _, first, group = np.unique(comp, return_index=True, return_inverse=True)
+        label = np.where(comp >= 0, first[group], label)
+    xs, ys = [], []
+
+    def join(pivot: int, linked: np.ndarray) -> None:
+        linked = linked[linked != pivot]
+        new = linked
+        if not every:  # one pair for each component that the pivot joins
+            new = linked[np.unique(label[linked], return_index=True)[1]]
+            new = new[label[new] != label[pivot]]
+        xs.append(np.full(len(new), pivot))
+        ys.append(new)
+        if len(new):
+            joined = np.append(label[new], label[pivot])
+            label[np.isin(label, joined)] = joined.min()
+
+    def apart(home: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Which of `of` can still be new to one of `home`."""
+        mine = label[home]
+        return np.ones(len(of), bool) if every or (mine != mine[0]).any() else np.isin(of, home) | (label[of] != mine[0])
+
+    everyone = np.arange(m)
+    todo = [(everyone, everyone, PIVOTS)]
+    while todo:
+        home, of, most = todo.pop()
+        if not len(home) or len(of) < 2 or not every and (label[of] == label[of[0]]).all():
+            continue
+        if most > PIVOTS:
+            pivots = home[:most]
+            both = held.product(pivots, of)
+            linked = (den + num) * both >= num * (held.n[pivots][:, None] + held.n[of][None])
+            for k, p in enumerate(pivots):
+                join(int(p), of[linked[k]])
+            rest, left = ~np.isin(of, pivots), home[most:]
+            if len(left):
+                rest &= apart(left, of)
+                if trace is not None:
+                    trace.append((len(pivots), len(left), int(rest.sum()), len(of)))
+                todo.append((left, of[rest], min(8 * most, 64 * PIVOTS)))
+            continue
+        away, pivots = np.zeros((0, len(of))), []
+        pivot = int(home[0])
+        while True:
+            both = held.common(pivot, of)
+            n = held.n[of] + held.n[pivot]
+            join(pivot, of[(den + num) * both >= num * n])
+            away = np.vstack([away, 1 - both / (n - both)])
+            pivots.append(pivot)
+            if len(pivots) == min(most, len(home)):
+                break
+            far = away.min(axis=0)[np.searchsorted(of, home)]
+            far[np.isin(home, pivots)] = -1
+            pivot = int(home[far.argmax()])
+        nearest, least = away.argmin(axis=0), away.min(axis=0)
+        rest = ~np.isin(of, pivots)
+        at_home = np.isin(of, home) & rest
+        parts = []
         for k in range(len(pivots)):
-            inner = of[(nearest == k) & at_home]
-            if not len(inner):
+            inner = at_home & (nearest == k)
+            if not inner.any():
                 continue
-            window = of[(nearest == k) | (away[:, k] <= least + reach)]
-            out += join(inner, window) if len(window) < 0.7 * len(of) else [direct_links(inner, window)]
-        return out
-
-    every = np.arange(m)
-    x, y = (np.concatenate(z) for z in zip(*join(every, every), strict=True))
+            window = rest & (away[k] <= least + 2 * radius + slack)
+            low, high = away[:, inner].min(axis=1) - radius - slack, away[:, inner].max(axis=1) + radius + slack
+            window &= ((away >= low[:, None]) & (away <= high[:, None])).all(axis=0) & apart(of[inner], of)
+            parts.append((of[inner], of[window]))
+            if trace is not None:
+                trace.append((len(pivots), int(inner.sum()), int(window.sum()), len(of)))
+        if sum(len(a) * len(b) for a, b in parts) < 0.7 * at_home.sum() * rest.sum():
+            todo += [(a, b, most) for a, b in parts]
+        elif parts:
+            left = of[at_home]
+            todo.append((left, of[rest & apart(left, of)], 8 * most))
+    x, y = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (xs, ys))
     return x, y
 
 
-def _forest(m: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The smallest member that each one reaches."""
-    least = np.arange(m)
-    while len(x):
-        before = least.copy()
-        np.minimum.at(least, x, least[y])
-        np.minimum.at(least, y, least[x])
-        least = least[least]
-        if (least == before).all():
-            break
-    return least
-
-
-def edges(docs: DataFrame, kept: DataFrame, num: int, den: int, size: int) -> DataFrame:
-    """a, b: classes of one component, one edge for each member of a region at most.
+def sets_of(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
+    """class, codes of the needed classes, and of few others.
 
-    Sets are sent for needed classes only: a bitmap of fixed size (8 MB) tells the
-    readers which these may be; a false hit costs a set sent in vain.
+    A bitmap of 16 bits for each needed class, 128 MB at most, tells the readers which these
+    may be; a false hit costs a set sent in vain.
     """
-    spark = docs.sparkSession
-    needed = kept.select(F.pmod("class", F.lit(1 << _BITS)).alias("bit"))
-    words = needed.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits"))
-    bitmap = np.zeros(1 << (_BITS - 6), np.int64)
-    for r in words.toLocalIterator():
-        bitmap[r.word] = r.bits
-    shared = spark.sparkContext.broadcast(bitmap)
+    bits = min(30, max(16, int(16 * needed.count()).bit_length()))
+    bit = needed.select(F.pmod("class", F.lit(1 << bits)).alias("bit"))
+    words = bit.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (bits - 6), np.int64)
+    bitmap[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def send(batches):
         once, wanted = _Once(), shared.value.view(np.uint64)
         for b in batches:
             for _, _, data, off in X.chunks(b.column(1), _CHUNK):
                 s = Sets(data, off, size)
-                k = (X.signed(s.identity) % (1 << _BITS)).astype(np.int64)
+                k = (X.signed(s.identity) % (1 << bits)).astype(np.int64)
                 hit = (wanted[k >> 6] >> (k & 63).astype(np.uint64)) & X.U(1) == X.U(1)
                 new = once.first(s.identity, hit & (s.sizes > 0))
                 for lo in range(0, len(new), 256):
                     part = new[lo : lo + 256]
                     yield pa.RecordBatch.from_arrays([pa.array(X.signed(s.identity[part])), X.binary([s.codes[s.first[i] : s.first[i + 1]] for i in part])], names=["class", "codes"])
 
+    return X.plain(docs).mapInArrow(send, "class long, codes binary").groupBy("class").agg(F.min("codes").alias("codes"))
+
+
+def _codes(t: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(c.as_buffer(), np.uint64) for c in t.column("codes")]
+
+
+def joined_regions(kept: DataFrame, sets: DataFrame, num: int, den: int, every: bool) -> DataFrame:
+    """a, b: linked classes; of each (region, i, j) as many pairs as join its components, or all."""
+
     def joined(key, t):
         t = t.sort_by("class")
-        name = t.column("class").to_numpy()
-        x, y = region_links([np.frombuffer(c.as_buffer(), np.uint64) for c in t.column("codes")], num, den)
-        least = _forest(len(name), x, y)
-        far = least != np.arange(len(name))
-        return pa.table({"a": name[least[far]], "b": name[far]})
+        name, comp = t.column("class").to_numpy(), t.column("comp").combine_chunks()
+        number = comp.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        x, y = region_links(_codes(t), num, den, number, every)
+        return pa.table({"a": np.minimum(name[x], name[y]), "b": np.maximum(name[x], name[y])})
 
-    sets = X.plain(docs).mapInArrow(send, "class long, codes binary").groupBy("class").agg(F.min("codes").alias("codes"))
-    return kept.join(sets, "class").groupBy("pivot", "i", "j").applyInArrow(joined, "a long, b long")
+    return kept.join(sets, "class").groupBy("region", "i", "j").applyInArrow(joined, "a long, b long")
 
 
-def labelled(docs: DataFrame, num: int = 75, den: int = 100, size: int = 5, frequent: int = 1 << 16, block: int = 1024, key: Column | None = None) -> DataFrame:
-    """Per row: doc_id, class, n, label (of its component; null without words) and its key, if asked for."""
-    if not 0 < num <= den:
-        raise ValueError("the similarity must be above 0 and at most 1")
+def _sized(rows: DataFrame, block: int, cells: int, *more: str) -> DataFrame:
+    """region, held, free, slices: members, those of no known component, and how many tasks' worth."""
+    free = F.count("*") - F.count("comp") if "comp" in rows.columns else F.count("*")
+    return rows.groupBy("region", *more).agg(F.count("*").alias("held"), free.alias("free"), F.ceil(F.greatest(F.count("*") / block, F.sum("n") / cells)).alias("slices"))
+
+
+def _turn(region: DataFrame, sets: DataFrame, num: int, den: int, total: int, turn: int) -> DataFrame:
+    """One round of recursion over large regions (region, slices, held, class, n, home, comp, root).
+
+    Returns (a, b) for links with pivots, and the members of the new regions: (region, class,
+    n, home, comp, root, parent, own); a member's `own` region is that of its nearest pivot.
+    """
+    radius = 1 - num / den
+    draw = F.xxhash64("class", F.lit(turn))
+    free = region.where("home and comp is null").withColumn("draw", draw).withColumn("central", F.col("class") != F.col("root"))
+    # about 2 * PIVOTS draws of each region, of which the smallest stay, and always the smallest of all
+    often = F.pmod(F.xxhash64("draw"), F.greatest(F.floor(F.col("held") / (2 * PIVOTS)), F.lit(1))) == 0
+    order = F.struct("central", "draw", "class")
+    pivots = free.groupBy("region", "slices").agg(F.min(order).alias("least"), F.sort_array(F.collect_list(F.when(often, order))).alias("others"))
+    pivots = pivots.select("region", F.explode(F.slice(F.array_distinct(F.concat(F.array("least"), "others")), 1, PIVOTS)).alias("p"), "slices").select("region", F.col("p.class").alias("class"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
+    rows = region.withColumn("slice", F.pmod(F.xxhash64("class", F.lit(-1)), F.col("slices"))).select("region", "slice", "class", "home", "comp", "root", F.lit(False).alias("pivot"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("home", "boolean"), ("comp", "long"), ("root", "long"))]
+    sent = rows.unionByName(pivots.select("region", "slice", "class", *none, F.lit(True).alias("pivot"))).join(sets, "class")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("region", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("home", pa.bool_()), ("comp", pa.int64()), ("root", pa.int64()), ("parent", pa.int64()), ("own", pa.bool_())])
+
+    def divided(key, t):
+        t = t.sort_by([("pivot", "descending"), ("class", "ascending")])
+        k = int(pa.compute.sum(t.column("pivot").cast(pa.int64())).as_py())
+        name = t.column("class").to_numpy()
+        pivot = name[:k]
+        own = np.flatnonzero(np.r_[np.zeros(k, bool), ~np.isin(name[k:], pivot)])  # all links of the pivots are found here
+        if not k:
+            return schema.empty_table()
+        held = _Members(_codes(t))
+        none = lambda c, kind=pa.int64(): pa.nulls(c, kind)
+
+        def found(a, b):
+            return pa.Table.from_arrays([pa.array(a), pa.array(b), *(none(len(a), f.type) for f in list(schema)[2:])], schema=schema)
+
+        among = []
+        if key[1].as_py() == 0 and k > 1:
+            both = np.stack([held.common(p, np.arange(k)) for p in range(k)])
+            p, x = np.nonzero(np.triu((den + num) * both >= num * (held.n[:k][None] + held.n[:k][:, None]), 1))
+            among.append(found(pivot[p], pivot[x]))
+        if not len(own):
+            return pa.concat_tables([schema.empty_table(), *among])
+        both = np.stack([held.common(p, own) for p in range(k)])
+        n = held.n[own][None] + held.n[:k][:, None]
+        away = 1 - both / (n - both)
+        linked = (den + num) * both >= num * n
+        nearest, least = away.argmin(axis=0), away.min(axis=0)
+        comp = t.column("comp").combine_chunks()
+        taken = np.asarray(comp.is_valid())[own]
+        names = np.where(taken, np.asarray(comp.fill_null(0))[own], pivot[linked.argmax(axis=0)])
+        has = taken | linked.any(axis=0)
+        home = np.asarray(t.column("home").combine_chunks().fill_null(False))[own]
+        root = np.asarray(t.column("root").combine_chunks().fill_null(0))[own]
+        p, x = np.nonzero(linked)
+        links = found(pivot[p], name[own][x])
+        p, x = np.nonzero((away <= least + 2 * radius + 1e-9) | (nearest == np.arange(k)[:, None]))
+        region = X.signed(X.mix(np.full(len(p), key[0].as_py(), np.int64).view(X.U) ^ X.mix(pivot[p].view(X.U))))
+        rows = [none(len(p)), none(len(p)), pa.array(region), pa.array(name[own][x]), pa.array(held.n[own][x]), pa.array(home[x] & (nearest[x] == p)), pa.array(names[x], mask=~has[x]), pa.array(root[x]), pa.array(np.full(len(p), key[0].as_py(), np.int64)), pa.array(nearest[x] == p)]
+        return pa.concat_tables([links, *among, pa.Table.from_arrays(rows, schema=schema)])
+
+    return sent.groupBy("region", "slice").applyInArrow(divided, "a long, b long, region long, class long, n long, home boolean, comp long, root long, parent long, own boolean")
+
+
+def divide(large: DataFrame, sets: DataFrame, num: int, den: int, block: int, cells: int, staged: X.Staged, every: bool) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+    """(links, regions that fit into a task, pairs of blocks of the rest) out of large regions.
+
+    `large` has region, class, n, home, comp, root.  All three are lists of tables: (a, b),
+    (region, class, comp) and (region, i, j, root, class, comp).
+    """
+    links, ready, rest = [], [], []
+    now = large
+    for turn in range(ROUNDS if not every else 0):
+        total = now.count()
+        if not total:
+            break
+        sizes = _sized(now, block, cells)
+        placed = X.looked_up(now, sizes.select("region", "held", "slices", F.col("held").alias("size")), ["region"], total).withColumnRenamed("size", "held")
+        found = staged.write(_turn(placed, sets, num, den, total, turn))
+        links.append(found.where("a is not null").select("a", "b"))
+        after = found.where("a is null").drop("a", "b")
+        # regions without a free member to be a pivot stay as they are
+        idle = sizes.join(now.where("home and comp is null").select("region").distinct(), "region", "left_anti").select("region", "held")
+        rest.append(X.looked_up(now, idle, ["region"], total))
+        # a region is split only where that saves comparisons; else it stays whole, without its pivots
+        whole = after.where("own").withColumn("region", F.col("parent"))
+        stats = [_sized(rows, block, cells, "parent").join(rows.groupBy("region").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.min("comp").alias("low"), F.max("comp").alias("high")), "region") for rows in (after, whole)]
+        stats = [staged.write(s, share=8) for s in stats]
+        saved = stats[0].groupBy("parent").agg(F.sum(F.col("homes") * F.col("held")).alias("cost"), F.sum("homes").alias("all"))
+        saved = saved.join(sizes.select(F.col("region").alias("parent"), F.col("held").alias("before"), F.col("free").alias("free_before")), "parent")
+        members = []
+        for rows, stat, split in ((after, stats[0], True), (whole, stats[1], False)):
+            kind = stat.join(saved.where((F.col("cost") < 0.7 * F.col("all") * F.col("before")) == split), "parent")
+            kind = kind.where("held > 1 and homes > 0 and not (free = 0 and low = high)")
+            shrunk = (F.col("free") < 0.5 * F.col("free_before")) | (F.lit(split) & (F.col("held") < 0.7 * F.col("before")))
+            kind = staged.write(kind.select("region", "held", "slices", shrunk.alias("shrunk")), share=8)
+            members.append(X.looked_up(rows.drop("parent", "own"), kind, ["region"], after.count()))
+        members = staged.write(members[0].unionByName(members[1]))
+        ready.append(members.where("slices <= 1").select("region", "class", "comp"))
+        left = members.where("slices > 1")
+        rest.append(left.where("not shrunk").select(*now.columns))
+        now = left.where("shrunk").select(*now.columns)
+    rest.append(now)
+    out = rest[0]
+    for r in rest[1:]:
+        out = out.unionByName(r)
+    out = staged.write(out)
+    total = out.count()
+    if not total:
+        return links, ready, []
+    parts = out.groupBy("region", "comp").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / cells)).alias("slices"), F.count("*").alias("held")).withColumn("part", F.xxhash64("comp"))
+    blocks = parts.select("region", "comp", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda k: F.xxhash64("region", "comp", k))).alias("block"))
+    every_block = blocks.groupBy("region").agg(F.collect_list(F.struct("block", "comp")).alias("blocks")).join(out.groupBy("region").agg(F.count("*").alias("held")), "region")
+    own = X.looked_up(out.withColumn("part", F.xxhash64("comp")), parts.select("region", "part", "slices", "held"), ["region", "part"], total)
+    own = own.withColumn("own", F.xxhash64("region", "comp", F.pmod(F.xxhash64("class", F.lit(-2)), F.col("slices")))).select("region", "class", "comp", "root", "own")
+    met = X.looked_up(own, every_block, ["region"], total).withColumn("other", F.explode(F.filter("blocks", lambda b: b["comp"].isNull() | F.col("comp").isNull() | (b["comp"] != F.col("comp")))))
+    return links, ready, [met.select("region", F.least("own", "other.block").alias("i"), F.greatest("own", "other.block").alias("j"), "root", "class", "comp")]
+
+
+def linked_classes(docs: DataFrame, rows: DataFrame, known: DataFrame, staged: X.Staged, num: int, den: int, size: int, frequent: int, block: int, cells: int, every: bool = False) -> DataFrame:
+    """a, b: links between classes that connect all components, or (`every`) all links; staged."""
     spark = docs.sparkSession
-    staged = X.Staged(spark)
-    known = staged.write(profile(docs, size, key))
-    rows = known.where("not hot").drop("hot")
     listed = known.where("hot").groupBy("class").agg(F.sum("n").alias("count")).where("count >= 16").orderBy(F.desc("count"), "class").limit(frequent).collect()
     hot = np.sort(np.array([r["class"] for r in listed], np.int64).view(X.U))
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(min(16, int(spark.conf.get("spark.sql.shuffle.partitions"))), total * (den - num) // den // 1_000_000)
 
     met = staged.write(meeting(regions(docs, hot, num, den, size, buckets), hot), share=4)
-    kept = staged.write(survivors(met, num, den, block), share=8)
-    links = staged.write(edges(docs, kept, num, den, size).distinct(), share=16)
-    staged.drop(met, kept)
-    labels = None if links.isEmpty() else components(links, staged)
-
-    if labels is None:
-        return rows.withColumn("label", F.col("class"))
-    return rows.join(labels.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("label", F.coalesce("root", "class"))
+    members = staged.write(members_of(met).withColumnRenamed("pivot", "region").join(met.where("cell is null").select("class", "n"), "class"), share=2)
+    sizes = staged.write(_sized(members, block, cells).where("held > 1"), share=8)
+    placed = X.looked_up(members, sizes.drop("free").withColumn("size", F.col("held")), ["region"], members.count()).select("region", "class", "n", "size", "slices", F.lit(True).alias("home"), F.lit(None).cast("long").alias("comp"), F.col("region").alias("root"))
+    several = members.select(F.col("region").alias("pivot"), "class").join(sizes.withColumnRenamed("region", "pivot"), "pivot", "left_semi")
+    zero = F.lit(0).cast("long")
+    whole = placed.where("slices <= 1").select("region", zero.alias("i"), zero.alias("j"), "root", "class", "comp", "size")
+    cleared = survivors(met, several, whole.where(F.col("size") <= FEW).drop("size"), num, den)
+    kept = staged.write(cleared.unionByName(whole.where(F.col("size") > FEW).drop("size", "root")), share=8)
+    large = placed.where("slices > 1").drop("slices", "size")
+    if sizes.where("slices > 1").isEmpty():
+        out = joined_regions(kept, sets_of(docs, kept, size), num, den, every)
+    else:
+        large = staged.write(large)
+        sets = staged.write(sets_of(docs, kept.select("class").union(large.select("class")).distinct(), size))
+        found, ready, rest = divide(large, sets, num, den, block, cells, staged, every)
+        parts = [kept, *(r.select("region", zero.alias("i"), zero.alias("j"), "class", "comp") for r in ready), *(staged.write(survivors(met, several, r, num, den), share=8) for r in rest)]
+        every_part = parts[0]
+        for p in parts[1:]:
+            every_part = every_part.unionByName(p)
+        out = joined_regions(every_part, sets, num, den, every)
+        for f in found:
+            out = out.unionByName(f.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    links = staged.write(out.where("a != b").distinct(), share=16)
+    staged.drop(met, members)
+    return links
+
+
+def labelled(docs: DataFrame, num: int = 75, den: int = 100, size: int = 5, frequent: int = 1 << 16, block: int = 8192, cells: int = 1 << 21, key: Column | None = None) -> tuple[DataFrame, DataFrame, X.Staged]:
+    """(rows, classes): per row doc_id, class, n (and its key, if asked for); per class its
+    smallest doc_id, the rows that it holds and the label of its component."""
+    if not 0 < num <= den:
+        raise ValueError("the similarity must be above 0 and at most 1")
+    staged = X.Staged(docs.sparkSession)
+    known = staged.write(profile(docs, size, key))
+    rows = known.where("not hot").drop("hot")
+    links = linked_classes(docs, rows, known, staged, num, den, size, frequent, block, cells)
+    held = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("held"))
+    if links.isEmpty():
+        return rows, held.withColumn("label", F.col("class")), staged
+    labels = components(links, staged)
+    return rows, held.join(labels.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("label", F.coalesce("root", "class")).drop("root"), staged
 
 
-def classes(docs: DataFrame, num: int = 75, den: int = 100, size: int = 5, frequent: int = 1 << 16, block: int = 1024) -> DataFrame:
+def classes(docs: DataFrame, num: int = 75, den: int = 100, size: int = 5, frequent: int = 1 << 16, block: int = 8192, cells: int = 1 << 21) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    named = labelled(docs, num, den, size, frequent, block)
-    least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    rows, named, staged = labelled(docs, num, den, size, frequent, block, cells)
+    total = rows.count()
+    named = staged.write(named, share=4)
+    first = named.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("held"))
+    own = X.looked_up(named.select("class", "label", F.col("held").alias("rows")), first, ["label"], total)
+    own = staged.write(own.select("class", "component_id", F.col("rows").alias("held")), share=4)
+    some = X.looked_up(rows.where("class is not null"), own, ["class"], total).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return some.unionByName(rows.where("class is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def links(docs: DataFrame, num: int = 75, den: int = 100, size: int = 5, frequent: int = 1 << 16, block: int = 8192, cells: int = 1 << 21) -> tuple[DataFrame, DataFrame]:
+    """(links, membership): all pairs (a, b) of linked classes, and doc_id, class, n of each row.
+
+    Rows of one class have equal sets and are linked with each other and with all rows of
+    linked classes.  The number of pairs may grow with the square of a group's size.
+    """
+    if not 0 < num <= den:
+        raise ValueError("the similarity must be above 0 and at most 1")
+    staged = X.Staged(docs.sparkSession)
+    known = staged.write(profile(docs, size))
+    rows = known.where("not hot").drop("hot")
+    return linked_classes(docs, rows, known, staged, num, den, size, frequent, block, cells, every=True), rows
 
 
 def single(docs: DataFrame) -> DataFrame:
@@ -462,12 +705,15 @@ def single(docs: DataFrame) -> DataFrame:
     with the smallest hash over all columns; of rows that are equal in whole, one.
     """
     whole = F.xxhash64(*docs.columns)
-    named = labelled(docs, key=whole).where("label is not null").select("doc_id", "key", "label")
+    rows, named, staged = labelled(docs, key=whole)
+    total = rows.count()
+    named = staged.write(named.select("class", "label", "held"), share=4)
+    labels = X.looked_up(rows.where("class is not null"), named, ["class"], total).select("doc_id", "key", "label")
+    labels = staged.write(labels.groupBy("label", "doc_id", "key").agg(F.count("*").alias("rows")))
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"))
-    first = named.groupBy("label").agg(F.min(place).alias("first"))
-    judged = named.groupBy("label", "doc_id", "key").agg(F.count("*").alias("rows")).join(first, "label")
+    first = labels.groupBy("label").agg(F.min(place).alias("first"), F.count("*").alias("held"))
+    judged = X.looked_up(labels, first, ["label"], total)
     stays = place == F.col("first")
-    staged = X.Staged(docs.sparkSession)
     other = judged.where(~stays | (F.col("rows") > 1)).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), stays.alias("_stays"))
     other = staged.write(other, share=16)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_whole") == F.col("_key"))
