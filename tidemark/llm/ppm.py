@@ -192,7 +192,7 @@ def ppm(grams: np.ndarray, counts: np.ndarray, upper: Upper) -> np.ndarray:
     return out - np.where(open_, np.log10(max(SYMBOLS - alphabet, 1)), 0.0)
 
 
-def score(docs: DataFrame, mod: int = 10, held: int = 0, by_file: bool = False, block_bytes: int = 32 << 20, block_rows: int = 1 << 15, buckets: int = 1024) -> DataFrame:
+def score(docs: DataFrame, mod: int = 10, held: int = 0, by_file: bool = False, block_bytes: int = 16 << 20, block_rows: int = 1 << 15, buckets: int = 1024) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Texts are taken in blocks: with `by_file` stretches of the files that `docs` is read
