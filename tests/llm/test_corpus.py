@@ -321,6 +321,28 @@ def test_quality(spark, sf):
     assert together == pytest.approx(alone, abs=1e-5)
 
 
+def test_quality_scores_against_plain_loops():
+    net = quality.Net(filters=3, hidden=4)
+    net.ready()
+    texts = ["", "a", "short text", "é" * 40 + " x" * 100, "".join(chr(97 + i * i % 26) for i in range(700))]
+
+    def plain(text):
+        data = text.encode()
+        padded = [0] * 3 + list(data)
+        padded += [0] * (-len(padded) % 128) + [0] * 4
+        blocks = (len(data) + 3 + 127) // 128
+        pooled = [[max(sum(float(net.taps[k, padded[128 * b + i + k], f]) for k in range(4)) for i in range(128)) for f in range(3)] for b in range(blocks)]
+        chunks = [[math.tanh(max(p, q)) for p, q in zip(pooled[b], pooled[min(b + 1, blocks - 1)], strict=True)] for b in range(max(1, blocks - 1))]
+        x = [sum(c[f] for c in chunks) / len(chunks) for f in range(3)] + [max(c[f] for c in chunks) for f in range(3)] + [math.log1p(min(len(data), 256)) / 5]
+        h = [math.tanh(sum(a * float(net.w1[i, j]) for i, a in enumerate(x)) + float(net.b1[j])) for j in range(4)]
+        return 1 / (1 + math.exp(-sum(a * float(w) for a, w in zip(h, net.w2, strict=True)) - float(net.b2[0])))
+
+    import pyarrow as pa
+
+    got = np.concatenate([net.scores(d, o) for *_, d, o in X.chunks(pa.array(texts))])
+    assert got.tolist() == pytest.approx([plain(t) for t in texts], abs=1e-5)
+
+
 def test_quality_without_labels(spark):
     odd = spark.createDataFrame(ODD, SCHEMA)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -65,6 +65,64 @@ def test_hashes_depend_on_the_word_only(texts):
     assert len({(k[0], v) for k, v in seen.items()}) == len(seen)
 
 
+THUE = "a"
+for _ in range(11):
+    THUE += THUE.translate(str.maketrans("ab", "ba"))
+ALTER = THUE.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_of_balanced_sequences_differ():
+    """Words and runs of words on which a polynomial modulo a power of two has one value."""
+    for n in (8, 64, 65, 128, 1024, 2048):
+        data, off = X.raw(pa.array([THUE[:n], ALTER[:n], THUE[:n]]))
+        h = X.span_hashes(data, off[:-1], off[1:])
+        assert h[0] == h[2] != h[1]
+        codes = X.mix(np.array([ord(c) for c in THUE[:n] + ALTER[:n] + THUE[:n]], np.uint64))
+        r = X.Runs(codes).hash(np.array([0, n, 2 * n]), np.array([n, n, n]))
+        assert r[0] == r[2] != r[1]
+    data, off = X.raw(pa.array([THUE, ALTER]))
+    assert X.same_spans(data, off[:-1], data, off[[0, 0]], np.diff(off)).tolist() == [True, False]
+    assert X.same_spans(data, np.array([0, 5]), data, np.array([0, 6]), np.array([0, 1])).tolist() == [True, data[5] == data[6]]
+
+
+@given(st.lists(st.integers(0, 2), min_size=1, max_size=24), st.integers(1, 24))
+@settings(max_examples=100, deadline=None)
+def test_hashes_of_runs(codes, n):
+    runs = X.gram_hashes(X.mix(np.array(codes, np.uint64)), n)
+    plain = [tuple(codes[i : i + n]) for i in range(len(codes) - n + 1)]
+    assert len(runs) == len(plain) and all((runs[i] == runs[j]) == (plain[i] == plain[j]) for i in range(len(plain)) for j in range(i))
+
+
+def test_balanced_texts_are_told_apart(spark):
+    """Texts that a hash of the polynomial kind would take for each other."""
+    assert len({f[:32] for f in merkle.fingerprints([THUE, ALTER])}) == 2
+    ids, bounds = packing.Encoder(path()).encode(*X.raw(pa.array([THUE, ALTER])))
+    plain = packing._tokenizer(path())[0]
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in (THUE, ALTER)]
+    line = lambda w: " ".join([f"w{i}" for i in range(30)] + [w] + [f"v{i}" for i in range(29)])
+    docs = spark.createDataFrame([(1, line(THUE), "en", "s", 1, "x", 1, 1), (2, line(ALTER), "en", "s", 1, "x", 1, 1), (3, ALTER, "en", "s", 1, "x", 1, 1)], SCHEMA)
+    assert {r.doc_id: r.n_removed for r in substring.deduplicate(docs).collect()} == {1: 0, 2: 0, 3: 0}
+    items = spark.createDataFrame([(1, THUE)], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontaminate.contamination(docs, items).collect()} == {1: 1, 2: 0, 3: 0}
+    words = [" ".join(t) for t in (THUE[:64], ALTER[:64])]
+    docs = spark.createDataFrame([(k, w, "en", "s", 1, "x", 1, 1) for k, w in enumerate(words)], SCHEMA)
+    got = substring.deduplicate(docs).collect()
+    seen = {tuple(words[0].split()[i : i + 50]) for i in range(15)}
+    assert (got[0].n_removed > 0 or got[1].n_removed > 0) == any(tuple(words[1].split()[i : i + 50]) in seen for i in range(15))
+
+
+def test_equal_hashes_are_compared(monkeypatch):
+    """Even if all words had one hash, bytes decide in the search and in the encoder's memory."""
+    monkeypatch.setattr(X, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    p = decontaminate.Patterns(["one two three"], ["1"])
+    text = decontaminate.Words(*X.raw(pa.array(["one two three four", "one two four"])))
+    covered, rows, items = p.search(text)
+    assert covered.tolist() == [True] * 3 + [False] * 4 and rows.tolist() == [0] and items.tolist() == [0]
+    ids, bounds = packing.Encoder(path()).encode(*X.raw(pa.array(["one two", "three"])))
+    plain = packing._tokenizer(path())[0]
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in ("one two", "three")]
+
+
 def test_index():
     keys = np.array([5, -1, 0, -2, 1 << 62], np.int64)
     index = X.Index(keys, np.arange(5.0))
@@ -158,6 +216,10 @@ def test_secret_ownership(spark):
     rows = [(i, key, "en", f"s{i % 4}", 1, "x", 1, 1) for i in range(8)] + [(20, "password: only-once-1234", "en", "s1", 1, "x", 1, 1), (21, "password: only-once-1234", "en", "s1", 1, "x", 1, 1)]
     got = {r.doc_id: (r.n_assign, r.n_live, r.n_copied) for r in secrets.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[0] == (1, 0, 1) and got[20] == got[21] == (1, 1, 0)
+    held = {r.doc_id: (r.spans, r.holders) for r in secrets.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert held[0] == ("assign:0:24", "copied:4:8") and held[20] == held[21] == ("assign:0:24", "live:1:2")
+    by_repo = {r.doc_id: r.holders for r in secrets.scan(spark.createDataFrame(rows, SCHEMA), widely=9, repo="lang").collect()}
+    assert by_repo[0] == "shared:4:1" and by_repo[20] == "live:1:1"
     odd = spark.createDataFrame(ODD, SCHEMA)
     assert secrets.scan(odd).count() == len(ODD)
     assert secrets.scan(odd.limit(0)).count() == 0
@@ -334,6 +396,51 @@ def test_decontamination(spark, block_words):
     assert decontaminate.contamination(odd.limit(0), b).count() == 0
 
 
+def test_secret_holders_against_plain_counts(spark):
+    rng = np.random.default_rng(6)
+    values = [f"token={'abcdefgh'[k]}{k}0123456789ab" for k in range(6)] + ["AKIA" + "Q" * 16, "0123456789abcdef0"]
+    rows = [(i, " ".join(str(v) for v in rng.choice(values, int(rng.integers(0, 5)))), "en", f"s{rng.integers(5)}", 1, "x", 1, 1) for i in range(50)] + [(50, values[0], "en", None, 1, "x", 1, 1)]
+    owners, repos = {}, {}
+    for i, text, _, source, *_ in rows:
+        for *_, v in secrets.find(text):
+            owners.setdefault(v, set()).add(source)
+            repos.setdefault(v, set()).add(i)
+    for r in secrets.scan(spark.createDataFrame(rows, SCHEMA)).collect():
+        found = secrets.find(rows[r.doc_id][1])
+        status = lambda v: "live" if len(owners[v]) == 1 else "copied" if len(owners[v]) >= 3 else "shared"
+        assert r.holders == ",".join(f"{status(v)}:{len(owners[v])}:{len(repos[v])}" for *_, v in found)
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b, _ in found)
+        assert r.n_copied == len({v for *_, v in found if status(v) == "copied"}) and r.base_sha256 == hashlib.sha256(plain_secrets(rows[r.doc_id][1]).encode()).hexdigest()
+
+
+def test_language_scores_against_plain_sums():
+    rng = np.random.default_rng(2)
+    kinds = {"aa": ["the", "house", "Wäter"], "bb": ["das", "haus", "über"], "cc": ["talo", "vesi", "yö"]}
+    texts, langs = zip(*[(" ".join(rng.choice(v, 9)), k) for k, v in kinds.items() for _ in range(30)], strict=True)
+    model = langid.Model(list(texts), list(langs), steps=600)
+    assert 1e-4 < model.temperature < 1e3 and 1 / 3 < model.least < 1
+
+    def plain(text):
+        shown = [0x20] + [(b + 32 if 0x41 <= b <= 0x5A else b) if chr(b).isalpha() or b >= 0x80 else 0x20 for b in text.encode()] + [0x20, 0x20]
+        sums, n = np.zeros(3), 0
+        for i, b in enumerate(text.encode(), 1):
+            if not (0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80):
+                continue
+            x, y, z, w = (shown[i + k] for k in (-1, 0, 1, 2))
+            three = (x << 16 | y << 8 | z) * 0x9E3779B1 & 0xFFFFFFFF
+            four = ((y << 16 | z << 8 | w) * 0x85EBCA77 & 0xFFFFFFFF) ^ (x * 0xC2B2AE3D & 0xFFFFFFFF)
+            sums += model.table[three >> 17] + model.table[((four * 0x27D4EB2F & 0xFFFFFFFF) >> 17) + (1 << 15)]
+            n += 2
+        p = np.exp((sums / max(n, 1) + model.bias) / model.temperature)
+        return (p / p.sum()).tolist()
+
+    some = [*texts[::9], "the Über, talo!", "x", "", "1 2"]
+    for lo, hi, data, off in X.chunks(pa.array(some)):
+        best, score = model.predict(data, off)
+        want = [plain(t) for t in some[lo:hi]]
+        assert best.tolist() == [int(np.argmax(p)) for p in want] and score.tolist() == pytest.approx([max(p) for p in want], abs=1e-4)
+
+
 def test_language_letters():
     texts = ["", "123 !", "é", "☃", "中", "x", "123\n"]
     got = [bool(x) for lo, hi, data, off in X.chunks(pa.array(texts)) for x in langid.has_letter(data, off)]

@@ -5,9 +5,12 @@ other byte reads as a space.  A text's vector is the mean of their embeddings; b
 the embeddings and the softmax are learned by stochastic gradient descent in numpy.
 For prediction the two linear maps are folded into one table.
 
-The model is fitted on a bounded sample of labelled rows (`sample` rows, drawn by a hash
-of doc_id); a third of that sample calibrates the temperature of the scores and the
-score under which a prediction counts as rejected.
+The model is fitted on a bounded sample of labelled rows (about `sample` rows, dealt evenly
+over the languages and drawn by a hash, none of more than `longest` bytes).  A third of
+that sample is kept from learning and calibrates: the temperature is the one at which the
+mean score equals the share of right predictions (with one more of each outcome, so that
+it is not 1), and predictions under the score that `REJECTED` of the right ones stay
+below count as rejected.
 
 Defined results: `und` with score 0 for a null text, a text without letters, or when
 nothing can be learned; a null doc_id is never learned from and is not held out; equal
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import textcore as X
 
 BITS = 15
+REJECTED = 0.01
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _ASCII_LETTER = _LETTER.copy()
@@ -100,11 +104,15 @@ class Model:
         self.table, self.bias, self.temperature, self.least = emb @ out, bias, 1.0, 0.0
         if len(kept):
             logits = np.array([rows[i][1] @ self.table[rows[i][0]] + bias if len(rows[i][0]) else bias for i in kept])
-            loss = lambda t: -np.log(_softmax(logits / t)[np.arange(len(kept)), label[kept]] + 1e-12).mean()
-            self.temperature = float(min(np.geomspace(0.05, 20, 60), key=loss))
-            score = _softmax(logits / self.temperature)
-            right = score.argmax(1) == label[kept]
-            self.least = min(0.99, float(np.quantile(score.max(1)[right], 0.005))) if right.any() else 0.99
+            right = logits.argmax(1) == label[kept]
+            goal = max((right.sum() + 1) / (len(kept) + 2), 1 / k + 1e-6)
+            low, high = 1e-4, 1e3  # the mean score falls from 1 to 1 / k between them
+            for _ in range(60):
+                self.temperature = float(np.sqrt(low * high))
+                sure = _softmax(logits / self.temperature).max(1).mean() > goal
+                low, high = (self.temperature, high) if sure else (low, self.temperature)
+            score = _softmax(logits / self.temperature).max(1)
+            self.least = float(np.quantile(score[right], REJECTED)) if right.any() else 1.0
 
     def predict(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         buckets, bounds = subwords(data, off)
@@ -134,15 +142,16 @@ def quotas(count: dict[str, int], sample: int, least: int) -> dict[str, int]:
     return out
 
 
-def fit(docs: DataFrame, sample: int = 2400, mod: int = 4, held: int = 2, least: int = 60) -> Model | None:
+def fit(docs: DataFrame, sample: int = 2400, mod: int = 4, held: int = 2, least: int = 60, longest: int = 1 << 16) -> Model | None:
     """A model of about `sample` labelled rows outside the held-out remainder, drawn by language."""
-    rows = X.plain(docs, F.col("lang").cast("string").alias("lang")).where((X.remainder(mod) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = X.plain(docs, F.col("lang").cast("string").alias("lang")).where((X.remainder(mod) != held) & F.col("lang").isNotNull() & (F.octet_length("text") <= longest))
     count = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not count:
         return None
     drawn = quotas(count, sample, least)
     bound = F.create_map(*[F.lit(x) for lang, n in count.items() for x in (lang, int(drawn[lang] / n * (1 << 40)))])
-    got = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 40)) < bound[F.col("lang")]).limit(2 * sum(drawn.values())).collect()
+    place = F.xxhash64("doc_id", "text", F.lit(11))
+    got = rows.where(F.pmod(place, F.lit(1 << 40)) < bound[F.col("lang")]).orderBy(place, "doc_id", "lang").limit(2 * sum(drawn.values())).collect()
     got.sort(key=lambda r: (r.doc_id, r.text))
     return Model([r.text for r in got], [r.lang for r in got]) if got else None
 

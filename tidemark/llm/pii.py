@@ -122,7 +122,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
         elif kind == "s":
             if m := _LOGIN.match(text, at + 1):
                 start = at - 2
-                while start > 0 and at - start < 34 and text[start - 1] in _SCHEME:
+                while start > 0 and text[start - 1] in _SCHEME:
                     start -= 1
                 out["login"].append((start, m.end()))
         elif at >= iban_end and (m := _IBAN.match(text, at + 1)) and (end := _iban_end(m[1])):

@@ -6,8 +6,9 @@ max-pooled within every chunk; the mean and the maximum over all chunks, and the
 length, go through one hidden layer to a single probability.  A filter is the sum of
 two tables of byte pairs, so its response costs two look-ups per byte.
 
-The network is fitted on a bounded sample of labelled rows (`sample` rows of each
-label, drawn by a hash of doc_id), always on their whole texts.
+The network is fitted on a bounded sample of labelled rows, always on their whole texts:
+about `sample` rows of each label, drawn by a hash of doc_id, at most four times as many in
+all (the smallest hashes), none with a text of more than `longest` bytes.
 
 Defined results: a null text counts as empty and is scored; a null doc_id is never
 learned from and is not held out; conflicting labels of a document count as the lower
@@ -150,7 +151,7 @@ class Net:
         return {"taps": taps, "w1": x.T @ dh, "b1": dh.sum(0), "w2": h.T @ dz, "b2": dz.sum(keepdims=True)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 900, mod: int = 3, held: int = 1) -> Net:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 900, mod: int = 3, held: int = 1, longest: int = 1 << 16) -> Net:
     """A network of about `sample` rows of each label, none from the held-out remainder."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where((X.remainder(mod) != held) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -159,8 +160,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 900, mod: int = 3, hel
     bound = F.lit(0)
     for q, n in count.items():
         bound = F.when(F.col("quality") == q, F.lit(int(min(1.0, sample / n) * (1 << 20)))).otherwise(bound)
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 20)) < bound).limit(4 * sample)
-    got = X.plain(docs).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "quality").limit(8 * sample).collect() if count else []
+    place = F.xxhash64("doc_id", F.lit(13))
+    drawn = known.where(F.pmod(place, F.lit(1 << 20)) < bound).orderBy(place, "doc_id").limit(4 * sample)
+    short = X.plain(docs).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)
+    got = short.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "quality").orderBy(place, F.xxhash64("text")).limit(4 * sample).collect() if count else []
     got.sort(key=lambda r: (r.doc_id, r.text or ""))
     y = np.array([r.quality for r in got], np.float32)
     if len(set(y.tolist())) < 2:

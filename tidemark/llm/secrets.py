@@ -1,8 +1,10 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Every candidate's value is hashed; the distinct repositories and owners of each hash
-are counted over the whole corpus.  A value found with many owners is a copied example,
-one that a single owner holds looks live.
+are counted over the whole corpus, and each span is told what its value is: `copied` (an
+example, found with many owners), `live` (one owner holds it, in however many
+repositories) or `shared` (a few owners).  Where rows name no repository, each document is
+one.
 
 Base kinds are `assign`, `access` and `hex`; the method adds `pem` (private key
 headers; the value is the whole key without white space) and `token` (prefixed access
@@ -87,10 +89,10 @@ def _flagged(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 _FOUND = "doc_id long, row long, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, hashes array<long>"
 
 
-def candidates(docs: DataFrame, owner: str | None = "source", repo: str | None = "source") -> DataFrame:
+def candidates(docs: DataFrame, owner: str | None = "source", repo: str | None = None) -> DataFrame:
     """One row per row of `docs` with its spans and the hashes of their values."""
     has = set(docs.columns)
-    named = [F.col(c).cast("string").alias(a) if c in has else F.lit(None).cast("string").alias(a) for c, a in ((owner, "owner"), (repo, "repo"))]
+    named = [F.col(c).cast("string").alias(a) if c in has else F.lit(None).cast("string").alias(a) for c, a in ((owner, "owner"), (repo or "doc_id", "repo"))]
     rows = X.plain(docs, *named).withColumn("row", F.xxhash64("doc_id", "text", "owner", "repo")).select("doc_id", "row", "owner", "repo", "text")
     empty = hashlib.sha256(b"").hexdigest()
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("owner", pa.string()), ("repo", pa.string()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("hashes", pa.list_(pa.int64()))])
@@ -118,22 +120,27 @@ def candidates(docs: DataFrame, owner: str | None = "source", repo: str | None =
     return rows.mapInArrow(run, _FOUND)
 
 
-def ownership(found: DataFrame) -> DataFrame:
-    """hash, owners, repos: distinct holders of each value over the whole corpus."""
-    held = found.where("size(hashes) > 0").select(F.explode("hashes").alias("hash"), F.coalesce("owner", F.lit("\x00")).alias("owner"), F.coalesce("repo", F.lit("\x00")).alias("repo")).distinct()
-    owners = held.select("hash", "owner").distinct().groupBy("hash").agg(F.count("*").alias("owners"))
-    repos = held.select("hash", "repo").distinct().groupBy("hash").agg(F.count("*").alias("repos"))
-    return owners.join(repos, "hash")
+def ownership(each: DataFrame) -> DataFrame:
+    """hash, owners, repos, held: distinct holders of each value, and its rows in `each`, over the whole corpus."""
+    named = each.select("hash", *(F.coalesce(c, F.lit("\x00")).alias(c) for c in ("owner", "repo")))
+    counts = [named.select("hash", c).distinct().groupBy("hash").agg(F.count("*").alias(a)) for c, a in (("owner", "owners"), ("repo", "repos"))]
+    return each.groupBy("hash").agg(F.count("*").alias("held")).join(counts[0], "hash").join(counts[1], "hash")
 
 
-def scan(docs: DataFrame, widely: int = 3, owner: str | None = "source", repo: str | None = "source") -> DataFrame:
-    """Spans of each row, with the number of its candidates that look live or widely copied.
+def scan(docs: DataFrame, widely: int = 3, owner: str | None = "source", repo: str | None = None) -> DataFrame:
+    """Spans of each row, what the corpus says of each, and its values that look live or copied.
 
-    n_live: values of a single owner; n_copied: values of at least `widely` owners.
+    holders: for each of the spans, in their order, status:owners:repositories; n_live: values
+    of a single owner; n_copied: values of at least `widely` owners.
     """
     staged = X.Staged(docs.sparkSession)
     found = staged.write(candidates(docs, owner, repo))
-    each = found.where("size(hashes) > 0").select("row", F.explode(F.array_distinct("hashes")).alias("hash")).distinct()
-    judged = each.join(ownership(found), "hash").groupBy("row").agg(F.sum((F.col("owners") == 1).cast("long")).alias("live"), F.sum((F.col("owners") >= widely).cast("long")).alias("copied"))
+    each = staged.write(found.where("size(hashes) > 0").select("row", "owner", "repo", F.posexplode("hashes").alias("at", "hash")), share=8)
+    known = staged.write(ownership(each), share=8)
+    status = F.when(F.col("owners") == 1, "live").when(F.col("owners") >= widely, "copied").otherwise("shared")
+    judged = X.looked_up(each.select("row", "at", "hash"), known, ["hash"], each.count())
+    told = F.struct("at", F.concat_ws(":", status, "owners", "repos").alias("told"))
+    of = lambda s: F.size(F.collect_set(F.when(status == s, F.col("hash")))).cast("long")
+    judged = judged.groupBy("row").agg(F.sort_array(F.collect_set(told))["told"].alias("told"), of("live").alias("live"), of("copied").alias("copied"))
     out = found.join(judged, "row", "left")
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.coalesce("live", F.lit(0)).alias("n_live"), F.coalesce("copied", F.lit(0)).alias("n_copied"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.coalesce(F.array_join("told", ","), F.lit("")).alias("holders"), F.coalesce("live", F.lit(0)).alias("n_live"), F.coalesce("copied", F.lit(0)).alias("n_copied"))
