@@ -122,3 +122,16 @@ def test_reports(spark):
     assert [tuple(x) for x in report.sort_causes(rep, "episode").collect()] == [("Css:a", "duration:x, k:1", 50.0, 4, 0.5), ("js", "", 25.0, 2, 0.25)]
     assert [x.episode for x in report.filter_causes(rep, "episode:zzz, episode:CS, K:?*").collect()] == ["Css:a"]
     assert report.filter_causes(rep, "").count() == 2
+
+
+def test_many_frequent_items_and_any_length(spark, monkeypatch):
+    from tidemark.operators import itemsets as M
+
+    tx = spark.createDataFrame([(list(r),) for r in ["abcde", "abcde", "abcd", "xy", "x", "", "abz"]], "items array<string>")
+    want = {tuple(r["items"]): r.support for r in M.frequent_itemsets(tx, 2, 5).collect()}
+    assert want[tuple("abcde")] == 2 and want[tuple("ab")] == 4 and ("z",) not in want
+    assert {tuple(r["items"]): r.support for r in M.frequent_itemsets(tx, 2).collect()} == want
+    monkeypatch.setattr(M, "LITERAL", 2)
+    assert {tuple(r["items"]): r.support for r in M.frequent_itemsets(tx, 2, 5).collect()} == want
+    only = M.frequent_itemsets(tx, 2, 5, Constraints(positive_all=("a",), positive_any=("d", "e")))
+    assert {tuple(r["items"]): r.support for r in only.collect()} == {k: v for k, v in want.items() if "a" in k and set("de") & set(k)}

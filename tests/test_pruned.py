@@ -20,6 +20,20 @@ def test_golden_stream(spark):
     assert own["F", 0] == 1 and own["E", 1] == 1 and own["E", 2] == 1 and own["A", 4] == 68
 
 
+def test_store_goes_on_after_a_restart(spark, tmp_path):
+    rows = lambda x: spark.createDataFrame([(i, list(r)) for i, r in enumerate(x)], "event_id long, items array<string>")
+    path = tmp_path.as_uri() + "/store"
+    for k, batch in enumerate(["AB AC AB", "AB B", "AC C"]):
+        store = PrunedPatterns(spark, 0.4, 0.05, max_len=2, path=path)
+        assert len(store.sizes) == k
+        store.add(rows(batch.split()))
+    whole = PrunedPatterns(spark, 0.4, 0.05, max_len=2)
+    for batch in ["AB AC AB", "AB B", "AC C"]:
+        whole.add(rows(batch.split()))
+    key = lambda s: sorted((tuple(r["items"]), r.bucket, r.support) for r in s.windows().collect())
+    assert key(store) == key(whole) and store.sizes == whole.sizes
+
+
 def test_supersets_of_new_itemsets_wait(spark):
     store = PrunedPatterns(spark, 0.4, 0.0, max_len=3)
     add = lambda *rows: store.add(spark.createDataFrame([(i, list(r)) for i, r in enumerate(rows)], "event_id long, items array<string>"))

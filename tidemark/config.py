@@ -25,6 +25,8 @@ class Settings:
     min_pattern_support: float = 0.04
     min_confidence: float = 0.2
     speeds_path: str | None = None
+    #: Share of a range's events; the minimum support where it is not set
+    range_support: float | None = None
 
     def save(self, path: str) -> None:
         Path(path).write_text(json.dumps(asdict(self), indent=1))

@@ -100,6 +100,21 @@ class Constraints:
         return F.filter(items, lambda x: ~reduce(lambda a, b: a | b, [matches(x, p) for p in banned])) if banned else items
 
 
+    def needed(self, items: Column, known: Mapping[str, int] | None = None) -> Column:
+        """Whether a transaction can hold an itemset that meets the positive constraints: a safe push-down.
+
+        Supports of such itemsets stay as they are, since all their transactions stay.
+        """
+        known, tests = known or {}, []
+        for kind in ("positive_all", "positive_any"):
+            exact = [p for p in getattr(self, kind) if not is_pattern(p)]
+            if exact:
+                names = F.array(*[F.lit(p) for p in exact])
+                tests.append(F.size(F.array_except(names, items)) == 0 if kind == "positive_all" else F.arrays_overlap(items, names))
+            tests += [F.exists(items, _matching(p)) for p in filter(is_pattern, getattr(self, kind)) if known.get(p)]
+        return reduce(lambda a, b: a & b, tests, F.lit(True))
+
+
 #: Page views need an episode; what is explained is slowness.
 DEFAULT_ITEMSETS = Constraints(positive_any=("episode:*",))
 DEFAULT_CONSEQUENT = Constraints(positive_any=("duration:slow",))

@@ -29,12 +29,22 @@ def _regex(pattern: Column) -> Column:
     return F.concat(F.lit("(?is)^"), F.replace(F.replace(escaped, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
 
 
+_PREFIX = 16
+
+
 def with_agent(views: DataFrame, agents: DataFrame, ua: str = "ua") -> DataFrame:
-    """Left join on the longest wildcard pattern that matches; distinct agents only."""
+    """Left join on the longest wildcard pattern that matches; distinct agents only.
+
+    An equi-join on the literal beginning of a pattern, up to its first wildcard and at most
+    `_PREFIX` characters, in lower case; the pattern as a whole is the residue.  Each agent
+    takes part with its own beginnings of all these lengths.
+    """
     fields = [c for c in agents.columns if c != "pattern"]
-    rules = agents.select(F.col("pattern").alias("_pattern"), _regex(F.col("pattern")).alias("_regex"), F.struct(*fields).alias("_agent"))
-    known = views.select(F.col(ua).alias("_ua")).where("_ua is not null").distinct()
-    hits = known.join(rules, F.expr("_ua rlike _regex"))
+    head = F.substring(F.lower(F.regexp_replace("pattern", r"(?s)[*?].*$", "")), 1, _PREFIX)
+    rules = agents.select(F.col("pattern").alias("_pattern"), _regex(F.col("pattern")).alias("_regex"), head.alias("_head"), F.struct(*fields).alias("_agent"))
+    heads = F.transform(F.sequence(F.lit(0), F.lit(_PREFIX)), lambda n: F.substring(F.lower(F.col("_ua")), F.lit(1), n))
+    known = views.select(F.col(ua).alias("_ua")).where("_ua is not null").distinct().withColumn("_head", F.explode(F.array_distinct(heads)))
+    hits = known.join(rules, "_head").where(F.expr("_ua rlike _regex"))
     best = hits.groupBy("_ua").agg(F.max_by("_agent", F.struct(F.length("_pattern"), "_pattern")).alias("agent"))
     return views.join(best, views[ua] == best["_ua"], "left").drop("_ua")
 

@@ -1,9 +1,9 @@
 """Supports and frequent itemsets.
 
-Itemsets are arrays of items in binary order.  Transactions are short, so all subsets up
-to a length are counted in one pass: infrequent items go first, each transaction emits
-its subsets, and partial aggregation keeps the shuffle at the number of distinct subsets
-per task.  `fpgrowth` mines without a bound on length.
+Itemsets are arrays of items in binary order.  With a bound on their length all subsets up
+to it are counted in one pass: infrequent items go first, each transaction emits its
+subsets, and partial aggregation keeps the shuffle at the number of distinct subsets per
+task.  Without a bound FP-growth mines them.
 """
 
 from __future__ import annotations
@@ -30,14 +30,24 @@ def subsets(items: Column, size: int) -> Column:
     return F.flatten(F.transform(items, lambda x, i: F.transform(subsets(F.slice(items, i + 2, F.lit(1 << 20)), size - 1), lambda s: F.concat(F.array(x), s))))
 
 
+#: Bytes of files that a task reads at once
+_TASK_BYTES = 128 << 20
+
+
 def spread(tx: DataFrame) -> DataFrame:
-    """Rows dealt to all threads where they come from fewer files than there are threads.
+    """Rows dealt to all threads where their files are too small to give each of them a task.
 
-    Emitting subsets multiplies the rows, so a single small file would keep one thread
-    busy; large tables have files enough and are left as they are.
+    Emitting subsets multiplies the rows, so a single small file would keep one thread busy.
+    At most a task's bytes for each thread are shuffled; larger tables stay as they are,
+    however few files they have.
     """
-    n = tx.sparkSession.sparkContext.defaultParallelism
-    return tx.repartition(n) if len(tx.inputFiles()) < n else tx
+    spark = tx.sparkSession
+    n, names = spark.sparkContext.defaultParallelism, tx.inputFiles()
+    if not names or len(names) >= n:
+        return tx
+    conf, path = spark._jsparkSession.sessionState().newHadoopConf(), spark._jvm.org.apache.hadoop.fs.Path
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in map(path, names))
+    return tx.repartition(n) if size < n * _TASK_BYTES else tx
 
 
 def subset_support(tx: DataFrame, size: int, by: tuple[str, ...] = ()) -> DataFrame:
@@ -45,9 +55,13 @@ def subset_support(tx: DataFrame, size: int, by: tuple[str, ...] = ()) -> DataFr
     return spread(tx.select(*by, "items")).select(*by, F.explode(subsets(canonical(F.col("items")), size)).alias("items")).groupBy(*by, "items").agg(F.count("*").alias("support"))
 
 
-def frequent_items(tx: DataFrame, min_count: int) -> list[str]:
-    """Frequent items in order; no more than item occurrences / min_count."""
-    return sorted(r.item for r in item_support(tx).where(F.col("support") >= min_count).select("item").collect())
+#: Frequent items up to which their names are literals in the plan; more are joined
+LITERAL = 512
+
+
+def frequent_items(tx: DataFrame, min_count: int) -> DataFrame:
+    """item of all frequent items; no more than item occurrences / min_count."""
+    return item_support(tx).where(F.col("support") >= min_count).select("item")
 
 
 def _one_of(names: list[str]) -> Callable[[Column], Column]:
@@ -72,14 +86,18 @@ def _codes(codes: Column, size: int, prefix: Column | None = None) -> Column:
     return F.flatten(F.transform(codes, lambda x, i: _codes(F.slice(codes, i + 2, F.lit(1 << 20)), size - 1, packed(x))))
 
 
+def _plainly_counted(tx: DataFrame, max_len: int) -> DataFrame:
+    each = F.concat(*[subsets(F.col("items"), k) for k in range(1, max_len + 1)])
+    return tx.select(F.explode(each).alias("items")).groupBy("items").agg(F.count("*").alias("support"))
+
+
 def _counted(tx: DataFrame, names: list[str], max_len: int) -> DataFrame:
     """items, support of all subsets of the frequent items `names` up to a length.
 
-    Up to four items out of at most 32,766 are counted as one packed number each.
+    Up to four items are counted as one packed number each.
     """
-    if max_len > 4 or len(names) >= 1 << _CODE_BITS:
-        each = F.concat(*[subsets(F.col("items"), k) for k in range(1, max_len + 1)])
-        return tx.select(F.explode(each).alias("items")).groupBy("items").agg(F.count("*").alias("support"))
+    if max_len > 4:
+        return _plainly_counted(tx, max_len)
     if not names:
         return tx.select("items", F.lit(0).cast("long").alias("support")).limit(0)
     number = F.map_from_arrays(_literal(names), F.sequence(F.lit(1).cast("long"), F.lit(len(names)).cast("long")))
@@ -90,18 +108,30 @@ def _counted(tx: DataFrame, names: list[str], max_len: int) -> DataFrame:
     return found.select(F.transform(F.filter(digits, lambda d: d > 0), lambda d: F.element_at(_literal(names), d)).alias("items"), "support")
 
 
-def frequent_itemsets(tx: DataFrame, min_count: int, max_len: int = 4, constraints: Constraints | None = None, backend: str = "subsets") -> DataFrame:
-    """items, support of all itemsets with support >= min_count that meet the constraints."""
+def frequent_itemsets(tx: DataFrame, min_count: int, max_len: int | None = None, constraints: Constraints | None = None, backend: str = "subsets") -> DataFrame:
+    """items, support of all itemsets with support >= min_count that meet the constraints.
+
+    Without `max_len` itemsets of any length are mined, by FP-growth.  Constraints that
+    an itemset needs an item for also drop the transactions without it, before counting.
+    """
     min_count = max(1, min_count)
     known = count_known(tx, constraints.patterns()) if constraints else {}
     if constraints:
-        tx = tx.withColumn("items", constraints.prune(F.col("items")))
-    names = frequent_items(tx.select("items"), min_count)
-    tx = spread(tx.select("items")).select(F.filter(canonical(F.col("items")), _one_of(names)).alias("items"))
-    if backend == "fpgrowth":
-        found = fpgrowth(tx, min_count).where(F.size("items") <= max_len)
+        tx = tx.withColumn("items", constraints.prune(F.col("items"))).where(constraints.needed(F.col("items"), known))
+    tx = spread(tx.select("items")).select(canonical(F.col("items")).alias("items"))
+    often = frequent_items(tx, min_count)
+    names = sorted(r["item"] for r in often.limit(LITERAL + 1).collect())
+    if len(names) <= LITERAL:
+        tx = tx.select(F.filter("items", _one_of(names)).alias("items"))
+    elif max_len is not None and backend != "fpgrowth":
+        each = tx.withColumn("_tx", F.monotonically_increasing_id()).select("_tx", F.explode("items").alias("item"))
+        tx = each.join(often, "item", "left_semi").groupBy("_tx").agg(F.array_sort(F.collect_list("item")).alias("items")).select("items")
+    if max_len is None or backend == "fpgrowth":
+        found = fpgrowth(tx, min_count)
+        found = found if max_len is None else found.where(F.size("items") <= max_len)
     else:
-        found = _counted(tx, names, max_len).where(F.col("support") >= min_count)
+        counted = _counted(tx, names, max_len) if len(names) <= LITERAL else _plainly_counted(tx, max_len)
+        found = counted.where(F.col("support") >= min_count)
     return found.where(constraints.after_counting(known)) if constraints else found
 
 

@@ -20,11 +20,20 @@ from tidemark.operators.transactions import batch_sizes, canonical
 
 
 def batch_patterns(tx: DataFrame, min_pattern_support: float, max_len: int = 3, sizes: DataFrame | None = None) -> DataFrame:
-    """items, batch_id, support of itemsets with support >= max(1, floor(share * events)) in their batch."""
+    """items, batch_id, support of itemsets with support >= max(1, floor(share * events)) in their batch.
+
+    Items that are rare in their batch go before subsets are emitted; those that stay are at
+    most the items of an event / share, so each batch's list of them is short.
+    """
     sizes = batch_sizes(tx) if sizes is None else sizes
-    each = F.concat(*[subsets(canonical(F.col("items")), k) for k in range(1, max_len + 1)])
-    found = spread(tx.select("batch_id", "items")).select("batch_id", F.explode(each).alias("items")).groupBy("batch_id", "items").agg(F.count("*").alias("support"))
     least = sizes.select("batch_id", F.greatest(F.lit(1), F.floor(F.lit(min_pattern_support) * F.col("n_events"))).alias("_k"))
+    rows = spread(tx.select("batch_id", "items")).select("batch_id", canonical(F.col("items")).alias("items"))
+    single = rows.select("batch_id", F.explode("items").alias("item")).groupBy("batch_id", "item").agg(F.count("*").alias("n"))
+    often = single.join(least.where("_k > 1"), "batch_id").where("n >= _k").groupBy("batch_id").agg(F.collect_list("item").alias("_often"))
+    kept = rows.join(often, "batch_id", "left").join(least, "batch_id").where("_k = 1 or _often is not null")
+    items = F.when(F.col("_k") > 1, F.array_intersect("items", "_often")).otherwise(F.col("items"))
+    each = F.concat(*[subsets(F.col("items"), k) for k in range(1, max_len + 1)])
+    found = kept.select("batch_id", items.alias("items")).select("batch_id", F.explode(each).alias("items")).groupBy("batch_id", "items").agg(F.count("*").alias("support"))
     return found.join(least, "batch_id").where("support >= _k").select("items", "batch_id", "support")
 
 
@@ -92,3 +101,14 @@ def drop_tail(own: DataFrame, tails: DataFrame) -> DataFrame:
     """Windows (items, bucket, support) without the granularities to drop."""
     starts = F.array(*[F.lit(first) for _, first in LEVELS], F.lit(YEAR_BUCKET))
     return own.join(tails, "items", "left").where(F.col("drop_from").isNull() | (F.col("bucket") < F.get(starts, F.col("drop_from")))).drop("drop_from")
+
+
+#: Estimated bytes of a pattern's window and of an item's name.
+WINDOW_BYTES, NAME_BYTES = 292, 80
+
+
+def store_size(patterns: DataFrame) -> DataFrame:
+    """One row: patterns, their supports by batch, items, and the estimated bytes of windows and names."""
+    each = patterns.agg(F.count_distinct("items").alias("patterns"), F.count("*").alias("supports"))
+    names = patterns.select(F.explode("items").alias("item")).agg(F.count_distinct("item").alias("items"))
+    return each.join(F.broadcast(names)).withColumn("bytes", WINDOW_BYTES * F.col("patterns") + NAME_BYTES * F.col("items"))

@@ -90,3 +90,8 @@ def daily(tx: DataFrame) -> DataFrame:
 
 def quarterly(tx: DataFrame) -> DataFrame:
     return T.with_batches(tx, T.quarter(F.col("ts")))
+
+
+def minutely(tx: DataFrame) -> DataFrame:
+    """One batch per minute, those without data included."""
+    return T.with_batches(tx, F.floor(F.unix_timestamp("ts") / 60).cast("long"), "wall")

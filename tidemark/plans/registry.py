@@ -12,8 +12,10 @@ from tidemark.operators import compare, enrich, itemsets, parse, patterns, repor
 from tidemark.operators import transactions as T
 from tidemark.operators.constraints import DEFAULT_CONSEQUENT, DEFAULT_ITEMSETS, Constraints, count_known
 from tidemark.plans import flows
+from tidemark.plans.analyst import Analyst
 from tidemark.sources import files
 from tidemark.streaming import batches as stream
+from tidemark.streaming.pruned import PrunedPatterns
 
 SIGMA, EPSILON, CONFIDENCE = 0.05, 0.04, 0.2
 #: Share for ranges of time, where itemsets of three are asked for
@@ -48,14 +50,14 @@ def shown(df: DataFrame) -> DataFrame:
 # -- shared SQL -----------------------------------------------------------------
 
 _PLACES = "places AS (SELECT c_custkey, n_name, r_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
-_EVENTS = f"""{_PLACES}, txl AS (
+_EVENTS = f"""{_PLACES}, txl AS MATERIALIZED (
   SELECT event_id AS tx_id, event_id, ts, list_sort(list_distinct([
     'episode:' || event_type,
     'duration:' || CASE WHEN value <= 20 THEN 'fast' WHEN value <= 70 THEN 'acceptable' ELSE 'slow' END,
     'k:' || (CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INT) // 25),
     'location:' || r_name, 'location:' || r_name || ':' || n_name, 'isp:' || n_name || ':' || c_mktsegment])) AS items
   FROM events LEFT JOIN places ON user_id = c_custkey)"""
-_ORDERS = f"""{_PLACES}, txl AS (
+_ORDERS = f"""{_PLACES}, txl AS MATERIALIZED (
   SELECT l_orderkey * 100 + l_linenumber AS tx_id, o_orderkey AS event_id, o_orderdate AS ts, list_sort(list_distinct([
     'episode:' || p_type,
     'duration:' || CASE WHEN l_quantity <= 15 THEN 'fast' WHEN l_quantity <= 35 THEN 'acceptable' ELSE 'slow' END,
@@ -63,8 +65,8 @@ _ORDERS = f"""{_PLACES}, txl AS (
     'location:' || r_name, 'location:' || r_name || ':' || n_name])) AS items
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey LEFT JOIN places ON o_custkey = c_custkey)"""
 _BASKETS = """bt AS (SELECT l_orderkey, p_brand, p_type FROM lineitem JOIN part ON l_partkey = p_partkey),
-  txl AS (SELECT l_orderkey AS tx_id, list_sort(list_distinct(list('brand:' || p_brand) || list('type:' || p_type))) AS items FROM bt GROUP BY l_orderkey)"""
-_PAGES = """txl AS (SELECT page_id AS tx_id, ['page:' || array_to_string(list_filter(string_split(replace(regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g'), ':', '_'), '/'), lambda p: p != ''), ':')] AS items FROM pages)"""
+  txl AS MATERIALIZED (SELECT l_orderkey AS tx_id, list_sort(list_distinct(list('brand:' || p_brand) || list('type:' || p_type))) AS items FROM bt GROUP BY l_orderkey)"""
+_PAGES = """txl AS MATERIALIZED (SELECT page_id AS tx_id, ['page:' || array_to_string(list_filter(string_split(replace(regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g'), ':', '_'), '/'), lambda p: p != ''), ':')] AS items FROM pages)"""
 
 
 def _subsets(most: int, keys: str = "", source: str = "txl") -> str:
@@ -76,7 +78,7 @@ def _subsets(most: int, keys: str = "", source: str = "txl") -> str:
         value = " || '|' || ".join(f"t{i}.item" for i in range(1, k + 1))
         cols = "".join(f"t1.{c.strip()}, " for c in keys.split(",")) if keys else ""
         parts.append(f"SELECT {cols}{value} AS items, count(*) AS support FROM tx t1{joins} GROUP BY ALL")
-    return f"tx AS (SELECT DISTINCT uid AS tx_id, {lead}unnest(items) AS item FROM (SELECT row_number() OVER () AS uid, * FROM {source})), sets AS ({' UNION ALL '.join(parts)})"
+    return f"numbered AS MATERIALIZED (SELECT row_number() OVER () AS uid, * FROM {source}), tx AS MATERIALIZED (SELECT uid AS tx_id, {lead}unnest(items) AS item FROM numbered), sets AS MATERIALIZED ({' UNION ALL '.join(parts)})"
 
 
 _LIST = "string_split(items, '|')"
@@ -132,6 +134,13 @@ def freq_itemsets_fpgrowth(spark, sf):
     return shown(itemsets.frequent_itemsets(tx, _count(spark, tx, SIGMA), 4, backend="fpgrowth"))
 
 
+@query(_mined(_EVENTS, 0.02, 6))
+def freq_itemsets_any_length(spark, sf):
+    """Transactions of events hold up to six items."""
+    tx = flows.events(spark, sf)
+    return shown(itemsets.frequent_itemsets(tx, _count(spark, tx, 0.02)))
+
+
 @query(_mined(_BASKETS, 0.1, 2))
 def freq_itemsets_baskets(spark, sf):
     tx = flows.baskets(spark, sf)
@@ -185,7 +194,7 @@ def _rules_sql(flow: str, share: float, most: int, where: str, confidence: float
     return f"WITH {flow}, {_subsets(most)}, {_RULES.format(least=_least(share))} SELECT * FROM found WHERE confidence >= {confidence} AND {where}"
 
 
-def _rules(tx: DataFrame, least: int, most: int, confidence: float, itemset: Constraints | None, consequent: Constraints | None, max_consequent: int = 1) -> DataFrame:
+def _rules(tx: DataFrame, least: int, most: int | None, confidence: float, itemset: Constraints | None, consequent: Constraints | None, max_consequent: int = 1) -> DataFrame:
     every = itemsets.frequent_itemsets(tx, least, most)
     both = (itemset or Constraints()).merged(consequent or Constraints())
     wanted = every.where(both.after_counting(count_known(tx, both.patterns()))) if both else every
@@ -204,6 +213,12 @@ def rules_all(spark, sf):
     return shown(_rules(tx, _count(spark, tx, 0.01), 3, CONFIDENCE, None, None))
 
 
+@query(_rules_sql(_EVENTS, 0.01, 6, "consequent = 'duration:slow' AND contains(antecedent, 'episode:')"))
+def rules_any_length(spark, sf):
+    tx = flows.events(spark, sf)
+    return shown(_rules(tx, _count(spark, tx, 0.01), None, CONFIDENCE, DEFAULT_ITEMSETS, DEFAULT_CONSEQUENT))
+
+
 @query(_rules_sql(_BASKETS, 0.02, 2, "TRUE", 0.3))
 def rules_baskets(spark, sf):
     tx = flows.baskets(spark, sf)
@@ -379,11 +394,6 @@ def _timed(spark, sf):
     return patterns.batch_patterns(tx, EPSILON, 3, sizes), sizes, sizes.count()
 
 
-def _range_rules(spark, sf, first, last):
-    p, sizes, n = _timed(spark, sf)
-    return patterns.range_rules(p, sizes, n, first, last, RANGE_SIGMA, CONFIDENCE, DEFAULT_ITEMSETS, DEFAULT_CONSEQUENT)
-
-
 @query(f"WITH {_EVENTS}, {_DAILY}, {_SIZES}, {_PAT} SELECT items, batch_id, support FROM pat")
 def batch_patterns(spark, sf):
     return shown(_timed(spark, sf)[0])
@@ -395,23 +405,30 @@ def range_itemsets(spark, sf):
     return shown(patterns.range_itemsets(p, sizes, n, 0, 71, RANGE_SIGMA))
 
 
-_TIMED_ORDERS = f"WITH {_ORDERS}, {_DAILY}, {_SIZES}, {_PAT.replace(_subsets(3, 'batch_id', 'tb'), _subsets(2, 'batch_id', 'tb'))}, {_BUCKETED}"
+_TIMED_ORDERS = f"WITH {_ORDERS}, {_DAILY}, {_SIZES}, {_PAT}, {_BUCKETED}"
+_MINUTELY = "ranked AS (SELECT *, CAST(floor(epoch(ts) / 60) AS BIGINT) AS tick FROM txl), tb AS (SELECT * EXCLUDE (tick), tick - (SELECT min(tick) FROM ranked) AS batch_id FROM ranked)"
+_TIMED_MINUTES = f"WITH {_EVENTS}, {_MINUTELY}, {_SIZES}, {_PAT}, {_BUCKETED}".replace(_NB, "(SELECT max(batch_id) + 1 FROM sizes)")
 
 
 def _timed_orders(spark, sf):
     tx = flows.daily(flows.orders(spark, sf))
     sizes = T.batch_sizes(tx)
-    return patterns.batch_patterns(tx, EPSILON, 2, sizes), sizes, sizes.count()
+    return patterns.batch_patterns(tx, EPSILON, 3, sizes), sizes, sizes.count()
 
 
-def _register_ranges() -> None:
-    """Short ranges over events; long ones over orders, which span years of daily batches.
+def _timed_minutes(spark, sf):
+    tx = flows.minutely(flows.events(spark, sf))
+    sizes = T.batch_sizes(tx)
+    return patterns.batch_patterns(tx, EPSILON, 3, sizes), sizes, (sizes.agg(F.max("batch_id")).first()[0] or 0) + 1
+
 
-    Ranges over orders mine itemsets of two items, as their SQL does, and so give no rule
-    with a circumstance; those over events mine three.
-    """
+def _register_ranges() -> None:
+    """Short ranges over daily batches of events, days and weeks over orders, which span years
+    of daily batches, months and the year over batches of a minute, of which a month of
+    events has more than the buckets below."""
+    flow = {"day": (_timed_orders, _TIMED_ORDERS), "week": (_timed_orders, _TIMED_ORDERS), "month": (_timed_minutes, _TIMED_MINUTES), "year": (_timed_minutes, _TIMED_MINUTES)}
     for name, (first, last) in C.TIME_RANGES.items():
-        timed, sql = (_timed, _TIMED) if name in ("quarter", "hour", "all") else (_timed_orders, _TIMED_ORDERS)
+        timed, sql = flow.get(name, (_timed, _TIMED))
 
         def run(spark, sf, first=first, last=last, timed=timed):
             p, sizes, n = timed(spark, sf)
@@ -423,16 +440,42 @@ def _register_ranges() -> None:
 _register_ranges()
 
 
-@query(f"""{_TIMED}, ev AS (SELECT bucket, sum(n_events) AS size FROM ws GROUP BY bucket), own AS (SELECT items, bucket, sum(support) AS support FROM wp GROUP BY ALL),
+_TAIL = f"""{_TIMED}, ev AS (SELECT bucket, sum(n_events) AS size FROM ws GROUP BY bucket), own AS (SELECT items, bucket, CAST(sum(support) AS BIGINT) AS support FROM wp GROUP BY ALL),
   f AS (SELECT g.items, g.bucket, size, coalesce(support, 0) AS support FROM (SELECT items, bucket, size FROM (SELECT items, max(bucket) AS oldest FROM own GROUP BY items), ev WHERE bucket <= oldest) g LEFT JOIN own USING (items, bucket)),
   r AS (SELECT items, bucket, support < ceil({SIGMA * 4} * size) AND sum(support) OVER o < ceil({EPSILON * 4} * sum(size) OVER o) AS weak FROM f WINDOW o AS (PARTITION BY items ORDER BY bucket DESC ROWS UNBOUNDED PRECEDING)),
-  t AS (SELECT items, min(bucket) AS y FROM (SELECT items, bucket, bool_and(weak) OVER (PARTITION BY items ORDER BY bucket DESC ROWS UNBOUNDED PRECEDING) AS weak FROM r) WHERE weak GROUP BY items)
-SELECT items, CASE WHEN y <= 0 THEN 0 WHEN y <= 4 THEN 1 WHEN y <= 28 THEN 2 WHEN y <= 59 THEN 3 ELSE 4 END AS drop_from FROM t""")
+  t AS (SELECT items, min(bucket) AS y FROM (SELECT items, bucket, bool_and(weak) OVER (PARTITION BY items ORDER BY bucket DESC ROWS UNBOUNDED PRECEDING) AS weak FROM r) WHERE weak GROUP BY items),
+  tails AS (SELECT items, CASE WHEN y <= 0 THEN 0 WHEN y <= 4 THEN 1 WHEN y <= 28 THEN 2 WHEN y <= 59 THEN 3 ELSE 4 END AS drop_from FROM t)"""
+
+
+@query(f"{_TAIL} SELECT * FROM tails")
 def droppable_tail(spark, sf):
     p, sizes, n = _timed(spark, sf)
     return shown(patterns.droppable_tail(p, sizes, n, SIGMA * 4, EPSILON * 4))
 
 
+@query(f"{_TAIL} SELECT items, bucket, support FROM own LEFT JOIN tails USING (items) WHERE drop_from IS NULL OR bucket < [0, 4, 28, 59, 71][drop_from + 1]")
+def windows_without_tail(spark, sf):
+    p, sizes, n = _timed(spark, sf)
+    return shown(patterns.drop_tail(patterns.windows(p, n), patterns.droppable_tail(p, sizes, n, SIGMA * 4, EPSILON * 4)))
+
+
+@query(f"{_TIMED} SELECT count(DISTINCT items) AS patterns, count(*) AS supports, (SELECT count(DISTINCT i) FROM (SELECT unnest({_LIST}) AS i FROM pat)) AS items, 292 * count(DISTINCT items) + 80 * (SELECT count(DISTINCT i) FROM (SELECT unnest({_LIST}) AS i FROM pat)) AS bytes FROM pat")
+def pattern_store_size(spark, sf):
+    return patterns.store_size(_timed(spark, sf)[0])
+
+
+@query(f"{_TIMED}, {_range('', 0, 71)} SELECT * FROM rul")
+def analyst_rules(spark, sf):
+    """Thresholds come from settings that were saved and loaded."""
+    import tempfile
+    from pathlib import Path
+
+    with tempfile.TemporaryDirectory() as d:  # the driver's own settings file, not data
+        C.Settings(SIGMA, EPSILON, CONFIDENCE, range_support=RANGE_SIGMA).save(str(Path(d) / "settings.json"))
+        settings = C.Settings.load(str(Path(d) / "settings.json"))
+    return shown(Analyst(flows.daily(flows.events(spark, sf)), settings).rules("all"))
+
+
 # -- comparison and reports ---------------------------------------------------------------------
 
 _COMPARED = f"""{_TIMED}, {_range('o', 4, 27)}, {_range('n', 0, 3)},
@@ -465,7 +508,7 @@ def compare_events(spark, sf):
 
 _EP = "list_filter(string_split(antecedent, '|'), lambda x: starts_with(x, 'episode'))[1]"
 _CAUSE = f"substr({_EP}, strpos({_EP}, ':') + 1) AS episode, array_to_string(list_filter(string_split(antecedent, '|'), lambda x: NOT starts_with(x, 'episode')), ', ') AS circumstances, confidence * 100 AS pct_slow, support AS n_slow"
-_REPORT = f"{_TIMED}, {_range('', 0, 71)}, rep AS (SELECT {_CAUSE}, support / events AS rel_slow FROM rul)"
+_REPORT = f"{_TIMED_MINUTES}, {_range('', *C.TIME_RANGES['month'])}, rep AS (SELECT {_CAUSE}, support / events AS rel_slow FROM rul)"
 
 
 @query(f"{_COMPARED} SELECT {_CAUSE}, confidence_variance * 100 AS pct_change, CAST(CASE WHEN state = 'both' THEN round(support_variance * events) ELSE sign(support_variance) * support END AS BIGINT) AS n_change, CAST(sign(confidence_variance) AS INT) AS sign, state FROM cmp")
@@ -474,7 +517,8 @@ def compare_report(spark, sf):
 
 
 def _report(spark, sf):
-    return report.cause_report(_range_rules(spark, sf, 0, 71))
+    p, sizes, n = _timed_minutes(spark, sf)
+    return report.cause_report(patterns.range_rules(p, sizes, n, *C.TIME_RANGES["month"], RANGE_SIGMA, CONFIDENCE, DEFAULT_ITEMSETS, DEFAULT_CONSEQUENT))
 
 
 @query(f"{_REPORT} SELECT * FROM rep")
@@ -566,6 +610,19 @@ def log_to_items(spark, sf):
     return itemsets.item_support(each.select(F.concat(T.episode_items(F.col("name"), speed), "shared").alias("items")))
 
 
+@query(_SQL["enrich_views"])
+def enrich_files(spark, sf):
+    """The same from files: lines of text, address ranges and agents as CSV."""
+    top = stream.folder(spark)
+    _log(spark, sf).select("value").write.text(f"{top}/log")
+    spark.createDataFrame(_GEO, files.GEO_SCHEMA).write.csv(f"{top}/geo", header=True)
+    spark.createDataFrame(_UA, files.UA_SCHEMA).write.csv(f"{top}/agents", header=True)
+    v = parse.parse(files.read_log(spark, f"{top}/log")).where("_corrupt is null")
+    v = enrich.with_agent(enrich.with_location(v, files.read_geo(spark, f"{top}/geo")), files.read_ua(spark, f"{top}/agents"))
+    files.write_result(v.groupBy(F.coalesce("location.continent", F.lit("-")).alias("continent"), F.col("agent.platform").alias("platform")).agg(F.count("*").alias("views")), f"{top}/views")
+    return spark.read.parquet(f"{top}/views")
+
+
 # -- streams ------------------------------------------------------------------------------------------
 
 
@@ -574,9 +631,41 @@ def stream_batches(spark, sf):
     return stream.collected(stream.quarter_counts(stream.event_stream(spark, sf, None)), spark, "append")
 
 
-@query(f"""WITH {_EVENTS}, q AS (SELECT *, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS tick FROM txl), {_subsets(2, 'tick', 'q')}
+@query(f"""WITH {_EVENTS}, q AS (SELECT *, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS tick FROM txl), {_subsets(3, 'tick', 'q')}
 SELECT tick, items, support FROM sets WHERE support >= 3""")
 def stream_patterns(spark, sf):
-    store = stream.PatternStore(spark, max_len=2)
+    store = stream.PatternStore(spark, max_len=3)
     store.run(stream.event_stream(spark, sf), lambda batch: flows.events_of(batch, spark, sf))
     return shown(store.patterns(min_count=3))
+
+
+_LATE = """ev AS (SELECT event_id, ts, CAST(floor(epoch(ts) / 900) AS BIGINT) AS quarter, event_id % 20 = 7 AS held FROM events),
+  seen AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM ev WHERE NOT held)"""
+
+
+@query(f"WITH {_LATE} SELECT quarter, count(*) AS n_events FROM ev, seen WHERE NOT held OR (quarter + 1) * 900 > epoch(mark) GROUP BY quarter")
+def stream_late(spark, sf):
+    """Four micro-batches, the last of rows held back: those behind the watermark of a day are dropped."""
+    top = stream.folder(spark)
+    e = flows.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "ts")
+    held = F.col("event_id") % 20 == 7
+    low, high = e.agg(F.min(F.unix_timestamp("ts")), F.max(F.unix_timestamp("ts"))).first()
+    third = F.floor(3 * (F.unix_timestamp("ts") - (low or 0)) / ((high or 0) - (low or 0) + 1))
+    for k, part in enumerate([*(e.where(~held & (third == t)) for t in (0, 1, 2)), e.where(held)]):
+        part.coalesce(1).write.mode("append").parquet(f"{top}/events/part={k}")
+    rows = spark.readStream.schema("event_id long, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{top}/events")
+    return stream.collected(stream.quarter_counts(rows, "1 day"), spark, "append")
+
+
+#: Batches of transactions, one letter an item, and what is stored after the fifth.
+_GOLDEN = ["ABCD AB AC ABC AD ACD CB BC CD CE", "A A C" + 20 * " CAD", 20 * "AB ", 20 * "AD ", "E"]
+_STORED = "A 4 68, A|B 4 23, A|D 4 43, B 4 25, C 4 29, A|C 4 24, A|C|D 4 22, B|C 4 4, C|D 4 23, D 4 44, E 0 1".split(", ")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("('{}', {}, CAST({} AS BIGINT))".format(*x.split()) for x in _STORED) + ") t(items, bucket, support)")
+def stream_pruned(spark, sf):
+    """The pattern stream with pruning over its golden sequence."""
+    store = PrunedPatterns(spark, 0.4, 0.05)
+    for rows in _GOLDEN:
+        store.add(spark.createDataFrame([(i, list(r)) for i, r in enumerate(rows.split())], "event_id long, items array<string>"))
+    return shown(store.windows())
