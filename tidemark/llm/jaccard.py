@@ -47,7 +47,7 @@ _CHUNK = 2 << 20
 #: Pivots of a region, and rounds of a region that no task holds
 PIVOTS, ROUNDS = 8, 3
 #: Members of a region up to which all pairs are looked at by their first shingles
-FEW = 256
+FEW = 1024
 #: Packed columns of a bucket
 _BLOBS = {"cells": np.uint64, "classes": np.int64, "ranks": np.uint8, "homes": np.int64, "sizes": np.int32, "marks": np.uint32}
 
@@ -656,7 +656,7 @@ def linked_classes(docs: DataFrame, rows: DataFrame, known: DataFrame, staged: X
     return links
 
 
-def labelled(docs: DataFrame, num: int = 75, den: int = 100, size: int = 5, frequent: int = 1 << 16, block: int = 8192, cells: int = 1 << 21, key: Column | None = None) -> tuple[DataFrame, DataFrame, X.Staged]:
+def labelled(docs: DataFrame, num: int = 75, den: int = 100, size: int = 5, frequent: int = 1 << 16, block: int = 2048, cells: int = 1 << 21, key: Column | None = None) -> tuple[DataFrame, DataFrame, X.Staged]:
     """(rows, classes): per row doc_id, class, n (and its key, if asked for); per class its
     smallest doc_id, the rows that it holds and the label of its component."""
     if not 0 < num <= den:
@@ -672,7 +672,7 @@ def labelled(docs: DataFrame, num: int = 75, den: int = 100, size: int = 5, freq
     return rows, held.join(labels.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("label", F.coalesce("root", "class")).drop("root"), staged
 
 
-def classes(docs: DataFrame, num: int = 75, den: int = 100, size: int = 5, frequent: int = 1 << 16, block: int = 8192, cells: int = 1 << 21) -> DataFrame:
+def classes(docs: DataFrame, num: int = 75, den: int = 100, size: int = 5, frequent: int = 1 << 16, block: int = 2048, cells: int = 1 << 21) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     rows, named, staged = labelled(docs, num, den, size, frequent, block, cells)
     total = rows.count()
@@ -684,7 +684,7 @@ def classes(docs: DataFrame, num: int = 75, den: int = 100, size: int = 5, frequ
     return some.unionByName(rows.where("class is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def links(docs: DataFrame, num: int = 75, den: int = 100, size: int = 5, frequent: int = 1 << 16, block: int = 8192, cells: int = 1 << 21) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, num: int = 75, den: int = 100, size: int = 5, frequent: int = 1 << 16, block: int = 2048, cells: int = 1 << 21) -> tuple[DataFrame, DataFrame]:
     """(links, membership): all pairs (a, b) of linked classes, and doc_id, class, n of each row.
 
     Rows of one class have equal sets and are linked with each other and with all rows of
