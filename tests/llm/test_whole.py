@@ -1,10 +1,17 @@
 """Inputs that operators once did only in part."""
 
 import base64
+import hashlib
 import random
+import zlib
+
+import numpy as np
 
 import corpus_pipeline
-from tidemark.llm import langid, pii, secrets
+from tests.llm.test_corpus import plain_classes, plain_dedup
+from tests.llm.test_text import path, plain_contamination, plain_pii, plain_secrets
+from tidemark.llm import decontaminate, jaccard, langid, merkle, packing, pii, ppm, quality, secrets, substring
+from tidemark.llm import textcore as X
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, part int, n long"
 
@@ -118,3 +125,52 @@ def test_near_duplicates_are_told_apart_by_row(spark, sf):
     assert [r[0] for r in got if r[1] == a] == [1] and (7, b, "en", "s", 1) in got
     assert texts.count(c) == 1 and (9, d, "en", "s", 1) in got and texts.count(d) == 1
     assert sum(t in (e, e + " more") for t in texts) == 1
+
+
+def test_texts_beyond_a_chunk(spark):
+    """Texts of more than a megabyte, words and prose, with copies and finds near their ends."""
+    draw = random.Random(8)
+    words = [f"w{draw.randrange(40_000)}" for _ in range(190_000)]
+    passage = " ".join(f"p{i}" for i in range(60))
+    long = " ".join(words) + f" {passage} mail a@b.cc password=abcdefghijkl99"
+    near = " ".join(["changed", *words[1:]]) + " the end"
+    rows = [(1, long), (2, near), (3, long), (4, "x" * 1_200_000), (5, passage + " tail"), (6, "short text")]
+    assert all(len(t) > X.CHUNK for _, t in rows[:4])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "x", 1, 1) for i, t in rows], SCHEMA)
+    assert sorted((tuple(r) for r in substring.deduplicate(docs).collect()), key=str) == plain_dedup(rows, 50)
+    assert sorted((tuple(r) for r in jaccard.classes(docs).collect()), key=str) == plain_classes(rows)
+    items = [(1, passage), (2, "x" * 1_200_000)]
+    got = {r.doc_id: tuple(r)[1:] for r in decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == plain_contamination(rows, items)
+    for r in pii.personal_spans(docs.where("doc_id != 4")).collect():  # the plain patterns are quadratic on it
+        assert r.spans.startswith(",".join(f"{k}:{a}:{b}" for k, a, b in plain_pii(rows[r.doc_id - 1][1])))
+    for r in secrets.scan(docs).collect():
+        assert r.base_sha256 == hashlib.sha256(plain_secrets(rows[r.doc_id - 1][1]).encode()).hexdigest()
+    plain = packing._tokenizer(path())[0]
+    want = set()
+    for i, t in rows:
+        ids = np.array([*plain.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        want |= {(i, k, len(x), zlib.crc32(x.tobytes())) for k in range(-(-len(ids) // 2048)) for x in [ids[k * 2048 : (k + 1) * 2048]]}
+    assert {(r.doc_id, r.piece, r.length, r.ids_crc32) for r in packing.pack(packing.pieces(docs, path())).collect()} == want
+    for r in merkle.compare_neighbours(docs).collect():
+        assert r.fingerprint == merkle.fingerprints([rows[r.doc_id - 1][1]])[0] and r.n_chars == len(rows[r.doc_id - 1][1])
+    scored = {r.doc_id: r for r in ppm.score(docs).collect()}
+    assert scored[1].score == scored[3].score < 0 and scored[1].n_tokens == 190_000 + 60 + 3 + 1
+    assert len({r.score for r in quality.score(docs, _ready()).where("doc_id in (1, 3)").collect()}) == 1
+    assert langid.identify(docs, langid.Model(["one two", "eins zwei"], ["en", "de"], steps=10)).count() == 6
+
+
+def _ready():
+    net = quality.Net()
+    net.ready()
+    return net
+
+
+def test_clashing_names_and_several_blocks(spark):
+    rows = [(1, "one two three", 7), (2, "something else", 8), (2, "one two three", 9), (None, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int")
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(["one two", "x y z " * 20, "one two three"])], "item_id long, text string")
+    kept = decontaminate.clean(docs, items, block_words=4)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([rows[1], rows[3]], key=str)
+    few = decontaminate.contamination(docs, items, block_words=4, passes=1)
+    assert {(r.doc_id, r.n_hit, r.n_items) for r in few.collect()} == {(1, 3, 2), (2, 0, 0), (2, 3, 2), (None, 0, 0)}
