@@ -257,7 +257,7 @@ def score(docs: DataFrame, mod: int = 10, held: int = 0, by_file: bool = False,
         yield from summed()
 
     by_bucket = requests.where(f"kind = {GRAMS}").select("bucket", "keys", "counts").repartition("bucket").sortWithinPartitions("bucket")
-    grams = staged.write(by_bucket.mapInArrow(sum_grams, "gram long, n long"), share=4)
+    grams = staged.write(by_bucket.mapInArrow(sum_grams, "gram long, n long"), share=8)
     of_order = lambda k: F.col("gram").bitwiseAND(_low(k)).alias("gram")
     two = grams.where("n > 0").select(of_order(3)).distinct().select(of_order(2)).groupBy("gram").count().toArrow()  # at most 257 ** 3 rows
     shared = spark.sparkContext.broadcast(Upper(two.column(0).to_numpy(), two.column(1).to_numpy()))
@@ -323,7 +323,7 @@ def score(docs: DataFrame, mod: int = 10, held: int = 0, by_file: bool = False,
                 wanted.append(_longs(b.column(4)[i]))
         yield from answered()
 
-    answers = staged.write(meeting.mapInArrow(answer, "block long, kind int, keys binary, values binary"), share=2)
+    answers = staged.write(meeting.mapInArrow(answer, "block long, kind int, keys binary, values binary"), share=4)
     staged.drop(requests, grams)
     distinct = sum(int(_longs(bytes(r["keys"]))[0]) for r in answers.where("kind = 2").select("keys").toLocalIterator()) + (texts > 0)
     whole = tokens + 0.1 * (distinct + 1)
