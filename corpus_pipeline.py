@@ -63,5 +63,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     staged = textcore.Staged(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = staged.write(stage(spark, docs, sf_dir))
+        kept = staged.write(stage(spark, docs, sf_dir))
+        staged.drop(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
