@@ -49,3 +49,7 @@ def test_entry_without_training_data_operators(tmp_path):
     shutil.copytree(root / "tidemark", tmp_path / "tidemark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'rules_slow' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, check=True)
+    if (root / "tidemark" / "llm").is_dir():  # without the pipeline alone, the operators stay
+        shutil.copytree(root / "tidemark" / "llm", tmp_path / "tidemark" / "llm", ignore=shutil.ignore_patterns("__pycache__"))
+        code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and 'op1_substring_dedup' in q"
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, check=True)
