@@ -639,13 +639,16 @@ def stream_patterns(spark, sf):
     return shown(store.patterns(min_count=3))
 
 
-_LATE = """ev AS (SELECT event_id, ts, CAST(floor(epoch(ts) / 900) AS BIGINT) AS quarter, event_id % 20 = 7 AS held FROM events),
-  seen AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM ev WHERE NOT held)"""
+_LATE = """ev AS (SELECT event_id, ts, CAST(floor(epoch(ts) / 900) AS BIGINT) AS quarter, event_id % 20 = 7 AS held, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events),
+  seen AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM ev, (SELECT min(t) AS low, max(t) AS high FROM ev) WHERE NOT held AND floor(3 * (t - low) / (high - low + 1)) < 2)"""
 
 
 @query(f"WITH {_LATE} SELECT quarter, count(*) AS n_events FROM ev, seen WHERE NOT held OR (quarter + 1) * 900 > epoch(mark) GROUP BY quarter")
 def stream_late(spark, sf):
-    """Four micro-batches, the last of rows held back: those behind the watermark of a day are dropped."""
+    """Four micro-batches, the last of rows held back: those behind the watermark of a day are dropped.
+
+    Spark judges lateness by the watermark that the batch before last has left.
+    """
     top = stream.folder(spark)
     e = flows.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "ts")
     held = F.col("event_id") % 20 == 7
