@@ -38,6 +38,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import textcore as X
 from tidemark.llm.components import components
@@ -459,20 +460,14 @@ def sets_of(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     A bitmap of 16 bits for each needed class, 128 MB at most, tells the readers which these
     may be; a false hit costs a set sent in vain.
     """
-    bits = min(30, max(16, int(16 * needed.count()).bit_length()))
-    bit = needed.select(F.pmod("class", F.lit(1 << bits)).alias("bit"))
-    words = bit.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (bits - 6), np.int64)
-    bitmap[words.column(0).to_numpy()] = words.column(1).to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast(X.bitmap(needed.select("class")))
 
     def send(batches):
-        once, wanted = _Once(), shared.value.view(np.uint64)
+        once, wanted = _Once(), shared.value
         for b in batches:
             for _, _, data, off in X.chunks(b.column(1), _CHUNK):
                 s = Sets(data, off, size)
-                k = (X.signed(s.identity) % (1 << bits)).astype(np.int64)
-                hit = (wanted[k >> 6] >> (k & 63).astype(np.uint64)) & X.U(1) == X.U(1)
+                hit = X.in_bitmap(wanted, X.signed(s.identity))
                 new = once.first(s.identity, hit & (s.sizes > 0))
                 for lo in range(0, len(new), 256):
                     part = new[lo : lo + 256]
@@ -718,6 +713,19 @@ def single(docs: DataFrame) -> DataFrame:
     other = staged.write(other, share=16)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_whole") == F.col("_key"))
     rows = docs.withColumn("_whole", whole)
-    kept = rows.join(other, same, "left_anti").drop("_whole")
-    repeated = rows.join(other.where("_stays"), same, "left_semi")
-    return kept.unionByName(repeated.dropDuplicates(["doc_id", "_whole"]).drop("_whole"))
+    shared = docs.sparkSession.sparkContext.broadcast(X.bitmap(other.select("_key")))
+
+    def judged_rows(listed: bool):
+        """Rows that the bitmap of `other` lists, or not: only the former need the join."""
+
+        def run(batches):
+            for b in batches:
+                hit = X.in_bitmap(shared.value, b.column(b.num_columns - 1).to_numpy())
+                yield b.filter(pa.array(hit == listed))
+
+        return rows.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema]))
+
+    listed = judged_rows(True)
+    kept = listed.join(other, same, "left_anti").drop("_whole")
+    repeated = listed.join(other.where("_stays"), same, "left_semi")
+    return judged_rows(False).drop("_whole").unionByName(kept).unionByName(repeated.dropDuplicates(["doc_id", "_whole"]).drop("_whole"))

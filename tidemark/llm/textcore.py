@@ -360,4 +360,22 @@ def looked_up(rows: DataFrame, values: DataFrame, keys: list[str], total: int) -
     """
     share = total // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
     hot, rest = F.broadcast(values.where(F.col("held") > share).drop("held")), values.where(F.col("held") <= share).drop("held")
-    return rows.join(hot, keys).unionByName(rows.join(rest, keys))
+    cold = rows.join(hot.select(*keys), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(cold.join(rest, keys))
+
+
+def bitmap(column: DataFrame, most: int = 30) -> np.ndarray:
+    """A bit for each value of a column of longs, with 16 bits a value and 2**`most` (128 MB) at most."""
+    name = column.columns[0]
+    bits = min(most, max(16, int(16 * column.count()).bit_length()))
+    bit = column.select(F.pmod(name, F.lit(1 << bits)).alias("bit"))
+    words = bit.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    return out.view(U)
+
+
+def in_bitmap(held: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which longs may be among those of the bitmap; false hits are rare, misses are none."""
+    k = (values % (len(held) << 6)).astype(np.int64)
+    return (held[k >> 6] >> (k & 63).astype(U)) & U(1) == U(1)
