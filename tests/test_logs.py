@@ -1,11 +1,12 @@
 """Log parsing, dimensions, transactions and streams."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tidemark.functions import items as I
 from tidemark.operators import enrich, parse
 from tidemark.operators import transactions as T
-from tidemark.plans import flows
+from tidemark.plans import flows, registry
 from tidemark.sources import files
 from tidemark.streaming import batches as stream
 
@@ -58,6 +59,31 @@ def test_enrich_and_explode(spark):
     assert len(items) == 4
 
 
+def test_address_parts_above_255(spark):
+    """They stay in their network instead of running over into another one."""
+    line = '{} [Sunday, 14-Nov-2010 06:27:03 +0100] "?ets=a:1" 200 "u" "Agent/4" "d"'
+    v = parse.parse(spark.createDataFrame([(line.format(ip),) for ip in ("1.2.259.4", "1.2.3.300", "1.2.4.4", "1.1.515.7")], "value string"))
+    rows = {r.ip: r for r in enrich.with_location(v, spark.createDataFrame(GEO, files.GEO_SCHEMA)).collect()}
+    assert {ip: r.location and r.location.city for ip, r in rows.items()} == {"1.2.259.4": "Austin", "1.2.3.300": "Brussels", "1.2.4.4": "Austin", "1.1.515.7": None}
+    assert rows["1.1.515.7"].ip_number == 0x01030307
+
+
+def equals_sql_of_many_users(spark, sf, folder, name):
+    """The query against its SQL where the numbers of users give parts of an address above 255."""
+    e = spark.read.parquet(f"{sf}/events.parquet").where("event_id < 500").withColumn("k", F.explode(F.array(*[F.lit(k) for k in (0, 63_500, 88_500, 884_999)])))
+    e.withColumn("event_id", F.col("event_id") + F.col("k") * 500).withColumn("user_id", F.col("user_id") + F.col("k")).drop("k").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"SET timezone = 'UTC'; CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    found = con.execute(registry.oracle_sql()[name])
+    columns = [c[0] for c in found.description]
+    got = registry.queries()[name](spark, str(folder)).select(*columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, found.fetchall()), key=str)
+
+
+def test_enrich_views_of_many_users(spark, sf, tmp_path):
+    equals_sql_of_many_users(spark, sf, tmp_path, "enrich_views")
+
+
 def test_globs():
     assert I.glob_regex("a*b?[xy]") == "a.*b.[xy]" and I.glob_regex("[!a]+") == "[^a]\\+"
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 _BLOCK_BITS = 16
 
 
-def with_location(views: DataFrame, geo: DataFrame, ip: str = "ip_number") -> DataFrame:
+def with_location(views: DataFrame, geo: DataFrame, ip: str = "address") -> DataFrame:
     """Left join on the address range that holds `ip`; ranges do not overlap.
 
     Ranges are cut at blocks of 65,536 addresses, so the join is an equi-join on the
