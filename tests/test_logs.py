@@ -84,6 +84,10 @@ def test_enrich_views_of_many_users(spark, sf, tmp_path):
     equals_sql_of_many_users(spark, sf, tmp_path, "enrich_views")
 
 
+def test_enrich_files_of_many_users(spark, sf, tmp_path):
+    equals_sql_of_many_users(spark, sf, tmp_path, "enrich_files")
+
+
 def test_globs():
     assert I.glob_regex("a*b?[xy]") == "a.*b.[xy]" and I.glob_regex("[!a]+") == "[^a]\\+"
 
