@@ -88,6 +88,10 @@ def test_enrich_files_of_many_users(spark, sf, tmp_path):
     equals_sql_of_many_users(spark, sf, tmp_path, "enrich_files")
 
 
+def test_log_to_items_of_many_users(spark, sf, tmp_path):
+    equals_sql_of_many_users(spark, sf, tmp_path, "log_to_items")
+
+
 def test_globs():
     assert I.glob_regex("a*b?[xy]") == "a.*b.[xy]" and I.glob_regex("[!a]+") == "[^a]\\+"
 
