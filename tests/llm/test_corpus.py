@@ -223,6 +223,21 @@ def test_large_groups_of_near_copies_are_sent_a_few_times(spark, monkeypatch):
     assert len(sent) > 1 and sum(sent) < 10 * len(rows), sent
 
 
+def test_plans_of_the_join_stay_small(spark, monkeypatch):
+    """No step's plan reads tables over and over, which would cost the driver memory."""
+    reads, write = [], X.Staged.write
+
+    def counted(self, df, share=0):
+        reads.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return write(self, df, share)
+
+    monkeypatch.setattr(X.Staged, "write", counted)
+    rows = jaccard_rows(3)
+    got = jaccard.classes(frame(spark, rows), block=5).collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain_classes(rows)
+    assert len(reads) > 20 and max(reads) <= 24, reads
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + k) for k in range(1, 40)] + [tuple(int(v) for v in rng.integers(200, 400, 2)) for _ in range(120)] + [(-5, 60), (500, 500)]

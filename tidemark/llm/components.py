@@ -8,33 +8,29 @@ from pyspark.sql import functions as F
 from tidemark.llm import textcore as X
 
 
-def _nearest(edges: DataFrame, below: bool) -> DataFrame:
-    """u, least, held: the smallest node among u and its neighbours (the smaller ones only, if `below`); its rows."""
-    both = edges.select(F.col("u"), F.col("v"))
-    if not below:
-        both = both.union(edges.select("v", "u"))
-    return both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("least"), F.count("*").alias("held"))
-
-
 def components(edges: DataFrame, staged: X.Staged, rounds: int = 60) -> DataFrame:
     """node, root for every node of the edges (a, b); root is the smallest node reachable.
 
     Each round makes every node point to the smallest node it knows of; a node with many
-    edges is only ever aggregated or looked up, never gathered.  Edges are written between rounds.
+    edges is only ever aggregated or looked up, never gathered.  Edges are written between rounds,
+    and so is what a round reads several times: a plan that holds it over and over costs the
+    driver more memory than the rows do.
     """
+    # v is below u in all edges of all rounds
     now = staged.write(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), share=32)
     before = None
     for _ in range(rounds):
-        # large star: neighbours above u are tied to the smallest node around u
-        far = now.select("u", "v").union(now.select("v", "u"))
-        large = X.looked_up(far.where("v > u"), _nearest(now, False), ["u"], 2 * now.count()).select(F.col("v").alias("u"), F.col("least").alias("v")).where("u != v").distinct()
+        # large star: neighbours above a node are tied to the smallest node around it
+        ends = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        near = staged.write(ends.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("least"), F.count("*").alias("held")), share=32)
+        far = now.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        large = staged.write(X.looked_up(far, near, ["u"], 2 * now.count()).select(F.col("v").alias("u"), F.col("least").alias("v")).where("u != v").distinct(), share=32)
         # small star: u and its neighbours below are tied to the smallest of them
-        low = _nearest(large, True).drop("held")
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("least").alias("v")).union(joined.select("u", F.col("least").alias("v"))).where("u != v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("least"))
+        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("least").alias("v")).where("u != v").distinct()
         after = staged.write(small, share=32)
         sign = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        staged.drop(now)
+        staged.drop(now, near, large)
         now = after
         if sign == before:
             break

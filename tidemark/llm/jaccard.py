@@ -565,6 +565,9 @@ def divide(large: DataFrame, sets: DataFrame, num: int, den: int, block: int, ce
 
     `large` has region, class, n, home, comp, root.  All three are lists of tables: (a, b),
     (region, class, comp) and (region, i, j, root, class, comp).
+
+    What is read several times is written, small as it is: a plan that holds it over and
+    over costs the driver more memory than the rows do.
     """
     links, ready, rest = [], [], []
     now = large
@@ -572,13 +575,13 @@ def divide(large: DataFrame, sets: DataFrame, num: int, den: int, block: int, ce
         total = now.count()
         if not total:
             break
-        sizes = _sized(now, block, cells)
+        sizes = staged.write(_sized(now, block, cells), share=8)
         placed = X.looked_up(now, sizes.select("region", "held", "slices", F.col("held").alias("size")), ["region"], total).withColumnRenamed("size", "held")
         found = staged.write(_turn(placed, sets, num, den, total, turn))
         links.append(found.where("a is not null").select("a", "b"))
         after = found.where("a is null").drop("a", "b")
         # regions without a free member to be a pivot stay as they are
-        idle = sizes.join(now.where("home and comp is null").select("region").distinct(), "region", "left_anti").select("region", "held")
+        idle = staged.write(sizes.join(now.where("home and comp is null").select("region").distinct(), "region", "left_anti").select("region", "held"), share=8)
         rest.append(X.looked_up(now, idle, ["region"], total))
         # a region is split only where that saves comparisons; else it stays whole, without its pivots
         whole = after.where("own").withColumn("region", F.col("parent"))
@@ -607,10 +610,13 @@ def divide(large: DataFrame, sets: DataFrame, num: int, den: int, block: int, ce
     if not total:
         return links, ready, []
     parts = out.groupBy("region", "comp").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / cells)).alias("slices"), F.count("*").alias("held")).withColumn("part", F.xxhash64("comp"))
+    parts = staged.write(parts, share=8)
     blocks = parts.select("region", "comp", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda k: F.xxhash64("region", "comp", k))).alias("block"))
     every_block = blocks.groupBy("region").agg(F.collect_list(F.struct("block", "comp")).alias("blocks")).join(out.groupBy("region").agg(F.count("*").alias("held")), "region")
+    every_block = staged.write(every_block, share=8)
     own = X.looked_up(out.withColumn("part", F.xxhash64("comp")), parts.select("region", "part", "slices", "held"), ["region", "part"], total)
     own = own.withColumn("own", F.xxhash64("region", "comp", F.pmod(F.xxhash64("class", F.lit(-2)), F.col("slices")))).select("region", "class", "comp", "root", "own")
+    own = staged.write(own)
     met = X.looked_up(own, every_block, ["region"], total).withColumn("other", F.explode(F.filter("blocks", lambda b: b["comp"].isNull() | F.col("comp").isNull() | (b["comp"] != F.col("comp")))))
     return links, ready, [met.select("region", F.least("own", "other.block").alias("i"), F.greatest("own", "other.block").alias("j"), "root", "class", "comp")]
 
@@ -618,8 +624,8 @@ def divide(large: DataFrame, sets: DataFrame, num: int, den: int, block: int, ce
 def linked_classes(docs: DataFrame, rows: DataFrame, known: DataFrame, staged: X.Staged, num: int, den: int, size: int, frequent: int, block: int, cells: int, every: bool = False) -> DataFrame:
     """a, b: links between classes that connect all components, or (`every`) all links; staged."""
     spark = docs.sparkSession
-    listed = known.where("hot").groupBy("class").agg(F.sum("n").alias("count")).where("count >= 16").orderBy(F.desc("count"), "class").limit(frequent).collect()
-    hot = np.sort(np.array([r["class"] for r in listed], np.int64).view(X.U))
+    listed = known.where("hot").groupBy("class").agg(F.sum("n").alias("count")).where("count >= 16").orderBy(F.desc("count"), "class").limit(frequent).select("class").toArrow()
+    hot = np.sort(listed.column(0).to_numpy().astype(np.int64).view(X.U))
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(min(16, int(spark.conf.get("spark.sql.shuffle.partitions"))), total * (den - num) // den // 1_000_000)
 
