@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -223,6 +224,36 @@ def test_large_groups_of_near_copies_are_sent_a_few_times(spark, monkeypatch):
     assert len(sent) > 1 and sum(sent) < 10 * len(rows), sent
 
 
+def test_first_shingles_are_compared_in_small_parts():
+    """A region of copies of nearly one text is cleared within a bounded memory, with the same result."""
+    m, cells = 1024, 24
+    member = np.repeat(np.arange(4 * m), cells)
+    cell = np.tile(np.arange(cells), 4 * m)
+    group, n = np.repeat(np.arange(4), m), np.full(4 * m, 4 * (cells - 1))
+    marks = np.tile(np.arange(16, dtype=np.uint32), (4 * m, 1))
+    others = jaccard._Others(group, np.ones(4 * m, np.int64), group)
+    tracemalloc.start()
+    hopeful = jaccard._hopeful(group, n, marks, member, cell, others, 75, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert hopeful.all() and peak < 64 << 20, peak
+
+
+def test_tasks_send_small_batches_and_give_memory_back(monkeypatch):
+    """Rows leave a task in batches of about two megabytes, all of them and in order."""
+    import pyarrow as pa
+
+    given = []
+    monkeypatch.setattr(X, "give_back", lambda: given.append(1))
+    rows = pa.record_batch({"doc_id": list(range(5000)), "text": ["word " * 400] * 5000})
+    whole = list(X.tidy(lambda batches: batches)(iter([rows, rows.slice(0, 0), rows.slice(0, 1)])))
+    assert sum(b.num_rows for b in whole) == 5001 and max(b.nbytes for b in whole) < 3 << 20 and given == [1]
+    assert pa.Table.from_batches(whole[:-1]).combine_chunks().to_batches()[0].equals(rows)
+    group = pa.table({"a": list(range(200_000))})
+    assert X.tidy_group(lambda key, t: t)((1,), group) is group and given == [1, 1]
+    assert X.tidy_group(lambda key, t: t)((1,), group.slice(0, 5)).num_rows == 5 and given == [1, 1]
+
+
 def test_plans_of_the_join_stay_small(spark, monkeypatch):
     """No step's plan reads tables over and over, which would cost the driver memory."""
     reads, write = [], X.Staged.write

@@ -258,4 +258,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wor
                 keep[lo:hi] = (hits == 0) | (20 * hits < np.diff(first))
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(X.tidy(run), docs.schema)

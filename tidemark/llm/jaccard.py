@@ -90,7 +90,7 @@ def profile(docs: DataFrame, size: int, key: Column | None = None) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.nulls(len(code), pa.int64()), pa.array(X.signed(code)), pa.array(count.astype(np.int64)), pa.array(np.ones(len(code), bool)), *(pa.nulls(len(code), pa.int64()) for _ in keyed)], schema=schema)
 
     more = [key.alias("key")] if keyed else []
-    return X.plain(docs, *more).mapInArrow(run, "doc_id long, class long, n long, hot boolean" + ", key long" * len(keyed))
+    return X.plain(docs, *more).mapInArrow(X.tidy(run), "doc_id long, class long, n long, hot boolean" + ", key long" * len(keyed))
 
 
 def _needed(n, num: int, den: int):
@@ -150,7 +150,7 @@ def regions(docs: DataFrame, hot: np.ndarray, num: int, den: int, size: int, buc
         if amount:
             yield from packed(held)
 
-    return X.plain(docs).mapInArrow(run, "bucket int, " + ", ".join(f"{c} binary" for c in _BLOBS))
+    return X.plain(docs).mapInArrow(X.tidy(run), "bucket int, " + ", ".join(f"{c} binary" for c in _BLOBS))
 
 
 def _order(codes: np.ndarray, is_hot: np.ndarray) -> np.ndarray:
@@ -194,10 +194,10 @@ def meeting(sent: DataFrame, hot: np.ndarray) -> DataFrame:
         ]
         return pa.concat_tables([pa.Table.from_arrays(p, names=["cell", "class", "rank", "pivot", "n", "marks"]) for p in parts])
 
-    return sent.groupBy("bucket").applyInArrow(met, "cell long, class long, rank int, pivot long, n long, marks binary")
+    return sent.groupBy("bucket").applyInArrow(X.tidy_group(met), "cell long, class long, rank int, pivot long, n long, marks binary")
 
 
-def _shared(group: np.ndarray, member: np.ndarray, cell: np.ndarray, most: int = 1 << 22):
+def _shared(group: np.ndarray, member: np.ndarray, cell: np.ndarray, most: int = 1 << 20):
     """(x, y, count) of members that share cells of their group.
 
     Comes in parts, each with all partners of some members.
@@ -318,7 +318,7 @@ def survivors(met: DataFrame, members: DataFrame, keyed: DataFrame, num: int, de
         hopeful = _hopeful(group, t.column(4).to_numpy(), marks, member, cells.flatten().to_numpy(), others, num, den)
         yield from t.select([0, 1, 2, 3, 9]).filter(pa.array(hopeful)).to_batches()
 
-    return rows.mapInArrow(run, "region long, i long, j long, class long, comp long")
+    return rows.mapInArrow(X.tidy(run), "region long, i long, j long, class long, comp long")
 
 
 class _Members:
@@ -473,7 +473,7 @@ def sets_of(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
                     part = new[lo : lo + 256]
                     yield pa.RecordBatch.from_arrays([pa.array(X.signed(s.identity[part])), X.binary([s.codes[s.first[i] : s.first[i + 1]] for i in part])], names=["class", "codes"])
 
-    return X.plain(docs).mapInArrow(send, "class long, codes binary").groupBy("class").agg(F.min("codes").alias("codes"))
+    return X.plain(docs).mapInArrow(X.tidy(send), "class long, codes binary").groupBy("class").agg(F.min("codes").alias("codes"))
 
 
 def _codes(t: pa.Table) -> list[np.ndarray]:
@@ -490,7 +490,7 @@ def joined_regions(kept: DataFrame, sets: DataFrame, num: int, den: int, every:
         x, y = region_links(_codes(t), num, den, number, every)
         return pa.table({"a": np.minimum(name[x], name[y]), "b": np.maximum(name[x], name[y])})
 
-    return kept.join(sets, "class").groupBy("region", "i", "j").applyInArrow(joined, "a long, b long")
+    return kept.join(sets, "class").groupBy("region", "i", "j").applyInArrow(X.tidy_group(joined), "a long, b long")
 
 
 def _sized(rows: DataFrame, block: int, cells: int, *more: str) -> DataFrame:
@@ -557,7 +557,7 @@ def _turn(region: DataFrame, sets: DataFrame, num: int, den: int, total: int, tu
         rows = [none(len(p)), none(len(p)), pa.array(region), pa.array(name[own][x]), pa.array(held.n[own][x]), pa.array(home[x] & (nearest[x] == p)), pa.array(names[x], mask=~has[x]), pa.array(root[x]), pa.array(np.full(len(p), key[0].as_py(), np.int64)), pa.array(nearest[x] == p)]
         return pa.concat_tables([links, *among, pa.Table.from_arrays(rows, schema=schema)])
 
-    return sent.groupBy("region", "slice").applyInArrow(divided, "a long, b long, region long, class long, n long, home boolean, comp long, root long, parent long, own boolean")
+    return sent.groupBy("region", "slice").applyInArrow(X.tidy_group(divided), "a long, b long, region long, class long, n long, home boolean, comp long, root long, parent long, own boolean")
 
 
 def divide(large: DataFrame, sets: DataFrame, num: int, den: int, block: int, cells: int, staged: X.Staged, every: bool) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
@@ -729,7 +729,7 @@ def single(docs: DataFrame) -> DataFrame:
                 hit = X.in_bitmap(shared.value, b.column(b.num_columns - 1).to_numpy())
                 yield b.filter(pa.array(hit == listed))
 
-        return rows.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema]))
+        return rows.mapInArrow(X.tidy(run), T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema]))
 
     listed = judged_rows(True)
     kept = listed.join(other, same, "left_anti").drop("_whole")

@@ -195,7 +195,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                 crc = np.fromiter((zlib.crc32(little[x:y]) for x, y in zip(begin, end, strict=True)), np.int64, len(row))
                 yield pa.RecordBatch.from_arrays([pa.array(np.where(valid, np.nan_to_num(ids), 0).astype(np.int64)[lo + row] if not valid.all() else ids[lo + row], pa.int64(), mask=~valid[lo + row]), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(end - begin), pa.array(crc)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return X.plain(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return X.plain(docs).mapInArrow(X.tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -265,7 +265,7 @@ def _packed(dealt: DataFrame, capacity: int, turn: int) -> DataFrame:
         loose = (fill[bins] < capacity) & (gap | (bins == fill.argmin()))
         return pa.Table.from_arrays([*(t.column(f).combine_chunks() for f in _COLUMNS), pa.array(sequence), pa.array(offsets), pa.array(loose)], names=[*_COLUMNS, "sequence_id", "offset", "open"])
 
-    return dealt.groupBy("part").applyInArrow(run, _PACKED)
+    return dealt.groupBy("part").applyInArrow(X.tidy_group(run), _PACKED)
 
 
 def _dealt(df: DataFrame, parts: int) -> DataFrame:

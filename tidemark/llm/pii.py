@@ -207,4 +207,4 @@ def redact(docs: DataFrame) -> DataFrame:
 
     import pyarrow.compute  # noqa: F401
 
-    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
+    return docs.mapInArrow(X.tidy(run), T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))

@@ -202,4 +202,4 @@ def accepted(docs: DataFrame, net: Net) -> DataFrame:
                 keep[lo:hi] = n.scores(data, off) >= 0.5
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(X.tidy(run), docs.schema)

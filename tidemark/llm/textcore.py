@@ -15,8 +15,9 @@ compare bytes (`same_spans`).
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -255,6 +256,51 @@ def binary(parts: list[np.ndarray]) -> pa.Array:
     return pa.array([np.ascontiguousarray(p).tobytes() for p in parts], pa.binary())
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system, which Arrow's pool and the C library keep otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def slices(b: pa.RecordBatch, limit: int = 2 * CHUNK) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in batches of about `limit` bytes, of one row at least."""
+    step = max(1, limit * b.num_rows // max(1, b.nbytes))
+    for lo in range(0, b.num_rows, step):
+        yield b.slice(lo, step)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function for mapInArrow that sends small batches and gives its memory back at the end.
+
+    A worker stays for later tasks; what it kept would add to the memory of the JVM, which
+    sorts and joins meanwhile.
+    """
+
+    def tidied(batches):
+        try:
+            for b in run(batches):
+                yield from slices(b)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def tidy_group(run: Callable) -> Callable:
+    """The same for applyInArrow, after groups of more than `CHUNK` bytes."""
+
+    def tidied(key, t):
+        try:
+            return run(key, t)
+        finally:
+            if t.nbytes > CHUNK:
+                give_back()
+
+    return tidied
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors, for sessions started without it on their path.
 
